@@ -14,6 +14,7 @@ from .. import schemas
 from ..functions.hazard import classify_hazard
 from ..functions.ids import approach_id, asteroid_id
 from ..functions.numbers import is_finite, lenient_double
+from ..operators.shape import evaluate_once
 
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
@@ -133,7 +134,9 @@ def decode_feed(documents: DataFrame) -> DataFrame:
     The permissive parser turns bad nested values into NULL without a word, so every
     required field is checked here.
     """
-    parsed = documents.withColumn("feed", F.from_json("document", schemas.FEED, JSON_OPTIONS))
+    parsed = evaluate_once(
+        documents, feed=F.from_json("document", schemas.FEED, JSON_OPTIONS)
+    )
     feed = F.col("feed")
     lists = F.map_values(feed["near_earth_objects"])
     error = (

@@ -453,7 +453,7 @@ ORACLES: dict[str, str] = {
         fresh AS (
             SELECT {asteroid_id(PART_REF)} AS id, {PART_REF} AS ref, name, l_quantity AS magnitude,
                    CAST(p_size AS DOUBLE) / 160 AS dmin, CAST(p_size AS DOUBLE) / 40 AS dmax,
-                   l_quantity > 25 AS pha, TIMESTAMP '2001-10-01 12:00:00' AS at FROM incoming)
+                   l_quantity > 25 AS pha, TIMESTAMP '2001-10-01 12:00:00' AS moment FROM incoming)
         SELECT coalesce(s.id, f.id) AS id, coalesce(s.neo_reference_id, ref) AS neo_reference_id,
             coalesce(f.name, s.name) AS name, coalesce(magnitude, absolute_magnitude) AS absolute_magnitude,
             coalesce(dmin, estimated_diameter_min_km) AS estimated_diameter_min_km,
@@ -461,7 +461,7 @@ ORACLES: dict[str, str] = {
             coalesce(pha, is_potentially_hazardous) AS is_potentially_hazardous,
             CASE WHEN f.id IS NOT NULL THEN TRUE ELSE is_sentry_object END AS is_sentry_object,
             'sbdb/' || coalesce(s.neo_reference_id, ref) AS nasa_jpl_url,
-            coalesce(created_at, at) AS created_at, coalesce(at, updated_at) AS updated_at,
+            coalesce(created_at, moment) AS created_at, coalesce(moment, updated_at) AS updated_at,
             (coalesce(dmin, estimated_diameter_min_km) + coalesce(dmax, estimated_diameter_max_km)) / 2
                 AS estimated_diameter_avg_km
         FROM stored s FULL JOIN fresh f ON s.neo_reference_id = f.ref""",
