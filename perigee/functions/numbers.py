@@ -37,41 +37,9 @@ def is_finite(value: Column) -> Column:
 def fixed(value: Column, decimals: int) -> Column:
     """`value` with `decimals` places, rounding the exact binary value half to even.
 
-    `format_string` rounds the shortest decimal spelling half up, which prints 2.5 as 3 and
-    0.15 as 0.2. Scaling by a power of ten loses at most half a unit in the last place, and
-    that remainder is recovered exactly by splitting the factor, so ties are seen as ties.
+    `format_string` rounds the shortest decimal spelling half up and would print 2.5 as 3
+    and 0.15 as 0.2; `format_number` with a pattern knows the exact value.
     """
-    scale = 10**decimals
-    size = F.abs(value)
-    scaled = size * F.lit(float(scale))
-    # remainder = size * scale - scaled, exact: both halves of the split have few enough bits
-    spread = size * F.lit(134217729.0)
-    high = spread - (spread - size)
-    low = size - high
-    remainder = (high * F.lit(float(scale)) - scaled) + low * F.lit(float(scale))
-    whole = F.floor(scaled)
-    beyond_half = scaled - whole.cast("double") - F.lit(0.5)
-    odd = (whole % F.lit(2)) == 1
-    goes_up = (
-        (beyond_half > 0)
-        | ((beyond_half == 0) & (remainder > 0))
-        | ((beyond_half == 0) & (remainder == 0) & odd)
-    )
-    units = whole + F.when(goes_up, F.lit(1)).otherwise(F.lit(0))
-    digits = units.cast("string")
-    if decimals:
-        digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), F.lit("0"))
-        cut = F.length(digits) - F.lit(decimals)
-        digits = F.concat(
-            F.substring(digits, F.lit(1), cut), F.lit("."), F.right(digits, F.lit(decimals))
-        )
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    # past 2^52 a double has no fraction left to round
-    large = F.format_string(f"%.{decimals}f", value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(value), F.lit("NaN"))
-        .when(size == F.lit(float("inf")), F.concat(sign, F.lit("inf")))
-        .when(scaled >= F.lit(4503599627370496.0), large)
-        .otherwise(F.concat(sign, digits))
-    )
+    pattern = "0." + "0" * decimals if decimals else "0"
+    text = F.call_function("format_number", value, F.lit(pattern))
+    return F.replace(text, F.lit("∞"), F.lit("inf"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.hazard import HAZARD_CLASSES
 from ..functions.numbers import is_finite
+from ..operators.shape import evaluate_once
 from .feed import JSON_OPTIONS, average_diameter, to_date_strict
 
 UUID_PATTERN = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
@@ -129,26 +130,22 @@ def _complete(struct_type: T.StructType, value: Column) -> Column:
 def decode_records(lines: DataFrame) -> DataFrame:
     """Parse lines; bad ones are kept and marked, so they can be counted and skipped."""
     text = F.btrim(F.col("value"), F.lit(BLANKS))
-    pair = F.from_json("text", "array<string>", JSON_OPTIONS)
-    split = lines.select("source_file", text.alias("text")).withColumn("pair", pair)
-    parsed = split.select(
-        "source_file",
-        "text",
-        F.size("pair").alias("parts"),
-        F.from_json(F.get("pair", F.lit(0)), schemas.ASTEROID_RECORD, JSON_OPTIONS).alias("a"),
-        F.from_json(
-            F.get("pair", F.lit(1)), T.ArrayType(schemas.APPROACH_RECORD), JSON_OPTIONS
-        ).alias("p"),
+    split = evaluate_once(
+        lines.select("source_file", text.alias("text")),
+        pair=F.from_json("text", "array<string>", JSON_OPTIONS),
     )
-    typed = parsed.select(
-        "source_file",
-        "text",
-        "parts",
-        _restructure(schemas.ASTEROID_RECORD, F.col("a")).alias("asteroid"),
-        F.transform("p", lambda item: _restructure(schemas.APPROACH_RECORD, item)).alias(
-            "approaches"
+    parsed = evaluate_once(
+        split,
+        a=F.from_json(F.get("pair", F.lit(0)), schemas.ASTEROID_RECORD, JSON_OPTIONS),
+        p=F.from_json(
+            F.get("pair", F.lit(1)), T.ArrayType(schemas.APPROACH_RECORD), JSON_OPTIONS
         ),
     )
+    typed = evaluate_once(
+        parsed.select("source_file", "text", F.size("pair").alias("parts"), "a", "p"),
+        asteroid=_restructure(schemas.ASTEROID_RECORD, F.col("a")),
+        approaches=F.transform("p", lambda item: _restructure(schemas.APPROACH_RECORD, item)),
+    )
     whole_list = F.coalesce(
         F.forall("approaches", lambda item: _complete(schemas.APPROACH_RECORD, item)), F.lit(False)
     )

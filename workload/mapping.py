@@ -235,6 +235,16 @@ def week_start(date: Column) -> Column:
     return F.date_sub(date, F.date_diff(date, F.lit(dt.date(1995, 1, 1))) % F.lit(7))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than there are cores, dealt out evenly.
+
+    A document is some forty times as large as its row and far dearer to make and parse than
+    to move; with enough splits, as in any large table, nothing is moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One feed document per line item, in the file of its week.
 
@@ -244,7 +254,7 @@ def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
     carries its velocities as JSON numbers instead of text.
     """
     rows = with_part(
-        sightings(spark, folder),
+        _spread(sightings(spark, folder)),
         table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"),
     )
     ref = reference("l_partkey")

@@ -14,6 +14,7 @@ from perigee.functions.numbers import lenient_double
 from perigee.operators import alerts as alerting
 from perigee.operators import ledger, merge, reads, telemetry
 from perigee.operators.reads import ApproachFilter, Period
+from perigee.operators.shape import evaluate_once
 from perigee.plans import extract, load, transform
 from perigee.sources import batches, feed, records
 
@@ -119,7 +120,8 @@ def _(spark, folder):
 @query("ndjson_record_audit")
 def _(spark, folder):
     """Lines with every kind of damage: sentry objects are cut off, some are blank."""
-    lines = records.encode_records(_records(spark, folder))
+    encoded = records.encode_records(_records(spark, folder))
+    lines = evaluate_once(encoded.withColumnRenamed("value", "line"), value=F.col("line"))
     name = F.regexp_extract("value", r'"neo_reference_id":"([^"]*)"', 1)
     sentry = F.col("value").contains('"is_sentry_object":true')
     hazardous = F.col("value").contains('"is_potentially_hazardous":true')
