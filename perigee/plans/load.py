@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.clock import instant
 from ..operators import ledger, merge
 from ..operators.shape import one_row
-from ..sources import records, tables
+from ..sources import listing, records, tables
 
 # which of several copies counts: the asteroid written last, the approach written first
 LATEST = ["updated_at", "source_file"]
@@ -140,14 +140,7 @@ def prepare(
 
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """`source_file` and `path` of the record files of a folder, flat or partitioned."""
-    listing = spark.read.format("binaryFile").load(folder)
-    if "source_file" in listing.columns:
-        name = F.col("source_file")
-    else:
-        name = F.element_at(F.split("path", "/"), -1)
-    return listing.select(name.alias("source_file"), "path").filter(
-        F.col("source_file").endswith(records.SUFFIX)
-    )
+    return listing.files(spark, folder).filter(F.col("source_file").endswith(records.SUFFIX))
 
 
 def plan_load(spark: SparkSession, folder: str, root: str, force: bool = False) -> DataFrame:

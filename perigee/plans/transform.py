@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.clock import instant
 from ..functions.hazard import HAZARD_CLASSES
 from ..operators.shape import one_row
-from ..sources import feed
+from ..sources import feed, listing
 from ..sources.batches import pending
-from ..sources.listing import exists
 from ..sources.records import transformed_name, write_records
 
 
@@ -52,21 +51,15 @@ def transform_summary(records: DataFrame, files: DataFrame, done: DataFrame) ->
 
 def transformed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Source files (by raw name) that have output in `folder`; contents are not read."""
-    if not exists(spark, folder):
-        return spark.createDataFrame([], "source_file string")
-    listing = spark.read.format("binaryFile").load(folder)
-    if "source_file" not in listing.columns:
+    if not listing.exists(spark, folder):
         return spark.createDataFrame([], "source_file string")
     raw = F.regexp_replace("source_file", r"_transformed\.json\z", ".json")
-    return listing.select(raw.alias("source_file")).distinct()
+    return listing.files(spark, folder).select(raw.alias("source_file")).distinct()
 
 
 def plan_transform(spark: SparkSession, raw: str, out: str, force: bool = False) -> DataFrame:
     """Dry run: the files a transform would read, and where their output would go."""
-    listing = spark.read.format("binaryFile").load(raw, pathGlobFilter="*.json")
-    files = listing.select(
-        F.element_at(F.split("path", "/"), -1).alias("source_file"), "path"
-    )
+    files = listing.files(spark, raw, "*.json")
     todo = pending(files, transformed_files(spark, out), "source_file", force)
     return todo.withColumn("output", transformed_name(F.col("source_file")))
 
@@ -91,6 +84,8 @@ def run_transform(
     documents = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("document")
     )
+    empty = listing.without_content(spark, todo, raw)
+    documents = documents.unionByName(empty.select("source_file", F.lit("").alias("document")))
     fixed = at or dt.datetime.now(dt.timezone.utc)
     write_records(transform_feed(documents, fixed, strict), out, overwrite=True)
     return todo

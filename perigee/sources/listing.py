@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import urllib.parse
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _locate(spark: SparkSession, folder: str):
@@ -26,3 +28,32 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     if not files.exists(path):
         return []
     return [status.getPath().getName() for status in files.listStatus(path)]
+
+
+def paths(spark: SparkSession, folder: str, glob: str | None = None) -> list[str]:
+    """Data files of a folder, empty ones included; names with `_` or `.` first are not data."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    found = [urllib.parse.unquote(path) for path in reader.text(folder).inputFiles()]
+    return sorted(path for path in found if path.rsplit("/", 1)[1][0] not in "_.")
+
+
+def files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
+    """The same as a frame: `source_file`, `path`. In a folder that is partitioned by
+    `source_file`, that is the name; elsewhere the file's own."""
+    rows = []
+    for path in paths(spark, folder, glob):
+        parent, name = path.rsplit("/", 2)[1:]
+        rows.append((parent.removeprefix("source_file=") if "source_file=" in parent else name, path))
+    return spark.createDataFrame(rows, "source_file string, path string")
+
+
+def without_content(spark: SparkSession, listed: DataFrame, folder: str) -> DataFrame:
+    """Those of the listed files that are empty: no reader returns a row for them. Contents
+    are not read for this."""
+    filled = spark.read.format("binaryFile").load(folder).select("path")
+    bare = lambda path: F.regexp_replace(path, r"^[a-z0-9]+:/+", "/").alias("bare")
+    return (
+        listed.withColumn("bare", bare(F.col("path")))
+        .join(filled.select(bare(F.col("path"))), "bare", "left_anti")
+        .drop("bare")
+    )

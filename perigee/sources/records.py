@@ -14,6 +14,7 @@ from ..functions.hazard import HAZARD_CLASSES
 from ..functions.numbers import is_finite
 from ..operators.shape import evaluate_once
 from .feed import JSON_OPTIONS, average_diameter, to_date_strict
+from .listing import files
 
 UUID_PATTERN = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 INSTANT_PATTERN = (
@@ -36,9 +37,8 @@ def scan_record_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_files(spark: SparkSession, folder: str) -> DataFrame:
-    """File names only, from the listing: the content column is never read."""
-    listing = spark.read.format("binaryFile").load(folder, pathGlobFilter=f"*{SUFFIX}")
-    return listing.select(F.element_at(F.split("path", "/"), -1).alias("source_file"))
+    """Names of the record files of a folder; nothing is read."""
+    return files(spark, folder, f"*{SUFFIX}").select("source_file")
 
 
 def transformed_name(source_file: Column) -> Column:

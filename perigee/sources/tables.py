@@ -1,8 +1,8 @@
-"""Stored tables as Parquet, one folder per run.
+"""Stored tables as Parquet, one folder per table and run.
 
-A run writes `run=<n>/<table>` and, last of all, `run=<n>/manifest`. Readers only see runs
+A run writes `<table>/run=<n>` and, last of all, `manifest/run=<n>`. Readers only see runs
 whose manifest is complete, so the tables of a run appear together or not at all, and a run
-that is repeated after a failure overwrites only its own folder. `asteroids` and
+that is repeated after a failure overwrites only its own folders. `asteroids` and
 `etl_events` are whole snapshots (the newest counts); `approaches` and `alerts` never change
 once written, so a run holds only its new rows and the table is all runs together.
 """
@@ -26,10 +26,15 @@ def epoch_month(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM")
 
 
+def _folder(root: str, table: str, run: int) -> str:
+    return f"{root}/{table}/run={run}"
+
+
 def committed_runs(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete runs, oldest first."""
-    runs = sorted(int(name[4:]) for name in names(spark, root) if name.startswith("run="))
-    return [run for run in runs if complete(spark, f"{root}/run={run}/manifest")]
+    listed = names(spark, f"{root}/manifest")
+    runs = sorted(int(name[4:]) for name in listed if name.startswith("run="))
+    return [run for run in runs if complete(spark, _folder(root, "manifest", run))]
 
 
 def next_run(spark: SparkSession, root: str) -> int:
@@ -43,8 +48,8 @@ def _folders(spark: SparkSession, root: str, table: str, before: int | None) ->
     for run in committed_runs(spark, root):
         if before is not None and run >= before:
             continue
-        if complete(spark, f"{root}/run={run}/{table}"):
-            found.append(f"{root}/run={run}/{table}")
+        if complete(spark, _folder(root, table, run)):
+            found.append(_folder(root, table, run))
     return found
 
 
@@ -60,7 +65,8 @@ def read_table(
         schema = T.StructType(schema.fields + [T.StructField(MONTH, T.StringType())])
     if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
+    reader = spark.read.schema(schema).option("basePath", f"{root}/{table}")
+    return reader.parquet(*folders).select(*schema.names)
 
 
 def write_run(root: str, run: int, tables: dict[str, DataFrame], spark: SparkSession) -> None:
@@ -76,9 +82,9 @@ def write_run(root: str, run: int, tables: dict[str, DataFrame], spark: SparkSes
             writer = writer.write.partitionBy(MONTH)
         else:
             writer = writer.write
-        writer.mode("overwrite").parquet(f"{root}/run={run}/{table}")
+        writer.mode("overwrite").parquet(_folder(root, table, run))
     manifest = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
-    manifest.write.mode("overwrite").parquet(f"{root}/run={run}/manifest")
+    manifest.write.mode("overwrite").parquet(_folder(root, "manifest", run))
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
