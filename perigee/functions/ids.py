@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .once import evaluate_once
 
 # The namespaces every stored identifier is derived from.
 ASTEROID_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 APPROACH_NAMESPACE = "7cb8c921-aebe-22e2-91c5-11d15fe541d9"
 
 
-def uuid5(namespace: str, name: Column) -> Column:
-    """RFC 4122 version-5 UUID of `name`, as lower-case text."""
+def name_digest(namespace: str, name: Column) -> Column:
+    """The hash a version-5 UUID is cut from, as 40 hex digits."""
     seed = F.unhex(F.lit(namespace.replace("-", "")))
-    digest = F.sha1(F.concat(seed, F.encode(name, "UTF-8")))
+    return F.sha1(F.concat(seed, F.encode(name, "UTF-8")))
+
+
+def digest_uuid(digest: Column) -> Column:
+    """The version-5 UUID of a hash, as lower-case text."""
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat(
         F.substring(digest, 1, 8),
@@ -28,12 +34,37 @@ def uuid5(namespace: str, name: Column) -> Column:
     )
 
 
+def uuid5(namespace: str, name: Column) -> Column:
+    """RFC 4122 version-5 UUID of `name`."""
+    return digest_uuid(name_digest(namespace, name))
+
+
+def approach_name(neo_reference_id: Column, epoch_ms: Column) -> Column:
+    return F.concat(neo_reference_id, F.lit(":"), epoch_ms.cast("string"))
+
+
 def asteroid_id(neo_reference_id: Column) -> Column:
     return uuid5(ASTEROID_NAMESPACE, neo_reference_id)
 
 
 def approach_id(neo_reference_id: Column, epoch_ms: Column) -> Column:
-    return uuid5(APPROACH_NAMESPACE, F.concat(neo_reference_id, F.lit(":"), epoch_ms.cast("string")))
+    return uuid5(APPROACH_NAMESPACE, approach_name(neo_reference_id, epoch_ms))
+
+
+def with_identifiers(rows: DataFrame, reference: Column, epoch_ms: Column | None = None) -> DataFrame:
+    """Add `asteroid_id` and, given an instant, the approach's `id`.
+
+    The hash is computed once per row here. Left as a plain expression it would be repeated
+    in every join key and filter the identifier gets into.
+    """
+    hashes = {"_asteroid": name_digest(ASTEROID_NAMESPACE, reference)}
+    if epoch_ms is not None:
+        hashes["_approach"] = name_digest(APPROACH_NAMESPACE, approach_name(reference, epoch_ms))
+    hashed = evaluate_once(rows, **hashes)
+    columns = [digest_uuid(F.col("_asteroid")).alias("asteroid_id")]
+    if epoch_ms is not None:
+        columns.append(digest_uuid(F.col("_approach")).alias("id"))
+    return hashed.select(*rows.columns, *columns)
 
 
 def alert_id(approach: Column, channel: Column) -> Column:

@@ -7,11 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 UTC_CONF = "spark.sql.session.timeZone"
+# HotSpot interprets methods above this size for good; Spark's own limit is far higher, and
+# falling back to one operator at a time is then the faster way for the JSON checks.
+METHOD_CONF, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
 
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC dates and adaptive execution; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app).config(UTC_CONF, "UTC")
+    builder = builder.config(METHOD_CONF, METHOD_BYTES)
     builder = builder.config("spark.sql.adaptive.enabled", "true")
     builder = builder.config("spark.sql.adaptive.skewJoin.enabled", "true")
     if master:
@@ -21,10 +25,12 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Dates in this domain are UTC calendar days, whatever zone the session came with."""
-    if spark.conf.get(UTC_CONF) != "UTC":
-        spark.conf.set(UTC_CONF, "UTC")
+def prepare(spark: SparkSession) -> None:
+    """The same for a session built elsewhere: dates here are UTC calendar days, whatever
+    zone the session came with."""
+    for name, value in ((UTC_CONF, "UTC"), (METHOD_CONF, METHOD_BYTES)):
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
 
 
 def freeze(df: DataFrame) -> DataFrame:

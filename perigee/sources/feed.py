@@ -14,7 +14,7 @@ from .. import schemas
 from ..functions.hazard import classify_hazard
 from ..functions.ids import approach_id, asteroid_id
 from ..functions.numbers import is_finite, lenient_double
-from ..operators.shape import evaluate_once
+from ..functions.once import evaluate_once
 
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}

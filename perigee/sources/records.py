@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.hazard import HAZARD_CLASSES
 from ..functions.numbers import is_finite
-from ..operators.shape import evaluate_once
+from ..functions.once import evaluate_once
 from .feed import JSON_OPTIONS, average_diameter, to_date_strict
 from .listing import files
 

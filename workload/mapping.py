@@ -11,9 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perigee.functions.hazard import classify_hazard
-from perigee.functions.ids import alert_id, approach_id, asteroid_id, ledger_id
+from perigee.functions.ids import alert_id, asteroid_id, ledger_id, with_identifiers
 from perigee.operators.shape import keep_first
-from perigee.session import use_utc
+from perigee.session import prepare
 from perigee.sources.feed import average_diameter
 
 AS_OF = dt.datetime(2001, 10, 1, 12, 0, 0)
@@ -24,7 +24,7 @@ BASE_TIME = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -42,8 +42,8 @@ def _diameter(divisor: float) -> Column:
 
 def asteroids_from(part: DataFrame) -> DataFrame:
     ref = reference("p_partkey")
-    rows = part.select(
-        asteroid_id(ref).alias("id"),
+    rows = with_identifiers(part, ref).select(
+        F.col("asteroid_id").alias("id"),
         ref.alias("neo_reference_id"),
         F.concat("p_name", F.lit(" "), ref).alias("name"),
         (F.col("p_retailprice") / F.lit(50.0)).alias("absolute_magnitude"),
@@ -83,12 +83,13 @@ SIGHTING_KEY = ["l_partkey", "epoch_ms", "close_date"]
 SIGHTING_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
 
 
-def approach_columns(hazard: Column | None) -> list[Column]:
-    ref = reference("l_partkey")
+def _with_ids(rows: DataFrame) -> DataFrame:
+    return with_identifiers(rows, reference("l_partkey"), F.col("epoch_ms"))
+
+
+def approach_columns(hazard: Column | None = None, ids: bool = True) -> list[Column]:
     miss_au = F.col("l_discount") + F.col("l_tax")
     columns = [
-        approach_id(ref, F.col("epoch_ms")).alias("id"),
-        asteroid_id(ref).alias("asteroid_id"),
         F.col("close_date").alias("close_approach_date"),
         F.col("epoch_ms").alias("epoch_date_close_approach"),
         (F.col("l_quantity") * F.lit(0.5)).alias("velocity_km_per_s"),
@@ -102,8 +103,13 @@ def approach_columns(hazard: Column | None) -> list[Column]:
         ),
     ]
     if hazard is not None:
-        columns.insert(10, hazard.alias("hazard_classification"))
-    return columns
+        columns.append(hazard.alias("hazard_classification"))
+    return (["id", "asteroid_id"] if ids else []) + columns
+
+
+def incoming_approaches(rows: DataFrame) -> DataFrame:
+    """Sightings joined with their part as rows to merge, with the columns that order them."""
+    return _with_ids(rows).select(*approach_columns(hazard_of_sighting()), *SIGHTING_ORDER)
 
 
 def hazard_of_sighting() -> Column:
@@ -119,18 +125,20 @@ def with_part(rows: DataFrame, part: DataFrame) -> DataFrame:
     return rows.join(part, rows["l_partkey"] == part["p_partkey"])
 
 
-def approaches(spark: SparkSession, folder: str) -> DataFrame:
+def approaches(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """The approaches table: one row per object and instant, the earliest line wins."""
     first = keep_first(sightings(spark, folder), SIGHTING_KEY, SIGHTING_ORDER)
     part = table(spark, folder, "part").select("p_partkey", "p_size")
-    return with_part(first, part).select(*approach_columns(hazard_of_sighting()))
+    rows = with_part(first, part)
+    rows = _with_ids(rows) if ids else rows
+    return rows.select(*approach_columns(hazard_of_sighting(), ids))
 
 
-def plain_approaches(spark: SparkSession, folder: str) -> DataFrame:
-    """The same table without the hazard class, for queries that do not use it; the class
-    is what needs the size of the object."""
+def plain_approaches(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """The same table without the hazard class, which is what needs the size of the object,
+    or also without identifiers, for queries that do not use them."""
     first = keep_first(sightings(spark, folder), SIGHTING_KEY, SIGHTING_ORDER)
-    return first.select(*approach_columns(None))
+    return (_with_ids(first) if ids else first).select(*approach_columns(None, ids))
 
 
 def etl_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,11 +204,12 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Alerts for approaches whose winning line has an order key divisible by 3."""
     first = keep_first(sightings(spark, folder), SIGHTING_KEY, SIGHTING_ORDER)
     sent = first.filter(F.col("l_orderkey") % 3 == 0)
-    approach = approach_id(reference("l_partkey"), F.col("epoch_ms"))
+    sent = _with_ids(sent).withColumnRenamed("id", "approach_id")
+    approach = F.col("approach_id")
     channel = F.when(F.col("l_orderkey") % 2 == 0, "discord").otherwise("email")
     return sent.select(
         alert_id(approach, channel).alias("id"),
-        approach.alias("approach_id"),
+        approach,
         channel.alias("alert_type"),
         F.timestamp_seconds(F.unix_timestamp(_base_time()) + F.col("l_orderkey")).alias("alerted_at"),
         F.lit('{"status":"sent"}').alias("payload"),

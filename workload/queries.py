@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from perigee.functions import display
 from perigee.functions.hazard import has_status, normalise_hazard, normalise_status, severity_rank
 from perigee.functions.numbers import lenient_double
+from perigee.functions.once import evaluate_once
 from perigee.operators import alerts as alerting
 from perigee.operators import ledger, merge, reads, telemetry
 from perigee.operators.reads import ApproachFilter, Period
-from perigee.operators.shape import evaluate_once
 from perigee.plans import extract, load, transform
 from perigee.sources import batches, feed, records
 
@@ -342,7 +342,7 @@ query("approaches_sort_date")(_page(ApproachFilter(sort_by="date", sort_dir="asc
 
 @query("approaches_page_total")
 def _(spark, folder):
-    return reads.approaches_total(m.approaches(spark, folder), PAGE_TOTAL)
+    return reads.approaches_total(m.approaches(spark, folder, ids=False), PAGE_TOTAL)
 
 
 @query("velocity_latest")
@@ -375,7 +375,7 @@ for _period in Period:
 
 @query("daily_avg_velocity")
 def _(spark, folder):
-    return reads.daily_avg_velocity(m.plain_approaches(spark, folder))
+    return reads.daily_avg_velocity(m.plain_approaches(spark, folder, ids=False))
 
 
 @query("count_asteroids")
@@ -385,7 +385,7 @@ def _(spark, folder):
 
 @query("count_approaches")
 def _(spark, folder):
-    return reads.count_approaches(m.plain_approaches(spark, folder))
+    return reads.count_approaches(m.plain_approaches(spark, folder, ids=False))
 
 
 @query("count_hazardous")
@@ -395,12 +395,13 @@ def _(spark, folder):
 
 @query("dashboard_stats")
 def _(spark, folder):
-    return reads.dashboard_stats(m.asteroids(spark, folder), m.plain_approaches(spark, folder))
+    approaches = m.plain_approaches(spark, folder, ids=False)
+    return reads.dashboard_stats(m.asteroids(spark, folder), approaches)
 
 
 @query("hazard_breakdown")
 def _(spark, folder):
-    return reads.hazard_breakdown(m.approaches(spark, folder))
+    return reads.hazard_breakdown(m.approaches(spark, folder, ids=False))
 
 
 @query("count_etl_runs")
@@ -466,8 +467,7 @@ def _(spark, folder):
     lines = m.with_part(
         m.sightings(spark, folder), m.table(spark, folder, "part").select("p_partkey", "p_size")
     )
-    incoming = lines.select(*m.approach_columns(m.hazard_of_sighting()), *m.SIGHTING_ORDER)
-    merged = merge.upsert_approaches(existing, incoming, m.SIGHTING_ORDER)
+    merged = merge.upsert_approaches(existing, m.incoming_approaches(lines), m.SIGHTING_ORDER)
     return merged.drop("orbiting_body", "velocity_km_per_s")
 
 
@@ -636,7 +636,7 @@ def _(spark, folder):
         m.http_requests(spark, folder),
         m.db_queries(spark, folder),
         m.asteroids(spark, folder),
-        m.plain_approaches(spark, folder),
+        m.plain_approaches(spark, folder, ids=False),
         m.etl_events(spark, folder),
         m.METRICS_AS_OF,
     )
