@@ -155,3 +155,18 @@ def test_only_completed_files_are_done(spark):
     assert names(ledger.completed_files(files, book)) == ["done", "redone"]
     assert names(ledger.pending_files(files, book)) == ["again", "bad", "new", "open"]
     assert ledger.pending_files(files, book, force=True).count() == 6
+
+
+def test_a_key_with_a_third_of_the_rows(spark):
+    """The hot key is reduced in every task before the shuffle, and nothing is lost."""
+    hot = spark.range(60000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS asteroid_id",
+        "CAST(1 AS bigint) AS epoch_date_close_approach", "'Low' AS hazard_classification",
+        "CAST(60000 - id AS int) AS n")
+    existing = approaches(spark, [("k1", 1, "High", 0)])
+    picked = keep_first(hot, merge.APPROACH_KEY, ["n"])
+    assert "partial_min" in picked._jdf.queryExecution().executedPlan().toString()
+    merged = merge.upsert_approaches(existing, hot, ["n"])
+    assert merged.count() == 40001
+    assert merged.filter("asteroid_id = 'hot'").first()["n"] == 60000 - 59997
+    assert merged.filter("asteroid_id = 'k1'").first()["hazard_classification"] == "High"
