@@ -58,4 +58,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op8_chat_format": OP8}
+OP3 = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)
+), least AS (
+  SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+  FROM windows JOIN least USING (g) WHERE doc_id > first_doc
+), removed AS (
+  SELECT doc_id, count(*) AS n, list(i) AS places FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w
+         ELSE list_filter(w, lambda x, k: NOT list_contains(places, k)) END, ' ')) AS kept_sha256
+FROM docs d LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op8_chat_format": OP8}
