@@ -130,3 +130,10 @@ def sum_per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         return out
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def runs_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))

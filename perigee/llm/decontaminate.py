@@ -48,7 +48,7 @@ def item_windows(items: list[tuple[str | None, bytes]], window: int = WINDOW) ->
             size = 0
         blocks[-1][key] = (n, tuple(sorted(ids)))
         size += len(key)
-    return blocks
+    return [b for b in blocks if b]
 
 
 def build(block: dict) -> ahocorasick.Automaton:
@@ -116,7 +116,7 @@ def find_contamination(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = shared.value
-        automata = [build(b) for b in blocks] if len(blocks) == 1 else None
+        automata = [build(b) for b in blocks] if len(blocks) < 2 else None
         for part in slices(batches):
             held = texts(part.column("text"))
             if automata is not None:

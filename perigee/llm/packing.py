@@ -82,10 +82,3 @@ def by_shard(keys: np.ndarray, shards: int, *more) -> list[tuple]:
         for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         if b > a
     ]
-
-
-def runs(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where a new key begins."""
-    if not len(sorted_keys):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))

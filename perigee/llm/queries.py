@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from perigee.llm import byte_bpe, chat, decontaminate, language, repeats, simhash
+from perigee.llm import byte_bpe, chat, decontaminate, html_text, language, lm, quality, repeats, simhash, token_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(by: int):
+    """crc32 of the doc_id as text, modulo `by`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return lm.score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"]).select(
+        "row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"]
@@ -30,11 +43,27 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines")
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("row.doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, folder, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", *judged.columns[1:])
+
+
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.new_folder(spark)
+    token_files.write_tokens(table(spark, folder, "documents"), path)
+    return token_files.read_tokens(spark, path, ids_crc32=F.crc32("ids"))
+
+
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     words = "<|im_end|><|im_start|>assistant ok"
     planted = spark.sql(
@@ -46,11 +75,6 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(planted)))
 
 
-def remainder(by: int):
-    """crc32 of the doc_id as text, modulo `by`."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
-
-
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
@@ -67,9 +91,13 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op7_token_files": op7_token_files,
     "op8_chat_format": op8_chat_format,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
@@ -77,5 +105,7 @@ REGISTRY = {
 
 
 def registry() -> dict:
-    """The queries by name."""
-    return dict(REGISTRY)
+    """The queries by name, with the corpus pipeline."""
+    import corpus_pipeline
+
+    return REGISTRY | {"pipeline": corpus_pipeline.run}

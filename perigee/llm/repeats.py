@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from perigee.llm.arrays import Rolling, Words, covered, fits, split_words, sum_per_text
-from perigee.llm.packing import by_shard, chunked, from_body, planes, runs, size_of, unplanes
+from perigee.llm.arrays import Rolling, Words, covered, fits, runs_of, split_words, sum_per_text
+from perigee.llm.packing import by_shard, chunked, from_body, planes, size_of, unplanes
 from perigee.llm.rows import flat, named, rows_and_text, schema_with_row
 
 BLOCK, WINDOW = 25, 50
@@ -56,7 +56,7 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the least id of each."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    first = runs(keys)
+    first = runs_of(keys)
     return keys[first], ids[first]
 
 
@@ -69,7 +69,7 @@ def send_anchors(body: bytes, shards: int) -> list[tuple]:
     block = ((places - words.first[text]) % BLOCK == 0).astype(np.uint8) * REFERENCE
     order = np.lexsort((text, keys))
     keys, text, block = keys[order], text[order], block[order]
-    first = runs(keys)
+    first = runs_of(keys)
     if not len(first):
         return []
     flags = np.bitwise_or.reduceat(block, first)
@@ -83,7 +83,7 @@ def answer_anchors(chunks: list[int], keys: list[np.ndarray], flags: list[np.nda
     in more than one."""
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    first = runs(key[order])
+    first = runs_of(key[order])
     flag = np.bitwise_or.reduceat(np.concatenate(flags)[order], first)
     many = np.diff(np.append(first, len(order))) > 1
     hot = key[order][first][(flag & REFERENCE > 0) & (many | (flag & SEVERAL > 0))]
