@@ -78,27 +78,60 @@ def _attributes(held: str) -> dict[str, str]:
     return out
 
 
-def _close(stack: list[Node], tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
-    """Pops to above the nearest open element of these tags, if no limit is nearer."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
+class Open:
+    """The open elements, root first, and how many there are of each tag."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.count = [root], {}
+
+    @property
+    def last(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def cut(self, i: int) -> None:
+        for node in self.nodes[i:]:
+            self.count[node.tag] -= 1
+        del self.nodes[i:]
+
+    def close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        """Ends the nearest open element of these tags, if no limit is nearer."""
+        if not any(self.count.get(t) for t in tags):
             return
-        if stack[i].tag in limits:
+        for i in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[i].tag in tags:
+                return self.cut(i)
+            if self.nodes[i].tag in limits:
+                return
+
+    def end(self, tag: str) -> None:
+        """An end tag: of an inline element, it ends none beyond the nearest block."""
+        if tag == "br":
+            self.last.children.append(Node("br"))
+        if not self.count.get(tag):
             return
+        for i in range(len(self.nodes) - 1, 0, -1):
+            held = self.nodes[i].tag
+            if held == tag:
+                return self.cut(i)
+            if tag not in BLOCK and (held in BLOCK or held in WALLS) or held == "table" and tag not in ("body", "html"):
+                return
 
 
 def build(source: str) -> tuple[Node, set[str]]:
     """The tree of a page, and the simple selectors that its style sheets do not display."""
     root = Node("#root")
-    stack, hidden, open_p = [root], set(), 0
+    stack, hidden = Open(root), set()
     at, end = 0, len(source)
     while at < end:
         lt = source.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
-            stack[-1].children.append(html.unescape(source[at:lt]))
+            stack.last.children.append(html.unescape(source[at:lt]))
         if lt == end:
             break
         if source.startswith("<!--", lt):
@@ -113,22 +146,24 @@ def build(source: str) -> tuple[Node, set[str]]:
         if not found:
             if source[lt + 1 : lt + 2].isalpha() or source[lt + 1 : lt + 2] == "/" and source[lt + 2 : lt + 3].isalpha():
                 break  # a tag that the end of the page cuts off
-            stack[-1].children.append("<")
+            stack.last.children.append("<")
             at = lt + 1
             continue
         at = found.end()
         closing, tag, held = found.group(1), found.group(2).lower(), found.group(3)
         if closing:
-            _end_tag(stack, tag)
+            stack.end(tag)
             continue
         if tag in ENDS:
-            _close(stack, *ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            _open(stack, Node("tr"))
+            stack.close(*ENDS[tag])
+        if tag in ("td", "th") and stack.last.tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr")
+            stack.last.children.append(row)
+            stack.push(row)
         if tag in BLOCK and tag not in ("html", "body", "option", "optgroup"):
-            _close(stack, ("p",), ("table", "td", "th", "button", "object", "caption"))
+            stack.close(("p",), ("table", "td", "th", "button", "object", "caption"))
         node = Node(tag, _attributes(held) if held and not held.isspace() else {})
-        stack[-1].children.append(node)
+        stack.last.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             inner = source[at : close.start() if close else end]
@@ -138,27 +173,10 @@ def build(source: str) -> tuple[Node, set[str]]:
             gt = source.find(">", close.start()) if close else -1
             at = end if gt < 0 else gt + 1
         elif tag not in VOID and not held.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root, hidden
 
 
-def _open(stack: list[Node], node: Node) -> None:
-    stack[-1].children.append(node)
-    stack.append(node)
-
-
-def _end_tag(stack: list[Node], tag: str) -> None:
-    if tag == "br":
-        stack[-1].children.append(Node("br"))
-        return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if tag not in BLOCK and (stack[i].tag in BLOCK or stack[i].tag in WALLS) or stack[i].tag == "table" and tag not in ("body", "html", "table"):
-            return
-
-
 def _undisplayed(sheet: str) -> set[str]:
     out = set()
     for selectors, held in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):

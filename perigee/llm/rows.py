@@ -23,11 +23,23 @@ def named(name: str):
 
 def rows_and_text(df: DataFrame, text: str = "text", keep: list[str] | None = None, **more) -> DataFrame:
     """`row`: a struct of the kept columns (all by default); `text`; further named columns."""
-    kept = F.struct(*[named(c) for c in (keep or df.columns)]).alias("row")
-    return df.select(kept, named(text).cast("string").alias("text"),
+    kept = F.struct(*[named(c) for c in (keep or df.columns)])
+    kind = df.select(kept.alias("row")).schema["row"].dataType
+    return df.select(kept.cast(_nullable(kind)).alias("row"), named(text).cast("string").alias("text"),
                      *[c.alias(k) for k, c in more.items()])
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere: batches do not carry that nulls are ruled out."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType), True)
+    return kind
+
+
 def schema_with_row(rows: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     """The schema of a result that carries `row` and has the fields given as (name, type)."""
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fields))

@@ -183,8 +183,8 @@ def test_token_files_of_nothing_and_of_null_ids(spark, tmp_path):
     ("<style>.x, #y{display:none}</style><div class='z x'>a</div><p id=y>b</p>c", "c"),
     ("<details><summary>S</summary>x</details><dialog>y</dialog><dl><dt>t<dd>d</dl>", "S\n\nt\n    d"),
     ("1 < 2 <3 & <a href='x>y'>z</a> <unclosed", "1 < 2 <3 & z"),
-    ("<table><td>a<table><td>in</table>b</table>", "a\n\nin\n\nb"),
-    ("</div></p>x</b><td>y", "xy"),
+    ("<table><td>a<table><td>in</table>b</table>", "a\nin\nb"),
+    ("</div></p>x</b><td>y", "x\ny"),
 ])
 def test_visible_text(source, text):
     assert visible_text(source) == text
@@ -192,7 +192,7 @@ def test_visible_text(source, text):
 
 def test_deep_and_hostile_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
-    assert len(visible_text("<table>" + "<tr><td colspan=99999>a<td rowspan=999999>b" * 300)) < 10**6
+    assert len(visible_text("<table>" + "<tr><td colspan=99999>a<td rowspan=999999>b" * 300)) < 2 * 10**6
     assert visible_text("<table><tr><td>" + "w" * 100_000 + "<tr><td>a<td>b").endswith("| b")
     assert visible_text("<a " * 20_000) == ""
 
