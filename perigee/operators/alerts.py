@@ -17,6 +17,7 @@ ALERTED_CLASSES = ("Hazardous", "High", "Critical")
 SENT_PAYLOAD = '{"status":"sent"}'
 BATCH = 100
 
+# The columns of a candidate.
 CANDIDATE_VIEW = (
     "approach_id",
     "name",
@@ -41,9 +42,9 @@ def alert_candidates(
     alerts: DataFrame,
     as_of: dt.date | None = None,
     channel: str = CHANNEL,
-    limit: int = BATCH,
+    limit: int | None = BATCH,
 ) -> DataFrame:
-    """The next approaches to alert about, soonest first.
+    """The next approaches to alert about, soonest first; all of them if `limit` is None.
 
     The date goes first, because it reaches the scan and leaves the least to join.
     """
@@ -59,7 +60,8 @@ def alert_candidates(
         F.col("is_potentially_hazardous") | F.col("hazard_classification").isin(*ALERTED_CLASSES)
     )
     fresh = not_alerted(eligible, alerts, channel).withColumnRenamed("id", "approach_id")
-    return fresh.orderBy("close_approach_date", "approach_id").limit(limit).select(*CANDIDATE_VIEW)
+    ordered = fresh.orderBy("close_approach_date", "approach_id")
+    return (ordered if limit is None else ordered.limit(limit)).select(*CANDIDATE_VIEW)
 
 
 def alert_messages(candidates: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import freeze
-
-# A page that ends within this many rows is cut by a bounded heap per task.
-HEAP_ROWS = 100_000
+#: A sort key: a column name, and whether it goes downwards. Nulls are lowest.
+Order = list[tuple[str, bool]]
+#: Rows that may be skipped by the final sort, rows sampled for cuts, and cuts of one round.
+NEAR, SAMPLED, CUTS = 1000, 4096, 64
 
 
 def check_page(page: int, page_size: int) -> None:
@@ -15,34 +15,57 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError("page and page_size count from 1")
 
 
-def cut_page(rows: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    """Rows of a 1-based page. `order` must be total."""
-    check_page(page, page_size)
-    offset = (page - 1) * page_size
-    if offset + page_size <= HEAP_ROWS:
-        return rows.orderBy(*order).offset(offset).limit(page_size)
-    return cut_deep(rows, order, offset, page_size)
+def columns_of(order: Order) -> list[Column]:
+    return [F.col(name).desc() if down else F.col(name).asc() for name, down in order]
+
+
+def _before(order: Order, cut: tuple) -> Column:
+    """Whether a row sorts before the key values of `cut`."""
+    found = F.lit(False)
+    for (name, down), value in reversed(list(zip(order, cut, strict=True))):
+        column = F.col(name)
+        if value is None:  # null is lowest: last when going down, first when going up
+            strictly = column.isNotNull() if down else F.lit(False)
+        else:
+            bound = F.lit(value)
+            strictly = column > bound if down else (column < bound) | column.isNull()
+        found = F.coalesce(strictly, F.lit(False)) | (column.eqNullSafe(F.lit(value)) & found)
+    return found
 
 
-def cut_deep(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """The same slice for any depth: no task and no driver ever holds the skipped rows.
+def _narrow(rows: DataFrame, order: Order, offset: int, size: int) -> tuple[DataFrame, int] | None:
+    """The rows between the two of some sampled cuts that hold the page most closely, and what
+    is left to skip of them; None if no cut helps. Only cuts and counts reach the driver."""
+    sample = rows.select(*[name for name, _ in order]).orderBy(F.rand(1)).limit(SAMPLED)
+    held = [tuple(r) for r in sample.orderBy(*columns_of(order)).collect()]
+    cuts = list(dict.fromkeys(held[:: max(1, len(held) // CUTS)]))
+    if not cuts:
+        return None
+    counts = rows.agg(*[F.count_if(_before(order, cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
+    below = [i for i, n in enumerate(counts) if 0 < n <= offset]
+    above = [i for i, n in enumerate(counts) if n >= offset + size]
+    if not below and not above:
+        return None
+    if above:
+        rows = rows.filter(_before(order, cuts[above[0]]))
+    if below:
+        rows = rows.filter(~_before(order, cuts[below[-1]]))
+        offset -= counts[below[-1]]
+    return rows, offset
 
-    The rows are range-sorted once and frozen, numbered within their partition, and the
-    partition sizes (one row per partition) give each partition its first global number.
+
+def cut_page(rows: DataFrame, order: Order, page: int, page_size: int) -> DataFrame:
+    """Rows of a 1-based page. `order` must be total.
+
+    The page is closed in on by counting the rows before sampled cuts, until few rows are
+    left to skip; a bounded sort then takes it. No task and no driver holds the skipped rows,
+    and nothing is written. The rows must be the same each time they are read.
     """
-    in_partition = F.monotonically_increasing_id()
-    numbered = freeze(rows.orderBy(*order).withColumn("_position", in_partition))
-    part = F.shiftright("_position", 33)
-    local = F.col("_position").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"), "_rows"
-    ).filter((F.col("_first") < offset + size) & (F.col("_first") + F.col("_rows") > offset))
-    placed = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    rank = F.col("_first") + local
-    return (
-        placed.filter((rank >= offset) & (rank < offset + size))
-        .orderBy(*order)
-        .select(*rows.columns)
-    )
+    check_page(page, page_size)
+    left = (page - 1) * page_size
+    while left > NEAR:
+        found = _narrow(rows, order, left, page_size)
+        if found is None:
+            break
+        rows, left = found
+    return rows.orderBy(*columns_of(order)).offset(left).limit(page_size)

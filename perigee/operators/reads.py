@@ -1,9 +1,9 @@
 """The read queries over asteroids, approaches and load runs.
 
-Every approach belongs to a stored asteroid: loads write the asteroid first and `orphans`
-checks it. So a query that sorts and filters by approach columns only is cut down before
-the join, and the join then sees a page of rows. Pass `orphan_free=False` for tables
-without that guarantee; the join is then done first.
+Where every approach belongs to a stored asteroid (loads write the asteroid first, and
+`orphans` checks it), pass `orphan_free=True`: a query that sorts and filters by approach
+columns only is then cut down before the join, which sees a page of rows. Without it, the
+join is done first, so that a page is full even if some approaches have no asteroid.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import display
 from ..functions.clock import instant
 from ..functions.hazard import HAZARD_CLASSES
-from .paging import check_page, cut_page
+from .paging import Order, check_page, columns_of, cut_page
 from .shape import filter_all, one_row
 
+# Rows of the lists as shipped, and the most rows of a page of runs.
 RECENT_APPROACHES = 50
 LATEST_VELOCITIES = 100
 RECENT_RUNS = 20
@@ -27,6 +28,7 @@ RUNS_PAGE_LIMIT = 20
 PAGE_SIZE = 20
 RUNS_PAGE_SIZE = 10
 
+# The columns of each view, and what pages can be sorted by.
 APPROACH_VIEW = (
     "id",
     "asteroid_name",
@@ -98,11 +100,10 @@ class ApproachFilter:
             found.append(F.col("hazard_classification") == F.lit(self.hazard_class))
         return found
 
-    def order(self) -> list[Column]:
+    def order(self) -> Order:
         """Hazard sorts as text. The identifier makes the order total."""
-        key = F.col(SORT_COLUMNS.get(self.sort_by, "close_approach_date"))
-        key = key.asc() if self.sort_dir == "asc" else key.desc()
-        return [key, F.col("created_at").desc(), F.col("id")]
+        key = SORT_COLUMNS.get(self.sort_by, "close_approach_date")
+        return [(key, self.sort_dir != "asc"), ("created_at", True), ("id", False)]
 
 
 def _asteroid_side(asteroids: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def with_asteroids(approaches: DataFrame, asteroids: DataFrame) -> DataFrame:
 def _page_of(
     approaches: DataFrame,
     asteroids: DataFrame,
-    order: list[Column],
+    order: Order,
     page: int,
     page_size: int,
     join_first: bool,
@@ -133,19 +134,19 @@ def _page_of(
     if join_first:
         return cut_page(with_asteroids(approaches, asteroids), order, page, page_size)
     few = cut_page(approaches, order, page, page_size)
-    return with_asteroids(few, asteroids).orderBy(*order).limit(page_size)
+    return with_asteroids(few, asteroids).orderBy(*columns_of(order)).limit(page_size)
 
 
 def recent_approaches(
-    approaches: DataFrame, asteroids: DataFrame, orphan_free: bool = True
+    approaches: DataFrame, asteroids: DataFrame, orphan_free: bool = False, limit: int = RECENT_APPROACHES
 ) -> DataFrame:
-    """The 50 latest approaches by date."""
-    newest = ApproachFilter(page_size=RECENT_APPROACHES)
+    """The latest approaches by date."""
+    newest = ApproachFilter(page_size=limit)
     return approaches_page(approaches, asteroids, newest, orphan_free)
 
 
 def approaches_page(
-    approaches: DataFrame, asteroids: DataFrame, wanted: ApproachFilter, orphan_free: bool = True
+    approaches: DataFrame, asteroids: DataFrame, wanted: ApproachFilter, orphan_free: bool = False
 ) -> DataFrame:
     """One page of the filtered and sorted table."""
     matching = filter_all(approaches, wanted.conditions())
@@ -182,11 +183,11 @@ def _velocity_view(approaches: DataFrame, asteroids: DataFrame) -> DataFrame:
 
 
 def velocity_latest(
-    approaches: DataFrame, asteroids: DataFrame, orphan_free: bool = True
+    approaches: DataFrame, asteroids: DataFrame, orphan_free: bool = False, limit: int = LATEST_VELOCITIES
 ) -> DataFrame:
-    """The 100 latest velocities."""
-    order = [F.col("close_approach_date").desc(), F.col("id")]
-    page = _page_of(approaches, asteroids, order, 1, LATEST_VELOCITIES, not orphan_free)
+    """The latest velocities."""
+    order = [("close_approach_date", True), ("id", False)]
+    page = _page_of(approaches, asteroids, order, 1, limit, not orphan_free)
     return page.withColumn("date", F.col("close_approach_date")).select(*VELOCITY_VIEW)
 
 
@@ -310,14 +311,26 @@ def count_runs(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("total_runs"))
 
 
-def runs_page(runs: DataFrame, page: int = 1, page_size: int = RUNS_PAGE_SIZE) -> DataFrame:
-    """One page of load runs, newest start first; a page has at most 20 rows."""
-    order = [F.col("started_at").desc(), F.col("id")]
-    return cut_page(runs.select(*RUN_VIEW), order, page, min(page_size, RUNS_PAGE_LIMIT))
+def runs_page(
+    runs: DataFrame, page: int = 1, page_size: int = RUNS_PAGE_SIZE, most: int | None = RUNS_PAGE_LIMIT
+) -> DataFrame:
+    """One page of load runs, newest start first. A page of more than `most` rows is refused;
+    None allows any."""
+    if most is not None and page_size > most:
+        raise ValueError(f"a page of runs has at most {most} rows")
+    order = [("started_at", True), ("id", False)]
+    return cut_page(runs.select(*RUN_VIEW), order, page, page_size)
+
+
+def runs_total(runs: DataFrame, page_size: int = RUNS_PAGE_SIZE) -> DataFrame:
+    """Load runs, and pages of them."""
+    return count_runs(runs).select(
+        "total_runs", display.total_pages(F.col("total_runs"), page_size).alias("total_pages")
+    )
 
 
-def recent_runs(runs: DataFrame) -> DataFrame:
-    return runs_page(runs, 1, RECENT_RUNS)
+def recent_runs(runs: DataFrame, limit: int = RECENT_RUNS) -> DataFrame:
+    return runs_page(runs, 1, limit, most=None)
 
 
 def last_run(runs: DataFrame) -> DataFrame:
@@ -327,10 +340,10 @@ def last_run(runs: DataFrame) -> DataFrame:
 
 
 def asteroid_lookup(asteroids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Asteroids whose `neo_reference_id` is in `wanted`."""
-    return asteroids.join(wanted.select("neo_reference_id"), "neo_reference_id", "left_semi").select(
-        *asteroids.columns
-    )
+    """Asteroids whose `neo_reference_id` is in `wanted`. Copies of a wanted one are reduced
+    first: the right side of a semi-join is not split however often a key is in it."""
+    keys = wanted.select("neo_reference_id").distinct()
+    return asteroids.join(keys, "neo_reference_id", "left_semi").select(*asteroids.columns)
 
 
 def display_rows(page: DataFrame) -> DataFrame:

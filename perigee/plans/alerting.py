@@ -16,7 +16,7 @@ def write_outbox(
     folder: str,
     as_of: dt.date | None = None,
     channel: str = alerts.CHANNEL,
-    limit: int = alerts.BATCH,
+    limit: int | None = alerts.BATCH,
 ) -> DataFrame:
     """Write the messages of the next candidates; returns them. A sender that stops half
     way sends the rest in the next run, because only recorded deliveries leave the list."""

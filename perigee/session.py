@@ -1,10 +1,8 @@
-"""Session defaults and the folder that cuts lineage on a cluster."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 UTC_CONF = "spark.sql.session.timeZone"
 
@@ -26,15 +24,3 @@ def prepare(spark: SparkSession) -> None:
     zone the session came with."""
     if spark.conf.get(UTC_CONF) != "UTC":
         spark.conf.set(UTC_CONF, "UTC")
-
-
-def freeze(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, a temp folder only if unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not _checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="perigee-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir()

@@ -71,4 +71,4 @@ def batch_count(start: dt.date, end: dt.date, batch_days: int = DEFAULT_BATCH_DA
 
 def pending(planned: DataFrame, existing: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Planned rows whose output is not there yet; all of them when forced."""
-    return planned if force else planned.join(existing.select(key), key, "left_anti")
+    return planned if force else planned.join(existing.select(key).distinct(), key, "left_anti")

@@ -64,7 +64,7 @@ def test_pages(data, wanted):
     ap, ast, *_ = data
     ids, total = expected(data, wanted)
     assert [r["id"] for r in reads.approaches_page(ap, ast, wanted).collect()] == ids
-    again = reads.approaches_page(ap, ast, wanted, orphan_free=False)
+    again = reads.approaches_page(ap, ast, wanted, orphan_free=True)
     assert [r["id"] for r in again.collect()] == ids
     counted = reads.approaches_total(ap, wanted).first()
     assert counted["total_items"] == total
@@ -81,12 +81,18 @@ def test_orphans_are_not_shown_when_there_may_be_some(data):
         e[1] != "a19" for e in events)
 
 
-@pytest.mark.parametrize("offset, size", [(0, 20), (133, 20), (690, 20), (700, 5), (0, 1000)])
-def test_deep_pages_equal_shallow_ones(data, offset, size):
+@pytest.mark.parametrize("page, size", [(1, 20), (8, 19), (35, 20), (141, 5), (1, 1000), (900, 7)])
+@pytest.mark.parametrize("down", [True, False])
+def test_deep_pages_equal_shallow_ones(data, monkeypatch, page, size, down):
     ap, *_ = data
-    order = [F.col("velocity_km_per_h").desc(), F.col("id")]
-    deep = paging.cut_deep(ap.repartition(5), order, offset, size)
-    assert deep.collect() == ap.orderBy(*order).offset(offset).limit(size).collect()
+    monkeypatch.setattr(paging, "NEAR", 5)
+    monkeypatch.setattr(paging, "SAMPLED", 40)
+    monkeypatch.setattr(paging, "CUTS", 4)
+    # nulls and many equal first keys
+    rows = ap.withColumn("key", F.when(F.crc32(F.col("id").cast("binary")) % 5 > 0, F.col("hazard_classification")))
+    order = [("key", down), ("velocity_km_per_h", not down), ("id", False)]
+    plain = rows.orderBy(*paging.columns_of(order)).offset((page - 1) * size).limit(size)
+    assert paging.cut_page(rows.repartition(5), order, page, size).collect() == plain.collect()
 
 
 def test_filters_are_checked():
@@ -178,7 +184,11 @@ def test_runs(spark):
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(reads.recent_runs(runs)) == order[:20]
     assert ids(reads.runs_page(runs, 2)) == order[10:20]
-    assert ids(reads.runs_page(runs, 2, 500)) == order[20:40]
+    assert ids(reads.runs_page(runs, 2, 20)) == order[20:40]
+    assert ids(reads.runs_page(runs, 1, 500, most=None)) == order
+    with pytest.raises(ValueError, match="at most 20"):
+        reads.runs_page(runs, 2, 50)
+    assert tuple(reads.runs_total(runs).first()) == (45, 5)
     assert reads.last_run(runs).first()[0] == int(
         dt.datetime(2024, 2, 1, 23, tzinfo=dt.timezone.utc).timestamp())
     assert reads.last_run(runs.filter("status = 'failed'")).first()[0] is None

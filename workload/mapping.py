@@ -245,13 +245,9 @@ def week_start(date: Column) -> Column:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer splits than there are cores, dealt out evenly.
-
-    A document is some forty times as large as its row and far dearer to make and parse than
-    to move; with enough splits, as in any large table, nothing is moved.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt out evenly: a document is some forty times as large as its row and far
+    dearer to make and parse than to move."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def feed_documents(spark: SparkSession, folder: str) -> DataFrame:

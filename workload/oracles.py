@@ -407,6 +407,9 @@ ORACLES: dict[str, str] = {
     "approaches_sort_name": page("TRUE", "v.asteroid_name ASC", 20, 20),
     "approaches_sort_hazard": page("TRUE", "v.hazard_classification DESC", 20, 0),
     "approaches_sort_date": page("TRUE", "v.close_approach_date ASC", 20, 0),
+    "approaches_page_deep": f"""SELECT {VIEW} FROM view v
+        QUALIFY (row_number() OVER (ORDER BY v.close_approach_date DESC, v.created_at DESC, v.id) - 1) // 20
+            = count(*) OVER () // 2 // 20""",
     "approaches_page_total": """SELECT count(*) AS total_items,
             CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages,
             CAST(greatest(ceil(count(*) / 20), 1) AS BIGINT) AS table_pages
@@ -437,13 +440,15 @@ ORACLES: dict[str, str] = {
     "recent_etl_runs": f"SELECT {RUNS} FROM etl_events ORDER BY started_at DESC, id LIMIT 20",
     "etl_runs_page": f"""SELECT {RUNS} FROM etl_events
         ORDER BY started_at DESC, id LIMIT 20 OFFSET 20""",
+    "etl_runs_total": """SELECT count(*) AS total_runs, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages
+        FROM etl_events""",
     "last_etl_run": """SELECT epoch_ms(max(completed_at)) // 1000 AS last_etl_run FROM etl_events
         WHERE status = 'completed'""",
     # merges and the ledger
     "upsert_asteroids": f"""WITH incoming AS (
             SELECT p_partkey, p_size, p_name || ' rev ' || CAST(l_orderkey AS VARCHAR) AS name,
                    l_quantity
-            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O'
+            FROM lineitem JOIN part ON l_partkey = p_partkey
             QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY l_shipdate DESC,
                 l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC,
                 name DESC) = 1),
