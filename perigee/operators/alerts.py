@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import display
 from ..functions.clock import day, instant
 from ..functions.ids import alert_id
+from ..sources.tables import in_months
 from .merge import ALERT_KEY, insert_ignoring
 
 # The channel, the classes that are alerted, and what is stored when sent.
@@ -48,7 +49,7 @@ def alert_candidates(
 
     The date goes first, because it reaches the scan and leaves the least to join.
     """
-    upcoming = approaches.filter(F.col("close_approach_date") >= day(as_of))
+    upcoming = in_months(approaches, day(as_of), None).filter(F.col("close_approach_date") >= day(as_of))
     objects = asteroids.select(
         F.col("id").alias("asteroid_id"),
         "name",

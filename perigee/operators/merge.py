@@ -1,9 +1,7 @@
 """Upserts as DataFrame merges, and the keys between the tables.
 
-`existing` is usually far larger than `incoming`. Each merge therefore first finds the keys
-both sides share by a left-semi join of `existing` against `incoming`; Spark broadcasts
-`incoming` when its size allows and `existing` is then not shuffled at all, and it falls
-back to a sort-merge join when it is not small.
+Each side of a merge is read and deduplicated once. `existing` is best restricted before to
+what the incoming rows can meet, as `plans.load` does by partition.
 """
 
 from __future__ import annotations
@@ -21,9 +19,9 @@ KEPT = ("id", "created_at")
 
 
 def _without_known(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not in `existing`; `rows` has one row per key."""
-    shared = existing.select(*keys).join(rows.select(*keys), keys, "left_semi")
-    return rows.join(shared, keys, "left_anti")
+    """Rows whose key is not in `existing`; `rows` has one row per key and is made once. Of
+    `existing` only the keys are moved."""
+    return rows.join(existing.select(*keys), keys, "left_anti")
 
 
 def latest_asteroids(incoming: DataFrame, order: list[str]) -> DataFrame:
@@ -36,30 +34,38 @@ def first_approaches(incoming: DataFrame, order: list[str]) -> DataFrame:
     return keep_first(incoming, APPROACH_KEY, order)
 
 
-def new_asteroids(existing: DataFrame, latest: DataFrame) -> DataFrame:
-    return _without_known(latest, existing, ASTEROID_KEY)
-
-
 def upsert_asteroids(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
     """The whole table after the merge: known objects get the new values but keep their
     identifier and creation time, unknown ones are added."""
     columns = existing.columns
     latest = latest_asteroids(incoming, order)
-    changed = latest.select(
+    return _with_average(_merged(existing, latest, "full_outer").select(*columns))
+
+
+def changed_asteroids(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Only the rows that the merge adds or changes, as they are after it."""
+    latest = latest_asteroids(incoming, order)
+    return _with_average(_merged(existing, latest, "right_outer").select(*existing.columns))
+
+
+def _merged(existing: DataFrame, latest: DataFrame, how: str) -> DataFrame:
+    columns = existing.columns
+    fresh = latest.select(
         *ASTEROID_KEY,
         *[F.col(name).alias(f"new_{name}") for name in columns if name not in ASTEROID_KEY],
         F.lit(True).alias("changed"),
     )
-    updated = existing.join(changed, ASTEROID_KEY, "left").select(
+    old = existing.withColumn("stored", F.lit(True))
+    return old.join(fresh, ASTEROID_KEY, how).select(
         *[
             F.col(name)
-            if name in ASTEROID_KEY or name in KEPT
-            else F.when(F.col("changed"), F.col(f"new_{name}")).otherwise(F.col(name)).alias(name)
+            if name in ASTEROID_KEY
+            else F.when(F.col("stored") if name in KEPT else F.col("changed").isNull(), F.col(name))
+            .otherwise(F.col(f"new_{name}"))
+            .alias(name)
             for name in columns
         ]
     )
-    added = new_asteroids(existing, latest).select(*columns)
-    return _with_average(updated.unionByName(added))
 
 
 def _with_average(asteroids: DataFrame) -> DataFrame:
@@ -70,15 +76,8 @@ def _with_average(asteroids: DataFrame) -> DataFrame:
     )
 
 
-def new_approaches(
-    existing: DataFrame, incoming: DataFrame, order: list[str], epochs: tuple[int, int] | None = None
-) -> DataFrame:
-    """Rows to append: first per key, and not in the table yet.
-
-    `epochs`, the span of the incoming rows, limits which part of `existing` is read.
-    """
-    if epochs is not None:
-        existing = existing.filter(F.col("epoch_date_close_approach").between(*epochs))
+def new_approaches(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Rows to append: first per key, and not in the table yet."""
     return _without_known(first_approaches(incoming, order), existing, APPROACH_KEY)
 
 
@@ -100,31 +99,39 @@ def upsert_stats(
     incoming_approaches: DataFrame,
 ) -> DataFrame:
     """One row: what a merge inserts, updates and skips. Keys only are shuffled."""
-    objects = incoming_asteroids.select(*ASTEROID_KEY).distinct()
-    added_objects = _without_known(objects, existing_asteroids, ASTEROID_KEY)
-    events = incoming_approaches.groupBy(*APPROACH_KEY).agg(F.count("*").alias("copies"))
-    added_events = _without_known(events, existing_approaches, APPROACH_KEY)
-    none = F.lit(0).cast("bigint")
-    parts = [
-        objects.agg(F.count("*").alias("n")).select(
-            F.col("n").alias("objects"), none.alias("added"), none.alias("rows"), none.alias("new")
-        ),
-        added_objects.agg(F.count("*").alias("n")).select(
-            none.alias("objects"), F.col("n").alias("added"), none.alias("rows"), none.alias("new")
-        ),
-        events.agg(F.coalesce(F.sum("copies"), none).alias("n")).select(
-            none.alias("objects"), none.alias("added"), F.col("n").alias("rows"), none.alias("new")
-        ),
-        added_events.agg(F.count("*").alias("n")).select(
-            none.alias("objects"), none.alias("added"), none.alias("rows"), F.col("n").alias("new")
-        ),
-    ]
-    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return total.agg(
-        F.sum("added").alias("asteroids_inserted"),
-        (F.sum("objects") - F.sum("added")).alias("asteroids_updated"),
-        F.sum("new").alias("approaches_inserted"),
-        (F.sum("rows") - F.sum("new")).alias("approaches_skipped"),
+    objects = incoming_asteroids.select(
+        F.col("neo_reference_id").alias("reference"),
+        F.lit(None).cast("string").alias("asteroid_id"),
+        F.lit(None).cast("bigint").alias("epoch"),
+    )
+    events = incoming_approaches.select(
+        F.lit(None).cast("string").alias("reference"),
+        "asteroid_id",
+        F.col("epoch_date_close_approach").alias("epoch"),
+    )
+    return merge_counts(objects.unionByName(events), existing_asteroids, existing_approaches)
+
+
+def merge_counts(keys: DataFrame, existing_asteroids: DataFrame, existing_approaches: DataFrame) -> DataFrame:
+    """The same from the keys of what comes in (`reference`, `asteroid_id`, `epoch`; NULL epoch
+    for an object), read once: stored and incoming keys are grouped together."""
+    is_object = F.col("epoch").isNull()
+    incoming = keys.select(
+        F.when(is_object, F.col("reference")).otherwise(F.col("asteroid_id")).alias("key"),
+        "epoch", F.lit(1).alias("rows"), F.lit(False).alias("stored"),
+    )
+    stored = existing_asteroids.select(F.col("neo_reference_id").alias("key"), F.lit(None).cast("bigint").alias("epoch")).unionByName(
+        existing_approaches.select(F.col("asteroid_id").alias("key"), F.col("epoch_date_close_approach").alias("epoch"))
+    ).select("key", "epoch", F.lit(0).alias("rows"), F.lit(True).alias("stored"))
+    grouped = incoming.unionByName(stored).groupBy("key", "epoch").agg(
+        F.sum("rows").alias("rows"), F.max("stored").alias("stored")
+    ).filter("rows > 0")
+    fresh = ~F.col("stored")
+    return grouped.agg(
+        F.count_if(is_object & fresh).alias("asteroids_inserted"),
+        F.count_if(is_object & ~fresh).alias("asteroids_updated"),
+        F.count_if(~is_object & fresh).alias("approaches_inserted"),
+        (F.coalesce(F.sum(F.when(~is_object, F.col("rows"))), F.lit(0)) - F.count_if(~is_object & fresh)).alias("approaches_skipped"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import display
 from ..functions.clock import instant
 from ..functions.hazard import HAZARD_CLASSES
+from ..sources.tables import in_months
 from .paging import Order, check_page, columns_of, cut_page
 from .shape import filter_all, one_row
 
@@ -100,6 +101,10 @@ class ApproachFilter:
             found.append(F.col("hazard_classification") == F.lit(self.hazard_class))
         return found
 
+    def matching(self, approaches: DataFrame) -> DataFrame:
+        ends = [None if day is None else F.lit(day) for day in (self.start_date, self.end_date)]
+        return filter_all(in_months(approaches, *ends), self.conditions())
+
     def order(self) -> Order:
         """Hazard sorts as text. The identifier makes the order total."""
         key = SORT_COLUMNS.get(self.sort_by, "close_approach_date")
@@ -149,7 +154,7 @@ def approaches_page(
     approaches: DataFrame, asteroids: DataFrame, wanted: ApproachFilter, orphan_free: bool = False
 ) -> DataFrame:
     """One page of the filtered and sorted table."""
-    matching = filter_all(approaches, wanted.conditions())
+    matching = wanted.matching(approaches)
     join_first = wanted.sort_by == "name" or not orphan_free
     page = _page_of(
         matching, asteroids, wanted.order(), wanted.page, wanted.page_size, join_first
@@ -164,7 +169,7 @@ def approaches_total(
 ) -> DataFrame:
     """Rows and pages of the whole filtered result. The join adds and removes no row, so it
     is left out; pass `asteroids` for tables that may have orphans."""
-    matching = filter_all(approaches, wanted.conditions())
+    matching = wanted.matching(approaches)
     if asteroids is not None:
         keys = asteroids.select(F.col("id").alias("asteroid_id"))
         matching = matching.join(keys, "asteroid_id", "left_semi")
@@ -192,7 +197,8 @@ def velocity_latest(
 
 
 def since(period: Period, as_of: dt.datetime | None = None) -> Column:
-    """Dates at or after the instant one period before `as_of`; a date is its midnight.
+    """The first date at or after the instant one period before `as_of`; a date is its
+    midnight.
 
     The instant is moved up to the next midnight, so that the date column itself is
     compared and the condition can reach the scan.
@@ -202,7 +208,7 @@ def since(period: Period, as_of: dt.datetime | None = None) -> Column:
     first_day = F.when(midnight.cast("timestamp") == begin, midnight).otherwise(
         F.date_add(midnight, 1)
     )
-    return F.col("close_approach_date") >= first_day
+    return first_day
 
 
 def velocity_period(
@@ -212,7 +218,8 @@ def velocity_period(
     as_of: dt.datetime | None = None,
 ) -> DataFrame:
     """Velocities from one period ago on, future dates included, oldest first."""
-    chosen = approaches.filter(since(period, as_of))
+    first = since(period, as_of)
+    chosen = in_months(approaches, first, None).filter(F.col("close_approach_date") >= first)
     return _velocity_view(chosen, asteroids).orderBy("date", "id").select(*VELOCITY_VIEW)
 
 
@@ -229,7 +236,8 @@ def velocity_range(
         conditions.append(date >= F.lit(start))
     if end is not None:
         conditions.append(date <= F.lit(end))
-    chosen = filter_all(approaches, conditions)
+    ends = [None if day is None else F.lit(day) for day in (start, end)]
+    chosen = filter_all(in_months(approaches, *ends), conditions)
     return _velocity_view(chosen, asteroids).orderBy("date", "id").select(*VELOCITY_VIEW)
 
 

@@ -72,19 +72,43 @@ def _http_rates() -> list[Column]:
     ]
 
 
+def _per_minute(log: DataFrame, *parts: Column) -> DataFrame:
+    counted = log.groupBy(_minute().alias("minute")).agg(*parts)
+    return counted.select(F.col("minute.start").alias("window_start"), *counted.columns[1:])
+
+
+def http_minutes(log: DataFrame) -> DataFrame:
+    """What the request rates of an aligned minute are made of: sums, which can be added up."""
+    return _per_minute(log, *_http_parts())
+
+
+def db_minutes(log: DataFrame) -> DataFrame:
+    return _per_minute(log, F.count("*").alias("queries"))
+
+
+def added_minutes(minutes: DataFrame) -> DataFrame:
+    """Sums of the same minute, from several parts of a log, as one row."""
+    parts = [F.sum(name).alias(name) for name in minutes.columns if name != "window_start"]
+    return minutes.groupBy("window_start").agg(*parts)
+
+
+def http_rates_of(minutes: DataFrame) -> DataFrame:
+    return minutes.select("window_start", *_http_rates())
+
+
+def db_rates_of(minutes: DataFrame) -> DataFrame:
+    rate = F.col("queries") / F.lit(RATE_SECONDS)
+    return minutes.select("window_start", rate.alias("db_queries_per_second"))
+
+
 def http_rates(log: DataFrame) -> DataFrame:
     """Request rate, error share and mean response time per aligned minute."""
-    per_minute = log.groupBy(_minute().alias("minute")).agg(*_http_parts())
-    return per_minute.select(F.col("minute.start").alias("window_start"), *_http_rates())
+    return http_rates_of(http_minutes(log))
 
 
 def db_rates(log: DataFrame) -> DataFrame:
     """Query rate per aligned minute."""
-    per_minute = log.groupBy(_minute().alias("minute")).agg(F.count("*").alias("queries"))
-    return per_minute.select(
-        F.col("minute.start").alias("window_start"),
-        (F.col("queries") / F.lit(RATE_SECONDS)).alias("db_queries_per_second"),
-    )
+    return db_rates_of(db_minutes(log))
 
 
 def _last_minute(log: DataFrame, as_of: dt.datetime | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clock import instant
 from ..sources.batches import pending
-from ..sources.feed import decode_feed, land, object_counts
+from ..sources.feed import decode_feed, land, listed
 
 # Fixed value: version of the feed interface, stored with every run.
 FEED_API_VERSION = "v1"
@@ -21,11 +21,17 @@ def pending_batches(planned: DataFrame, landed: DataFrame, force: bool = False)
 
 def batch_results(planned: DataFrame, landed: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per planned batch: `skipped` (landed before), `extracted` with its object
-    count, or `failed` (no readable document came back)."""
+    count, or `failed` (no readable document came back), and how many documents of it could
+    not be read. Documents of batches that are skipped are not parsed."""
+    fresh = pending(documents, landed.select(F.col("batch_file").alias("source_file")), "source_file")
+    decoded = decode_feed(fresh)
+    readable = F.col("decode_error").isNull()
     counts = (
-        object_counts(decode_feed(documents).filter(F.col("decode_error").isNull()))
-        .groupBy(F.col("source_file").alias("batch_file"))
-        .agg(F.sum("actual_count").alias("objects"))
+        decoded.groupBy(F.col("source_file").alias("batch_file"))
+        .agg(
+            F.sum(F.when(readable, listed(F.col("days")))).alias("objects"),
+            F.count_if(~readable).alias("unreadable"),
+        )
     )
     before = landed.select("batch_file").distinct().withColumn("landed", F.lit(True))
     joined = planned.join(before, "batch_file", "left").join(counts, "batch_file", "left")
@@ -41,6 +47,7 @@ def batch_results(planned: DataFrame, landed: DataFrame, documents: DataFrame) -
         "batch_end",
         status.alias("status"),
         objects.cast("bigint").alias("objects"),
+        F.coalesce("unreadable", F.lit(0)).alias("unreadable"),
     )
 
 

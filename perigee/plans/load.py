@@ -5,12 +5,12 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import instant
 from ..operators import ledger, merge
 from ..operators.shape import one_row
-from ..sources import listing, records, tables
+from ..sources import records, tables
 
 # which of several copies counts: the asteroid written last, the approach written first
 LATEST = ["updated_at", "source_file"]
@@ -19,9 +19,9 @@ EARLIEST = ["created_at", "source_file"]
 
 @dataclasses.dataclass
 class Load:
-    """Frames of one load. Nothing has been written yet."""
+    """New and changed rows of one load. Nothing has been written yet."""
 
-    asteroids: DataFrame
+    changed_asteroids: DataFrame
     added_approaches: DataFrame
     etl_events: DataFrame
     file_stats: DataFrame
@@ -65,6 +65,41 @@ def file_stats(
     return summed.withColumn("failed", F.col("asteroids_upserted") == 0)
 
 
+def counted_load(files: DataFrame, keys: DataFrame, approaches: DataFrame) -> DataFrame:
+    """`file_stats` of a load that is only counted, from the keys of what comes in
+    (`feed.merge_keys`), which are read once.
+
+    Stored and incoming keys are grouped together; the first file by name is credited. After
+    copies within a file are reduced, a key has a row per file that lists it.
+    """
+    none = F.lit(None).cast("string")
+    stored = approaches.select(
+        none.alias("source_file"), "asteroid_id", F.col("epoch_date_close_approach").alias("epoch"),
+        F.lit(0).alias("rows"), F.lit(True).alias("stored"),
+    )
+    incoming = keys.select("source_file", "asteroid_id", "epoch", F.lit(1).alias("rows"), F.lit(False).alias("stored"))
+    each = incoming.unionByName(stored).groupBy("source_file", "asteroid_id", "epoch").agg(
+        F.sum("rows").alias("rows"), F.max("stored").alias("stored")
+    )
+    same_key = Window.partitionBy("asteroid_id", "epoch")
+    credited = (F.col("source_file") == F.min("source_file").over(same_key)) & ~F.max("stored").over(same_key)
+    found = each.withColumn("credited", credited).filter(F.col("source_file").isNotNull())
+    is_object = F.col("epoch").isNull()
+    counted = found.groupBy("source_file").agg(
+        F.count_if(is_object).alias("objects"),
+        F.coalesce(F.sum(F.when(~is_object, F.col("rows"))), F.lit(0)).alias("rows"),
+        F.count_if(~is_object & F.col("credited")).alias("added"),
+    )
+    zero = F.lit(0).cast("bigint")
+    listed = files.select("source_file", zero.alias("objects"), zero.alias("rows"), zero.alias("added"))
+    summed = counted.unionByName(listed).groupBy("source_file").agg(
+        F.sum("objects").alias("asteroids_upserted"),
+        F.sum("added").alias("approaches_inserted"),
+        (F.sum("rows") - F.sum("added")).alias("approaches_skipped"),
+    )
+    return summed.withColumn("failed", F.col("asteroids_upserted") == 0)
+
+
 def load_summary(stats: DataFrame, skipped_files: DataFrame) -> DataFrame:
     """One row over all files of a load; failed files count nowhere."""
     done = stats.filter(~F.col("failed")).agg(
@@ -121,31 +156,23 @@ def prepare(
     decoded = records.decode_records(lines).persist()
     incoming_asteroids = records.record_asteroids(decoded)
     incoming_approaches = records.record_approaches(decoded)
-    epoch = F.col("epoch_date_close_approach")
-    span = incoming_approaches.agg(F.min(epoch).alias("low"), F.max(epoch).alias("high")).first()
-    known = approaches
-    if span["low"] is not None and tables.MONTH in approaches.columns:
-        low, high = (tables.epoch_month(F.lit(span[end])) for end in ("low", "high"))
-        known = approaches.filter(F.col(tables.MONTH).between(low, high))
+    known = tables.same_buckets(approaches, incoming_approaches)
     added = merge.new_approaches(known, incoming_approaches, EARLIEST).persist()
     stats = file_stats(files, incoming_asteroids, incoming_approaches, added)
     return Load(
-        asteroids=merge.upsert_asteroids(asteroids, incoming_asteroids, LATEST),
+        changed_asteroids=merge.changed_asteroids(asteroids, incoming_asteroids, LATEST),
         added_approaches=added,
-        etl_events=ledger.apply_events(etl_events, ledger.fold_events(file_events(stats, at))),
+        etl_events=ledger.apply_events(
+            etl_events, ledger.fold_events(file_events(stats, at)), changed_only=True
+        ),
         file_stats=stats,
         kept=[decoded, added],
     )
 
 
-def listed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """`source_file` and `path` of the record files of a folder, flat or partitioned."""
-    return listing.files(spark, folder).filter(F.col("source_file").endswith(records.SUFFIX))
-
-
 def plan_load(spark: SparkSession, folder: str, root: str, force: bool = False) -> DataFrame:
     """Dry run: the files a load would read."""
-    listed = listed_files(spark, folder)
+    listed = records.record_files(spark, folder)
     return ledger.pending_files(listed, tables.read_table(spark, root, "etl_events"), force)
 
 
@@ -159,19 +186,15 @@ def run_load(
     """Load the files that were not completed before; returns the summary, or None if there
     was nothing to do. Files fail one by one; the others are loaded."""
     at = at or dt.datetime.now(dt.timezone.utc)
-    todo = plan_load(spark, folder, root, force)
+    listed, known = records.record_files(spark, folder), tables.read_table(spark, root, "etl_events")
+    todo = ledger.pending_files(listed, known, force)
     # the driver hands the reader paths that its file listing holds anyway
     paths = [row["path"] for row in todo.select("path").collect()]
     if not paths:
         return None
     files = todo.select("source_file").distinct()
-    folder_of = F.regexp_extract(F.col("_metadata.file_path"), r"/source_file=([^/]+)/[^/]+\z", 1)
-    name = F.when(folder_of != "", folder_of).otherwise(F.col("_metadata.file_name"))
-    lines = spark.read.text(paths).select(name.alias("source_file"), "value")
-    done = ledger.completed_files(
-        listed_files(spark, folder).select("source_file").distinct(),
-        tables.read_table(spark, root, "etl_events"),
-    )
+    lines = spark.read.text(paths).select(records.line_source().alias("source_file"), "value")
+    done = ledger.completed_files(listed.select("source_file").distinct(), known)
     skipped = done.limit(0) if force else done
     return commit(spark, root, tables.next_run(spark, root), files, lines, skipped, at)
 
@@ -198,7 +221,7 @@ def commit(
             root,
             run,
             {
-                "asteroids": load.asteroids,
+                "asteroids": load.changed_asteroids,
                 "approaches": load.added_approaches,
                 "etl_events": load.etl_events,
             },
@@ -207,3 +230,12 @@ def commit(
         return spark.createDataFrame([row], summary.schema)
     finally:
         load.release()
+
+
+def delete_asteroids(spark: SparkSession, root: str, removed: DataFrame) -> None:
+    """Remove asteroids (column `id`) with all that hangs on them, as a run that writes the
+    three tables anew."""
+    held = [tables.read_table(spark, root, name) for name in ("asteroids", "approaches", "alerts")]
+    kept = merge.cascade_delete(removed, *held)
+    parts = dict(zip(("asteroids", "approaches", "alerts"), kept, strict=True))
+    tables.write_run(root, tables.next_run(spark, root), parts, spark, whole=True)

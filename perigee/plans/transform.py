@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.clock import instant
 from ..functions.hazard import HAZARD_CLASSES
+from ..functions.once import evaluate_once
 from ..operators.shape import one_row
 from ..sources import feed, listing
 from ..sources.batches import pending
-from ..sources.records import transformed_name, write_records
+from ..sources.records import SUFFIX, transformed_name, write_records
 
 
 def transform_feed(
@@ -22,19 +23,25 @@ def transform_feed(
     return feed.records(feed.feed_objects(feeds), instant(at))
 
 
-def transform_summary(records: DataFrame, files: DataFrame, done: DataFrame) -> DataFrame:
+def transform_summary(
+    documents: DataFrame, files: DataFrame, done: DataFrame, strict: bool = True
+) -> DataFrame:
     """One row: files processed and skipped, objects listed, approaches, and classes.
 
-    Objects are counted as listed, before duplicates are merged.
+    Objects are counted as listed, before duplicates are merged. Documents of files that are
+    done are not parsed.
     """
-    skipped = files.join(done.select("source_file"), "source_file", "left_semi")
-    listed = pending(records, done, "source_file")
-    of_class = lambda name: F.sum(
-        F.size(F.filter("approaches", lambda item: item["hazard_classification"] == name))
+    skipped = files.join(done.select("source_file").distinct(), "source_file", "left_semi")
+    todo = pending(documents, done, "source_file")
+    objects = feed.feed_objects(feed.valid_feeds(feed.decode_feed(todo), strict))
+    neo = F.col("neo")
+    classed = evaluate_once(
+        objects.select("neo"), classes=F.transform(neo["approaches"], lambda item: feed.hazard_of(neo, item))
     )
-    totals = listed.agg(
+    of_class = lambda name: F.sum(F.size(F.filter("classes", lambda held: held == name)))
+    totals = classed.agg(
         F.count("*").alias("total_asteroids"),
-        F.coalesce(F.sum(F.size("approaches")), F.lit(0)).alias("total_approaches"),
+        F.coalesce(F.sum(F.size("classes")), F.lit(0)).alias("total_approaches"),
         *[F.coalesce(of_class(name), F.lit(0)).alias(f"{name.lower()}_count") for name in HAZARD_CLASSES],
     )
     zero = F.lit(0).cast("bigint")
@@ -54,12 +61,13 @@ def transformed_files(spark: SparkSession, folder: str) -> DataFrame:
     if not listing.exists(spark, folder):
         return spark.createDataFrame([], "source_file string")
     raw = F.regexp_replace("source_file", r"_transformed\.json\z", ".json")
-    return listing.files(spark, folder).select(raw.alias("source_file")).distinct()
+    return listing.files(spark, folder, lambda name: name.endswith(SUFFIX)).select(raw.alias("source_file")).distinct()
 
 
 def plan_transform(spark: SparkSession, raw: str, out: str, force: bool = False) -> DataFrame:
-    """Dry run: the files a transform would read, and where their output would go."""
-    files = listing.files(spark, raw, "*.json")
+    """Dry run: the files a transform would read, and where their output would go. A raw
+    folder holds files of one document each, or batches as `land` writes them."""
+    files = listing.files(spark, raw, lambda name: name.endswith(".json"))
     todo = pending(files, transformed_files(spark, out), "source_file", force)
     return todo.withColumn("output", transformed_name(F.col("source_file")))
 
@@ -71,21 +79,39 @@ def run_transform(
     at: dt.datetime | None = None,
     force: bool = False,
     strict: bool = True,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Transform the files that have no output yet; returns the files that were read.
+    """Transform the files that have no output yet; returns the files that were read, with
+    the number of their documents that were rejected.
 
     Only those files are opened: the driver hands their paths, which its listing holds
-    anyway, to the reader.
+    anyway, to the reader. A document without objects gets an output without records. The
+    first bad document ends a strict run; else bad ones go, with the reason, to the folder
+    `rejects`, which must then be given.
     """
+    if not strict and rejects is None:
+        raise ValueError("name a folder for rejected documents")
     todo = plan_transform(spark, raw, out, force)
-    paths = [row["path"] for row in todo.select("path").collect()]
-    if not paths:
-        return todo
-    documents = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("document")
-    )
-    empty = listing.without_content(spark, todo, raw)
+    held = todo.select("path", "batch").collect()
+    none = F.lit(0).cast("bigint").alias("rejected_documents")
+    if not held:
+        return todo.select("*", none)
+    documents = feed.read_files(spark, [r["path"] for r in held if not r["batch"]], [r["path"] for r in held if r["batch"]])
+    empty = listing.without_content(spark, todo.filter("NOT batch"), raw)
     documents = documents.unionByName(empty.select("source_file", F.lit("").alias("document")))
     fixed = at or dt.datetime.now(dt.timezone.utc)
-    write_records(transform_feed(documents, fixed, strict), out, overwrite=True)
-    return todo
+    decoded = feed.decode_feed(documents).persist()
+    try:
+        valid = feed.valid_feeds(decoded, strict)
+        write_records(
+            feed.records(feed.feed_objects(valid), instant(fixed)), out, overwrite=True, without=feed.empty_feeds(valid)
+        )
+        if strict:
+            return todo.select("*", none)
+        feed.rejects(decoded).write.mode("overwrite").parquet(rejects)
+    finally:
+        decoded.unpersist()
+    bad = spark.read.parquet(rejects).groupBy("source_file").agg(F.count("*").alias("bad"))
+    return todo.join(bad, "source_file", "left").select(
+        *todo.columns, F.coalesce("bad", F.lit(0).cast("bigint")).alias("rejected_documents")
+    )

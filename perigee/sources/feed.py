@@ -12,9 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.hazard import classify_hazard
-from ..functions.ids import approach_id, asteroid_id
+from ..functions.ids import (
+    APPROACH_NAMESPACE,
+    ASTEROID_NAMESPACE,
+    approach_id,
+    approach_name,
+    asteroid_id,
+    digest_uuid,
+    name_digest,
+)
 from ..functions.numbers import is_finite, lenient_double
 from ..functions.once import evaluate_once
+from .batches import batch_file
 
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
@@ -43,16 +52,25 @@ def read_landed(
         landed = landed.filter(F.col("batch_end") >= F.lit(start))
     if end is not None:
         landed = landed.filter(F.col("batch_start") <= F.lit(end))
-    name = F.concat(
-        F.lit("asteroids_"),
-        F.date_format("batch_start", "yyyyMMdd"),
-        F.lit("_"),
-        F.date_format("batch_end", "yyyyMMdd"),
-        F.lit(".json"),
-    )
+    name = batch_file(F.col("batch_start"), F.col("batch_end"))
     return landed.select(name.alias("source_file"), F.col("value").alias("document"))
 
 
+def read_files(spark: SparkSession, whole: list[str], landed: list[str]) -> DataFrame:
+    """Documents of files of one document each, and of files of landed batches."""
+    file = F.col("_metadata.file_path")
+    parts = []
+    if whole:
+        read = spark.read.text(whole, wholetext=True)
+        parts.append(read.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("document")))
+    if landed:
+        day = lambda end: F.to_date(F.regexp_extract(file, rf"/batch_{end}=([0-9-]+)/", 1))
+        name = batch_file(day("start"), day("end"))
+        read = spark.read.text(landed)
+        parts.append(read.select(name.alias("source_file"), F.col("value").alias("document")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def land(documents: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Write documents (with `batch_start`, `batch_end`) one per line, a folder per batch.
 
@@ -89,70 +107,99 @@ def _every(array: Column, check) -> Column:
     return F.coalesce(array.isNotNull() & passes, F.lit(False))
 
 
-def _close_approach_ok(item: Column) -> Column:
+def _typed_item(item: Column) -> Column:
+    """A close approach with its numbers parsed; what is missing or wrong is NULL. `rest` says
+    whether the required fields that are not kept are there."""
     velocity, distance = item["relative_velocity"], item["miss_distance"]
-    return _all(
-        _given(item, "close_approach_date_full", "epoch_date_close_approach", "orbiting_body"),
-        to_date_strict(item["close_approach_date"]).isNotNull(),
-        *[
-            lenient_double(velocity[unit]).isNotNull()
-            for unit in ("kilometers_per_second", "kilometers_per_hour", "miles_per_hour")
-        ],
-        *[
-            lenient_double(distance[unit]).isNotNull()
-            for unit in ("astronomical", "lunar", "kilometers", "miles")
-        ],
+    rest = [item["close_approach_date_full"], lenient_double(velocity["miles_per_hour"]), lenient_double(distance["miles"])]
+    return F.struct(
+        to_date_strict(item["close_approach_date"]).alias("close_approach_date"),
+        item["epoch_date_close_approach"].alias("epoch_date_close_approach"),
+        lenient_double(velocity["kilometers_per_second"]).alias("velocity_km_per_s"),
+        lenient_double(velocity["kilometers_per_hour"]).alias("velocity_km_per_h"),
+        lenient_double(distance["kilometers"]).alias("miss_distance_km"),
+        lenient_double(distance["astronomical"]).alias("miss_distance_astronomical"),
+        lenient_double(distance["lunar"]).alias("miss_distance_lunar"),
+        item["orbiting_body"].alias("orbiting_body"),
+        F.nullif(_all(*[value.isNotNull() for value in rest]), F.lit(False)).alias("rest"),
     )
 
 
-def _object_ok(neo: Column) -> Column:
+def _typed_object(neo: Column) -> Column:
+    """A listed object with its checked fields, in the same way."""
     diameters = neo["estimated_diameter"]
-    return _all(
-        neo["links"]["self"].isNotNull(),
-        _given(
-            neo,
-            "id",
-            "neo_reference_id",
-            "name",
-            "nasa_jpl_url",
-            "is_potentially_hazardous_asteroid",
-            "is_sentry_object",
-        ),
-        is_finite(neo["absolute_magnitude_h"]),
-        *[
-            is_finite(diameters[unit][f"estimated_diameter_{end}"])
-            for unit in ("kilometers", "meters", "miles", "feet")
-            for end in ("min", "max")
-        ],
-        _every(neo["close_approach_data"], _close_approach_ok),
+    km = diameters["kilometers"]
+    sizes = [diameters[unit][f"estimated_diameter_{end}"] for unit in ("meters", "miles", "feet") for end in ("min", "max")]
+    rest = _all(neo["links"]["self"].isNotNull(), neo["id"].isNotNull(), *[is_finite(size) for size in sizes])
+    finite = lambda value: F.when(is_finite(value), value)
+    return F.struct(
+        neo["neo_reference_id"].alias("neo_reference_id"),
+        neo["name"].alias("name"),
+        finite(neo["absolute_magnitude_h"]).alias("absolute_magnitude"),
+        finite(km["estimated_diameter_min"]).alias("estimated_diameter_min_km"),
+        finite(km["estimated_diameter_max"]).alias("estimated_diameter_max_km"),
+        neo["is_potentially_hazardous_asteroid"].alias("is_potentially_hazardous"),
+        neo["is_sentry_object"].alias("is_sentry_object"),
+        neo["nasa_jpl_url"].alias("nasa_jpl_url"),
+        F.nullif(F.coalesce(rest, F.lit(False)), F.lit(False)).alias("rest"),
+        F.transform(neo["close_approach_data"], _typed_item).alias("approaches"),
     )
 
 
+_ITEM_FIELDS = (
+    "close_approach_date", "epoch_date_close_approach", "velocity_km_per_s", "velocity_km_per_h", "miss_distance_km",
+    "miss_distance_astronomical", "miss_distance_lunar", "orbiting_body", "rest",
+)
+_OBJECT_FIELDS = (
+    "neo_reference_id", "name", "absolute_magnitude", "estimated_diameter_min_km", "estimated_diameter_max_km",
+    "is_potentially_hazardous", "is_sentry_object", "nasa_jpl_url", "rest",
+)
+
+
+def _object_ok(neo: Column) -> Column:
+    return _given(neo, *_OBJECT_FIELDS) & _every(neo["approaches"], lambda item: _given(item, *_ITEM_FIELDS))
+
+
 def decode_feed(documents: DataFrame) -> DataFrame:
-    """Parse each document and say in `decode_error` why it is unusable, if it is.
+    """Parse each document once and say in `decode_error` why it is unusable, if it is.
 
-    The permissive parser turns bad nested values into NULL without a word, so every
-    required field is checked here.
+    `days` has the listed objects by day, their numbers parsed once. The permissive parser
+    turns bad nested values into NULL without a word, so every required field is checked here.
     """
     parsed = evaluate_once(
         documents, feed=F.from_json("document", schemas.FEED, JSON_OPTIONS)
     )
     feed = F.col("feed")
-    lists = F.map_values(feed["near_earth_objects"])
+    day = lambda entry: F.struct(
+        entry["key"].alias("feed_date"), F.transform(entry["value"], _typed_object).alias("objects")
+    )
+    typed = evaluate_once(
+        parsed.select(
+            "source_file",
+            F.ltrim("document").substr(1, 1).alias("head"),
+            "feed",
+        ),
+        days=F.transform(F.map_entries(feed["near_earth_objects"]), day),
+    )
     error = (
-        F.when(feed.isNull() | ~F.ltrim("document").startswith("{"), "not a JSON object")
+        F.when(feed.isNull() | (F.col("head") != "{"), "not a JSON object")
         .when(feed["links"]["self"].isNull(), "links.self is missing")
         .when(
             ~F.coalesce(feed["element_count"].between(0, U32_MAX), F.lit(False)),
             "element_count is missing or no count",
         )
-        .when(feed["near_earth_objects"].isNull(), "near_earth_objects is missing")
+        .when(F.col("days").isNull(), "near_earth_objects is missing")
         .when(
-            ~_every(lists, lambda day: _every(day, _object_ok)),
+            ~_every(F.col("days"), lambda held: _every(held["objects"], _object_ok)),
             "an object lacks a required field or has one of the wrong type",
         )
     )
-    return parsed.withColumn("decode_error", error)
+    return typed.select("source_file", feed["element_count"].alias("element_count"), "days", error.alias("decode_error"))
+
+
+def rejects(decoded: DataFrame) -> DataFrame:
+    """The unusable documents: `source_file` and why."""
+    return decoded.filter(F.col("decode_error").isNotNull()).select("source_file", "decode_error")
 
 
 def valid_feeds(decoded: DataFrame, strict: bool = True) -> DataFrame:
@@ -173,69 +220,77 @@ def feed_objects(
 
     The day under which an object is listed only selects rows here and orders duplicates.
     """
-    days = feeds.select(
-        "source_file", F.explode("feed.near_earth_objects").alias("feed_date", "day")
-    )
+    days = feeds.select("source_file", F.inline("days"))
     day = to_date_strict(F.col("feed_date"))
     if start is not None:
         days = days.filter(day >= F.lit(start))
     if end is not None:
         days = days.filter(day <= F.lit(end))
     return days.select(
-        "source_file", "feed_date", F.posexplode("day").alias("position", "neo")
+        "source_file", "feed_date", F.posexplode("objects").alias("position", "neo")
     )
 
 
+def listed(days: Column) -> Column:
+    """Objects of a document, without unfolding it."""
+    sizes = F.transform(days, lambda day: F.size(day["objects"]))
+    return F.aggregate(sizes, F.lit(0), lambda total, size: total + size).cast("bigint")
+
+
 def object_counts(feeds: DataFrame) -> DataFrame:
-    """Declared and actual number of listed objects per document, without exploding it."""
-    sizes = F.transform(F.map_values("feed.near_earth_objects"), lambda day: F.size(day))
-    actual = F.aggregate(sizes, F.lit(0), lambda total, size: total + size)
+    """Declared and actual number of listed objects per document."""
     return feeds.select(
         "source_file",
-        F.col("feed.element_count").alias("declared_count"),
-        actual.cast("bigint").alias("actual_count"),
+        F.col("element_count").alias("declared_count"),
+        listed(F.col("days")).alias("actual_count"),
     ).withColumn("consistent", F.col("declared_count") == F.col("actual_count"))
 
 
-def _asteroid_fields(now: Column) -> list[Column]:
+def empty_feeds(feeds: DataFrame) -> DataFrame:
+    """`source_file` of the documents that list no object."""
+    return feeds.filter(listed(F.col("days")) == 0).select("source_file")
+
+
+def hazard_of(neo: Column | dict[str, Column], item: Column) -> Column:
+    return classify_hazard(
+        neo["estimated_diameter_max_km"],
+        item["velocity_km_per_s"],
+        item["miss_distance_astronomical"],
+        neo["is_potentially_hazardous"],
+    )
+
+
+def merge_keys(objects: DataFrame) -> DataFrame:
+    """What a merge goes by: `source_file`, `reference`, `asteroid_id`, `epoch`; a row for each
+    listed object (NULL epoch) and for each of its approaches."""
     neo = F.col("neo")
-    km = neo["estimated_diameter"]["kilometers"]
-    return [
-        asteroid_id(neo["neo_reference_id"]).alias("id"),
-        neo["neo_reference_id"].alias("neo_reference_id"),
-        neo["name"].alias("name"),
-        neo["absolute_magnitude_h"].alias("absolute_magnitude"),
-        km["estimated_diameter_min"].alias("estimated_diameter_min_km"),
-        km["estimated_diameter_max"].alias("estimated_diameter_max_km"),
-        neo["is_potentially_hazardous_asteroid"].alias("is_potentially_hazardous"),
-        neo["is_sentry_object"].alias("is_sentry_object"),
-        neo["nasa_jpl_url"].alias("nasa_jpl_url"),
-        now.alias("created_at"),
-        now.alias("updated_at"),
-    ]
+    hashed = evaluate_once(
+        objects.select("source_file", "neo"), digest=name_digest(ASTEROID_NAMESPACE, neo["neo_reference_id"])
+    )
+    epochs = F.concat(
+        F.array(F.lit(None).cast("bigint")),
+        F.transform(neo["approaches"], lambda item: item["epoch_date_close_approach"]),
+    )
+    return hashed.select(
+        "source_file",
+        neo["neo_reference_id"].alias("reference"),
+        digest_uuid(F.col("digest")).alias("asteroid_id"),
+        F.explode(epochs).alias("epoch"),
+    )
 
 
-def _approach_fields(neo: Column, item: Column, now: Column) -> list[Column]:
-    speed = lenient_double(item["relative_velocity"]["kilometers_per_second"])
-    miss_au = lenient_double(item["miss_distance"]["astronomical"])
-    reference = neo["neo_reference_id"]
+def _asteroid_fields(neo: Column | dict[str, Column], now: Column, identifier: Column) -> list[Column]:
+    kept = [neo[name].alias(name) for name in _OBJECT_FIELDS if name != "rest"]
+    return [identifier.alias("id"), *kept, now.alias("created_at"), now.alias("updated_at")]
+
+
+def _approach_fields(item: Column, hazard: Column, now: Column, identifier: Column, parent: Column) -> list[Column]:
+    kept = [item[name].alias(name) for name in _ITEM_FIELDS if name != "rest"]
     return [
-        approach_id(reference, item["epoch_date_close_approach"]).alias("id"),
-        asteroid_id(reference).alias("asteroid_id"),
-        to_date_strict(item["close_approach_date"]).alias("close_approach_date"),
-        item["epoch_date_close_approach"].alias("epoch_date_close_approach"),
-        speed.alias("velocity_km_per_s"),
-        lenient_double(item["relative_velocity"]["kilometers_per_hour"]).alias("velocity_km_per_h"),
-        lenient_double(item["miss_distance"]["kilometers"]).alias("miss_distance_km"),
-        miss_au.alias("miss_distance_astronomical"),
-        lenient_double(item["miss_distance"]["lunar"]).alias("miss_distance_lunar"),
-        item["orbiting_body"].alias("orbiting_body"),
-        classify_hazard(
-            neo["estimated_diameter"]["kilometers"]["estimated_diameter_max"],
-            speed,
-            miss_au,
-            neo["is_potentially_hazardous_asteroid"],
-        ).alias("hazard_classification"),
+        identifier.alias("id"),
+        parent.alias("asteroid_id"),
+        *kept,
+        hazard.alias("hazard_classification"),
         now.alias("created_at"),
     ]
 
@@ -248,7 +303,8 @@ def average_diameter() -> Column:
 
 def asteroid_rows(objects: DataFrame, now: Column) -> DataFrame:
     """One asteroid row per listed object, duplicates included."""
-    flat = objects.select("source_file", "feed_date", "position", *_asteroid_fields(now))
+    identifier = asteroid_id(F.col("neo")["neo_reference_id"])
+    flat = objects.select("source_file", "feed_date", "position", *_asteroid_fields(F.col("neo"), now, identifier))
     return flat.select("*", average_diameter())
 
 
@@ -259,27 +315,48 @@ def approach_rows(objects: DataFrame, now: Column) -> DataFrame:
         "feed_date",
         "position",
         "neo",
-        F.posexplode("neo.close_approach_data").alias("approach_position", "item"),
+        F.posexplode("neo.approaches").alias("approach_position", "item"),
     )
+    neo, item = F.col("neo"), F.col("item")
+    reference = neo["neo_reference_id"]
+    ids = approach_id(reference, item["epoch_date_close_approach"]), asteroid_id(reference)
     return each.select(
-        "source_file",
-        "feed_date",
-        "position",
-        "approach_position",
-        *_approach_fields(F.col("neo"), F.col("item"), now),
+        "source_file", "feed_date", "position", "approach_position", *_approach_fields(item, hazard_of(neo, item), now, *ids)
     )
 
 
 def records(objects: DataFrame, now: Column) -> DataFrame:
-    """One row per listed object, its approaches nested: `asteroid`, `approaches`."""
+    """One row per listed object, its approaches nested: `asteroid`, `approaches`.
+
+    Identifiers are cut from hashes made before: inside a lambda nothing would keep the hash
+    from being made again for every part of the identifier.
+    """
     neo = F.col("neo")
+    kept = [name for name in _OBJECT_FIELDS if name != "rest"]
+    flat = objects.select("source_file", "feed_date", "position", *[neo[name].alias(name) for name in kept],
+                          neo["approaches"].alias("listed"))
+    reference = F.col("neo_reference_id")
+    digest = lambda item: name_digest(
+        APPROACH_NAMESPACE, approach_name(reference, item["epoch_date_close_approach"])
+    )
+    own = {name: F.col(name) for name in kept}
+    hashed = evaluate_once(
+        flat,
+        digest=name_digest(ASTEROID_NAMESPACE, reference),
+        items=F.transform(
+            "listed",
+            lambda item: F.struct(item.alias("item"), hazard_of(own, item).alias("hazard"), digest(item).alias("digest")),
+        ),
+    )
+    parent = digest_uuid(F.col("digest"))
     nested = F.transform(
-        neo["close_approach_data"], lambda item: F.struct(*_approach_fields(neo, item, now))
+        "items",
+        lambda held: F.struct(*_approach_fields(held["item"], held["hazard"], now, digest_uuid(held["digest"]), parent)),
     )
-    return objects.select(
+    return hashed.select(
         "source_file",
         "feed_date",
         "position",
-        F.struct(*_asteroid_fields(now)).alias("asteroid"),
+        F.struct(*_asteroid_fields(own, now, parent)).alias("asteroid"),
         nested.alias("approaches"),
     )

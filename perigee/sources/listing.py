@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import urllib.parse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,21 +32,35 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(path)]
 
 
-def paths(spark: SparkSession, folder: str, glob: str | None = None) -> list[str]:
+def paths(spark: SparkSession, folder: str) -> list[str]:
     """Data files of a folder, empty ones included; names with `_` or `.` first are not data."""
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    found = [urllib.parse.unquote(path) for path in reader.text(folder).inputFiles()]
+    found = [urllib.parse.unquote(path) for path in spark.read.text(folder).inputFiles()]
     return sorted(path for path in found if path.rsplit("/", 1)[1][0] not in "_.")
 
 
-def files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """The same as a frame: `source_file`, `path`. In a folder that is partitioned by
-    `source_file`, that is the name; elsewhere the file's own."""
-    rows = []
-    for path in paths(spark, folder, glob):
-        parent, name = path.rsplit("/", 2)[1:]
-        rows.append((parent.removeprefix("source_file=") if "source_file=" in parent else name, path))
-    return spark.createDataFrame(rows, "source_file string, path string")
+_BATCH = re.compile(r"/batch_start=(\d+)-(\d+)-(\d+)/batch_end=(\d+)-(\d+)-(\d+)/[^/]+\Z")
+_SOURCE = re.compile(r"/source_file=([^/]+)/[^/]+\Z")
+
+
+def _name(path: str) -> tuple[str, bool]:
+    """The source file that a path belongs to, and whether it is part of a landed batch."""
+    found = _BATCH.search(path)
+    if found:
+        days = found.groups()
+        return f"asteroids_{''.join(days[:3])}_{''.join(days[3:])}.json", True
+    found = _SOURCE.search(path)
+    return (found.group(1) if found else path.rsplit("/", 1)[1]), False
+
+
+def files(spark: SparkSession, folder: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """Files whose source file is wanted: `source_file`, `path`, `batch`. In folders that are
+    partitioned, by source file or by landed batch, that is the partition; elsewhere the
+    file's own name. It is an error if a folder has data files and none of them is wanted."""
+    every = paths(spark, folder)
+    rows = [(name, path, batch) for path in every for name, batch in [_name(path)] if wanted(name)]
+    if every and not rows:
+        raise ValueError(f"{folder} has {len(every)} files, but none of the kind that is read here")
+    return spark.createDataFrame(rows, "source_file string, path string, batch boolean")
 
 
 def without_content(spark: SparkSession, listed: DataFrame, folder: str) -> DataFrame:

@@ -25,10 +25,10 @@ BLANKS = " \t\r\n\x0b\x0c"
 SUFFIX = "_transformed.json"
 
 
-def scan_record_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the `*_transformed.json` files of a folder, with their file name."""
-    lines = spark.read.text(folder, pathGlobFilter=f"*{SUFFIX}")
-    return lines.select(F.col("_metadata.file_name").alias("source_file"), "value")
+def line_source() -> Column:
+    """The source file of a line being read: the partition of its file, or the file's name."""
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"/source_file=([^/]+)/[^/]+\z", 1)
+    return F.when(part != "", part).otherwise(F.col("_metadata.file_name"))
 
 
 def scan_record_partitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +37,8 @@ def scan_record_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the record files of a folder; nothing is read."""
-    return files(spark, folder, f"*{SUFFIX}").select("source_file")
+    """`source_file` and `path` of the record files of a folder; nothing is read."""
+    return files(spark, folder, lambda name: name.endswith(SUFFIX)).select("source_file", "path")
 
 
 def transformed_name(source_file: Column) -> Column:
@@ -71,11 +71,17 @@ def encode_records(records: DataFrame) -> DataFrame:
     )
 
 
-def write_records(records: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """A folder per source file. Tasks write what they read; no shuffle gathers a file."""
+def write_records(
+    records: DataFrame, folder: str, overwrite: bool = False, without: DataFrame | None = None
+) -> None:
+    """A folder per source file. Tasks write what they read; no shuffle gathers a file. The
+    source files in `without` get an output of one blank line."""
+    lines = encode_records(records)
+    if without is not None:
+        blank = without.select(transformed_name(F.col("source_file")).alias("source_file"), F.lit("").alias("value"))
+        lines = lines.unionByName(blank)
     (
-        encode_records(records)
-        .write.mode("overwrite" if overwrite else "append")
+        lines.write.mode("overwrite" if overwrite else "append")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source_file")
         .text(folder)

@@ -2,9 +2,9 @@
 
 A run writes `<table>/run=<n>` and, last of all, `manifest/run=<n>`. Readers only see runs
 whose manifest is complete, so the tables of a run appear together or not at all, and a run
-that is repeated after a failure overwrites only its own folders. `asteroids` and
-`etl_events` are whole snapshots (the newest counts); `approaches` and `alerts` never change
-once written, so a run holds only its new rows and the table is all runs together.
+that is repeated after a failure overwrites only its own folders. A run holds new and changed
+rows; of `asteroids` and `etl_events` the newest row of a key counts. A run that replaces a
+table, as a delete does, writes `<table>/whole=<n>`, and older folders no longer count.
 """
 
 from __future__ import annotations
@@ -15,19 +15,45 @@ from pyspark.sql import types as T
 from .. import schemas
 from .listing import complete, names
 
-SNAPSHOTS = ("asteroids", "etl_events")
-INCREMENTS = ("approaches", "alerts")
-MONTH = "epoch_month"
+#: Tables whose rows change, by key.
+KEYS = {"asteroids": "neo_reference_id", "etl_events": "source_file"}
+#: Partitions of the approaches.
+MONTH, BUCKET = "date_month", "epoch_bucket"
+# About a month in milliseconds.
+BUCKET_MS = 2_629_800_000
 
 
-def epoch_month(epoch_ms: Column) -> Column:
-    """Partition of an approach. Derived from its unique key, so a duplicate can only lie in
-    the same partition."""
-    return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM")
+def date_month(date: Column) -> Column:
+    """Months since year 0: what reads filter by."""
+    return F.year(date) * 12 + F.month(date)
 
 
-def _folder(root: str, table: str, run: int) -> str:
-    return f"{root}/{table}/run={run}"
+def epoch_bucket(epoch_ms: Column) -> Column:
+    """Derived from the unique key alone, so a duplicate can only lie in the same bucket; a
+    whole division, so no instant is out of range."""
+    return F.call_function("div", epoch_ms, F.lit(BUCKET_MS).cast("bigint"))
+
+
+def in_months(rows: DataFrame, first: Column | None, last: Column | None) -> DataFrame:
+    """The partitions that dates from `first` to `last` can lie in, where rows have them."""
+    if MONTH not in rows.columns:
+        return rows
+    if first is not None:
+        rows = rows.filter(F.col(MONTH) >= date_month(first))
+    return rows if last is None else rows.filter(F.col(MONTH) <= date_month(last))
+
+
+def same_buckets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The stored approaches that can share a key with incoming ones. The buckets are a filter
+    of the scan, found while the query runs."""
+    if BUCKET not in stored.columns:
+        return stored
+    met = incoming.select(epoch_bucket(F.col("epoch_date_close_approach")).alias(BUCKET)).distinct()
+    return stored.join(met, BUCKET, "left_semi")
+
+
+def _folder(root: str, table: str, run: int, whole: bool = False) -> str:
+    return f"{root}/{table}/{'whole' if whole else 'run'}={run}"
 
 
 def committed_runs(spark: SparkSession, root: str) -> list[int]:
@@ -44,11 +70,15 @@ def next_run(spark: SparkSession, root: str) -> int:
 
 
 def _folders(spark: SparkSession, root: str, table: str, before: int | None) -> list[str]:
-    found = []
+    """Folders of the complete runs that hold the table, from its last replacement on."""
+    held = set(names(spark, f"{root}/{table}"))
+    found: list[str] = []
     for run in committed_runs(spark, root):
         if before is not None and run >= before:
             continue
-        if complete(spark, _folder(root, table, run)):
+        if f"whole={run}" in held:
+            found = [_folder(root, table, run, whole=True)]
+        elif f"run={run}" in held:
             found.append(_folder(root, table, run))
     return found
 
@@ -56,33 +86,43 @@ def _folders(spark: SparkSession, root: str, table: str, before: int | None) ->
 def read_table(
     spark: SparkSession, root: str, table: str, before: int | None = None
 ) -> DataFrame:
-    """A table as of the newest complete run (below `before`, if given); empty at first."""
-    schema = schemas.TABLES[table]
-    folders = _folders(spark, root, table, before)
-    if table in SNAPSHOTS:
-        folders = folders[-1:]
+    """A table as of the newest complete run (below `before`, if given); empty at first.
+    Approaches have their partition columns besides."""
+    schema = T.StructType(list(schemas.TABLES[table].fields))
     if table == "approaches":
-        schema = T.StructType(schema.fields + [T.StructField(MONTH, T.StringType())])
+        schema = schema.add(MONTH, T.IntegerType()).add(BUCKET, T.LongType())
+    folders = _folders(spark, root, table, before)
     if not folders:
         return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema).option("basePath", f"{root}/{table}")
-    return reader.parquet(*folders).select(*schema.names)
-
-
-def write_run(root: str, run: int, tables: dict[str, DataFrame], spark: SparkSession) -> None:
-    """Write the given tables of a run, then its manifest."""
+    if table in KEYS:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])).parquet(*folders)
+        newest = F.max_by(F.struct(*schema.names), "run").alias("row")
+        return rows.groupBy(KEYS[table]).agg(newest).select("row.*")
+    parts = [spark.read.schema(schema).parquet(folder) for folder in folders]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.select(*schema.names)
+
+
+def write_run(
+    root: str, run: int, tables: dict[str, DataFrame], spark: SparkSession, whole: bool = False
+) -> None:
+    """Write new and changed rows of the given tables, or whole tables, then the manifest."""
     if run in committed_runs(spark, root):
         raise ValueError(f"run {run} is already complete")
     for table, frame in tables.items():
-        writer = frame.select(*schemas.TABLES[table].names)
+        rows = frame.select(*schemas.TABLES[table].names)
         if table == "approaches":
-            month = epoch_month(F.col("epoch_date_close_approach"))
+            rows = rows.withColumn(MONTH, date_month(F.col("close_approach_date")))
+            rows = rows.withColumn(BUCKET, epoch_bucket(F.col("epoch_date_close_approach")))
             # few files per month, and a month with most of the rows is split over tasks
-            writer = writer.withColumn(MONTH, month).hint("rebalance", MONTH)
-            writer = writer.write.partitionBy(MONTH)
+            writer = rows.hint("rebalance", MONTH, BUCKET).write.partitionBy(MONTH, BUCKET)
+        elif table in KEYS:
+            writer = rows.withColumn("run", F.lit(run)).write
         else:
-            writer = writer.write
-        writer.mode("overwrite").parquet(_folder(root, table, run))
+            writer = rows.write
+        writer.mode("overwrite").parquet(_folder(root, table, run, whole))
     manifest = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
     manifest.write.mode("overwrite").parquet(_folder(root, "manifest", run))
 

@@ -10,17 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ledger
 from ..plans.load import commit
 from ..sources import tables
-from ..sources.records import SUFFIX
+from ..sources.listing import without_content
+from ..sources.records import SUFFIX, line_source, record_files
 
 
 def record_stream(
     spark: SparkSession, folder: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Lines of new record files with their file name; a file is never split over batches."""
-    reader = spark.readStream.option("pathGlobFilter", f"*{SUFFIX}")
+    """Lines of new record files with their source file, from flat folders and from those that
+    a transform writes; a file is never split over batches."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(folder).select(F.col("_metadata.file_name").alias("source_file"), "value")
+    lines = reader.text(folder).select(line_source().alias("source_file"), "value")
+    return lines.filter(F.col("source_file").endswith(SUFFIX))
 
 
 def load_stream(
@@ -30,12 +33,22 @@ def load_stream(
     checkpoint: str,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Load what is there now and stop. The checkpoint remembers the files.
+    """Load what is there now and stop. The checkpoint remembers the files. Files without any
+    content, which no stream returns, are recorded first. It is an error if the folder has
+    files and none is a record file.
 
     A batch that is repeated after a failure changes nothing: if its run was complete, the
     ledger names its files, and if not, the same run is written again from the same state.
     """
     tables.ensure_tables(spark, root)
+    listed = record_files(spark, folder)
+    known = tables.read_table(spark, root, "etl_events")
+    bare = ledger.pending_files(without_content(spark, listed, folder), known).select("source_file").distinct()
+    bare = bare.join(known, "source_file", "left_anti")
+    if not bare.isEmpty():
+        none = spark.createDataFrame([], "source_file string, value string")
+        now = dt.datetime.now(dt.timezone.utc)
+        commit(spark, root, tables.next_run(spark, root), bare, none, bare.limit(0), now)
 
     def merge_batch(lines: DataFrame, batch: int) -> None:
         run = tables.next_run(spark, root)

@@ -10,24 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import telemetry
 
-# An event later than this is dropped from the rates.
-LATENESS = "1 minute"
-
-
 def log_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
     """A log folder as a stream; `ts` must be a timestamp."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
 
-def live_http_rates(log: DataFrame) -> DataFrame:
-    """Rates per minute; a minute is final once the watermark has passed it."""
-    return telemetry.http_rates(log.withWatermark("ts", LATENESS))
-
-
-def live_db_rates(log: DataFrame) -> DataFrame:
-    return telemetry.db_rates(log.withWatermark("ts", LATENESS))
-
-
 def live_request_totals(log: DataFrame) -> DataFrame:
     """Counters since the start of the stream; state is one row per label set."""
     return telemetry.counter(log, telemetry.HTTP_LABELS)
@@ -45,20 +32,40 @@ def live_query_histogram(log: DataFrame) -> DataFrame:
     return telemetry.histogram(log, telemetry.DB_LABELS, telemetry.DB_BUCKETS)
 
 
-def append_to(
-    rates: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None
+def add_up(
+    log: DataFrame,
+    minutes: Callable[[DataFrame], DataFrame],
+    folder: str,
+    checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Final rows to Parquet, each exactly once."""
+    """Per-minute sums of each batch of a log, kept in `folder`.
+
+    No event is too late and no minute waits to be closed: a batch adds what it has to its
+    minutes, and `rates` adds up the batches. A repeated batch replaces its own folder.
+    `minutes` is `telemetry.http_minutes` or `telemetry.db_minutes`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        minutes(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
     return (
-        rates.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", folder)
+        log.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def http_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all minutes so far, the running one included."""
+    return telemetry.http_rates_of(telemetry.added_minutes(spark.read.parquet(folder).drop("batch")))
+
+
+def db_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.db_rates_of(telemetry.added_minutes(spark.read.parquet(folder).drop("batch")))
+
+
 def replace_with(
     totals: DataFrame,
     write: Callable[[DataFrame, int], None],

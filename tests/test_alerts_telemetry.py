@@ -146,15 +146,20 @@ def test_streamed_totals_equal_batch(spark, log, tmp_path):
         assert seen[-1] == key(batch.drop("sum_s"))
 
 
-def test_streamed_rates_equal_batch_for_closed_minutes(spark, log, tmp_path):
+def test_streamed_rates_have_late_rows_and_the_last_minute(spark, log, tmp_path):
     rows, df = log
-    stream = stream_of(spark, df, str(tmp_path / "log"))
-    out = str(tmp_path / "out")
-    live.append_to(live.live_http_rates(stream), out, str(tmp_path / "c")).awaitTermination()
-    got = {r["window_start"]: r["requests_per_second"] for r in spark.read.parquet(out).collect()}
-    batch = {r["window_start"]: r["requests_per_second"] for r in telemetry.http_rates(df).collect()}
-    closed = max(r[0] for r in rows) - dt.timedelta(minutes=1)
-    assert got == {w: v for w, v in batch.items() if w + dt.timedelta(minutes=1) <= closed}
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    first = min(r[0] for r in rows)
+    late = df.filter(F.col("ts") < F.lit(first + dt.timedelta(minutes=2)))
+    df.join(late.select("ts"), "ts", "left_anti").select(*df.columns).repartition(3).write.parquet(folder)
+    run = lambda: live.add_up(
+        live.log_stream(spark, folder, schemas.HTTP_REQUESTS), telemetry.http_minutes, out, str(tmp_path / "c")
+    ).awaitTermination()
+    run()
+    late.write.mode("append").parquet(folder)  # long after everything else
+    run()
+    key = lambda frame: {r["window_start"]: tuple(round(x, 9) for x in r[1:]) for r in frame.collect()}
+    assert late.count() and key(live.http_rates(spark, out)) == key(telemetry.http_rates(df))
 
 
 def test_query_log_streams(spark, log, tmp_path):
@@ -167,4 +172,7 @@ def test_query_log_streams(spark, log, tmp_path):
     write = lambda frame, _: seen.append(sorted(map(tuple, frame.collect())))
     live.replace_with(live.live_query_totals(stream), write, str(tmp_path / "c1")).awaitTermination()
     assert seen[-1] == sorted(map(tuple, telemetry.counter(queries, telemetry.DB_LABELS).collect()))
-    assert live.live_query_histogram(stream).isStreaming and live.live_db_rates(stream).isStreaming
+    assert live.live_query_histogram(stream).isStreaming
+    out = str(tmp_path / "minutes")
+    live.add_up(stream, telemetry.db_minutes, out, str(tmp_path / "c2")).awaitTermination()
+    assert sorted(map(tuple, live.db_rates(spark, out).collect())) == sorted(map(tuple, telemetry.db_rates(queries).collect()))

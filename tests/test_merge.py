@@ -66,7 +66,7 @@ def test_stored_approach_wins_and_first_copy_enters(spark):
     incoming = approaches(spark, [("a", 1, "High", 1), ("a", 2, "High", 3), ("a", 2, "Low", 2)])
     rows = sorted(map(tuple, merge.upsert_approaches(existing, incoming, ["n"]).collect()))
     assert rows == [("a", 1, "Low", 0), ("a", 2, "Low", 2)]
-    bounded = merge.new_approaches(existing, incoming, ["n"], epochs=(1, 2)).collect()
+    bounded = merge.new_approaches(existing, incoming, ["n"]).collect()
     assert [tuple(r) for r in bounded] == [("a", 2, "Low", 2)]
 
 

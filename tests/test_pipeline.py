@@ -118,7 +118,14 @@ def test_a_bad_document_stops_a_strict_transform(spark, places):
     (tmp / "raw" / "zero.json").write_text("")
     with pytest.raises(Exception, match="cannot read zero.json"):
         transform.run_transform(spark, raw, out, AT)
-    transform.run_transform(spark, raw, out, AT, strict=False)
+    with pytest.raises(ValueError, match="folder for rejected"):
+        transform.run_transform(spark, raw, out, AT, strict=False)
+    (tmp / "raw" / "bad.json").write_text('{"links": 1}')
+    gone = str(tmp / "rejects")
+    read = transform.run_transform(spark, raw, out, AT, strict=False, rejects=gone)
+    assert {r["source_file"]: r["rejected_documents"] for r in read.collect()} == {
+        "one.json": 0, "two.json": 0, "zero.json": 1, "bad.json": 1}
+    assert {r["source_file"] for r in spark.read.parquet(gone).collect()} == {"zero.json", "bad.json"}
     assert load.run_load(spark, out, root, at=AT).first()["files_processed"] == 2
 
 
@@ -143,24 +150,20 @@ def test_streamed_load_equals_batch_load(spark, places):
     raw, out, root, tmp = places
     write_raw(tmp / "raw", "three.json", {"2024-01-03": [neo("A", name="renamed"), neo("D")]})
     transform.run_transform(spark, raw, out, AT)
-    flat = tmp / "flat"
-    flat.mkdir()
-    for row in records.scan_record_partitions(spark, out).groupBy("source_file").agg(
-            F.collect_list("value").alias("lines")).collect():
-        (flat / row["source_file"]).write_text("\n".join(row["lines"]))
-    (flat / "bad_transformed.json").write_text("broken")
-    load.run_load(spark, str(flat), root, at=AT)
+    (tmp / "records" / "bad_transformed.json").write_text("broken")
+    (tmp / "records" / "bare_transformed.json").write_text("")
+    load.run_load(spark, out, root, at=AT)
     live, checkpoint = str(tmp / "live"), str(tmp / "checkpoint")
-    load_stream(spark, str(flat), live, checkpoint, files_per_batch=1).awaitTermination()
-    assert len(tables.committed_runs(spark, live)) == 5
+    load_stream(spark, out, live, checkpoint, files_per_batch=1).awaitTermination()
+    assert len(tables.committed_runs(spark, live)) >= 6
     ids = lambda place, table: [r[0] for r in snapshot(spark, place, table)]
     for table in ("asteroids", "approaches"):
         assert ids(live, table) == ids(root, table)
     state = lambda place: {r[1]: r[4] for r in snapshot(spark, place, "etl_events")}
-    assert state(live) == state(root)
+    assert state(live) == state(root) and state(live)["bare_transformed.json"] == "failed"
     # nothing new: nothing happens, also with the checkpoint lost
-    load_stream(spark, str(flat), live, checkpoint).awaitTermination()
-    load_stream(spark, str(flat), live, str(tmp / "other")).awaitTermination()
+    load_stream(spark, out, live, checkpoint).awaitTermination()
+    load_stream(spark, out, live, str(tmp / "other")).awaitTermination()
     assert ids(live, "approaches") == ids(root, "approaches")
     assert state(live) == state(root)
 
@@ -171,11 +174,13 @@ def test_extraction(spark, tmp_path):
     landed = spark.createDataFrame([(names[0],)], "batch_file string")
     docs = spark.createDataFrame(
         [(names[1], json.dumps(feed({"d": [neo("A"), neo("B")], "e": [neo("C")]}))),
-         (names[2], '{"error": 1}'), (names[0], json.dumps(feed()))],
+         (names[1], "{"), (names[2], '{"error": 1}'), (names[0], json.dumps(feed()))],
         "source_file string, document string")
     folder = str(tmp_path / "raw")
     results = extract.land_batches(planned, landed, docs, folder, str(tmp_path / "meta"), at=AT)
     state = {r["batch_file"]: (r["status"], r["objects"]) for r in results.collect()}
+    assert {r["batch_file"]: r["unreadable"] for r in results.collect()} == {
+        names[0]: 0, names[1]: 1, names[2]: 1, names[3]: 0}
     assert state == {names[0]: ("skipped", 0), names[1]: ("extracted", 3),
                      names[2]: ("failed", 0), names[3]: ("failed", 0)}
     assert tuple(extract.extraction_summary(results).first())[2:] == (3, 4, 2, 2)
@@ -191,7 +196,7 @@ def test_transform_summary(spark):
     files = spark.createDataFrame([("f0.json",), ("f1.json",)], "source_file string")
     nothing, second = files.limit(0), files.filter("source_file = 'f1.json'")
     summary = lambda done: tuple(transform.transform_summary(
-        transform.transform_feed(docs, AT), files, done).select(
+        docs, files, done).select(
         "files_processed", "files_skipped", "total_asteroids", "total_approaches",
         "critical_count", "low_count").first())
     assert summary(nothing) == (2, 0, 4, 3, 3, 0)
@@ -200,3 +205,73 @@ def test_transform_summary(spark):
 
 def test_alert_constants():
     assert alerts.BATCH == 100 and alerts.CHANNEL == "discord"
+
+
+def test_one_chain_from_extract_to_tables(spark, tmp_path):
+    """Folders go from step to step as they are; a second round finds nothing to do."""
+    planned = batches.plan_batches(spark, dt.date(2024, 1, 1), dt.date(2024, 1, 21), 7)
+    names = [r["batch_file"] for r in planned.orderBy("batch_number").collect()]
+    docs = spark.createDataFrame(
+        [(names[0], json.dumps(feed({"2024-01-01": [neo("A"), neo("B", approaches=[])]}))),
+         (names[1], json.dumps(feed({}))),
+         (names[2], json.dumps(feed({"2024-01-15": [neo("A", name="renamed")]}), indent=1))],
+        "source_file string, document string")
+    nothing = spark.createDataFrame([], "batch_file string")
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "records")
+    extract.land_batches(planned, nothing, docs, raw, str(tmp_path / "meta"), at=AT)
+    read = transform.run_transform(spark, raw, out, AT)
+    assert sorted({r["source_file"] for r in read.collect()}) == names
+    assert transform.plan_transform(spark, raw, out).count() == 0
+    batch, live = str(tmp_path / "batch"), str(tmp_path / "live")
+    assert tuple(load.run_load(spark, out, batch, at=AT).first())[:3] == (2, 0, 3)
+    load_stream(spark, out, live, str(tmp_path / "checkpoint")).awaitTermination()
+    for table in ("asteroids", "approaches"):
+        assert [r[:9] for r in snapshot(spark, live, table)] == [r[:9] for r in snapshot(spark, batch, table)]
+    state = lambda place: {r[1]: (r[4:]) for r in snapshot(spark, place, "etl_events")}
+    assert state(live) == state(batch)
+    assert state(batch)[names[1].replace(".json", "_transformed.json")][0] == "failed"
+    assert load.plan_load(spark, out, batch).select("source_file").distinct().count() == 1
+    for call in (lambda: transform.run_transform(spark, out, raw), lambda: load.run_load(spark, raw, batch),
+                 lambda: load_stream(spark, raw, live, str(tmp_path / "c2"))):
+        with pytest.raises(ValueError, match="none of the kind"):
+            call()
+
+
+def test_every_instant_loads_and_keys_stay_unique(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    far = [2**63 - 1, -(2**63), 0, -1, 253402300800000, 1704067200000, 1704067200000 + 40 * DAY_MS]
+    for number in (1, 2, 3):
+        folder = tmp_path / f"records{number}"
+        folder.mkdir()
+        items = [approach(epoch=e, date="9999-12-31" if e > 1e14 else "2024-01-01") for e in far[: 2 * number + 1]]
+        docs = documents(spark, feed({"d": [neo("A", approaches=items), neo(f"N{number}")]}))
+        lines = records.encode_records(transform.transform_feed(docs, AT)).collect()
+        (folder / f"f{number}_transformed.json").write_text("\n".join(r["value"] for r in lines))
+        load.run_load(spark, str(folder), root, at=AT)
+    keys = [(r[1], r[3]) for r in snapshot(spark, root, "approaches")]
+    a = [r[0] for r in snapshot(spark, root, "asteroids") if r[1] == "A"][0]
+    assert len(keys) == len(set(keys)) and sorted(e for k, e in keys if k == a) == sorted(far)
+
+
+def test_date_reads_prune_partitions_and_deletes_are_stored(spark, places):
+    from perigee.operators import reads
+
+    raw, out, root, _ = places
+    transform.run_transform(spark, raw, out, AT)
+    load.run_load(spark, out, root, at=AT)
+    ap, ast = (tables.read_table(spark, root, t) for t in ("approaches", "asteroids"))
+    wanted = reads.ApproachFilter(dt.date(2024, 3, 1), dt.date(2024, 3, 31))
+    for page in (reads.approaches_page(ap, ast, wanted), reads.velocity(ap, ast, start=dt.date(2024, 3, 1)),
+                 reads.velocity(ap, ast, reads.Period.MONTH, as_of=dt.datetime(2024, 3, 5)),
+                 alerts.alert_candidates(ap, ast, tables.read_table(spark, root, "alerts"), dt.date(2024, 3, 1))):
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        filters = [x for x in plan.split("PartitionFilters: [")[1:] if x.split("]")[0]]
+        assert any("date_month" in x.split("]")[0] for x in filters)
+    assert reads.approaches_page(ap, ast, wanted).count() == 1
+    gone = ast.filter("neo_reference_id = 'A'").select("id")
+    load.delete_asteroids(spark, root, gone)
+    assert [r[1] for r in snapshot(spark, root, "asteroids")] == ["B", "C"]
+    assert len(snapshot(spark, root, "approaches")) == 1
+    # what was deleted can be loaded again
+    load.run_load(spark, out, root, force=True, at=LATER)
+    assert len(snapshot(spark, root, "asteroids")) == 3 and len(snapshot(spark, root, "approaches")) == 3

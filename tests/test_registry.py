@@ -66,3 +66,13 @@ def test_only_used_columns_are_read(spark):
 @pytest.mark.parametrize("name", ["alerts_anti_join", "pending_files", "pending_batches", "fk_orphans"])
 def test_absence_is_an_anti_join(spark, name):
     assert "LeftAnti" in plan_of(spark, name)
+
+
+@pytest.mark.parametrize("name", ["upsert_stats", "load_summary", "transform_summary", "extraction_metadata",
+                                  "feed_date_range", "feed_flatten_approaches", "feed_flatten_asteroids"])
+def test_documents_are_parsed_once(spark, name):
+    df = entry.queries()[name](spark, FOLDER)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("from_json(") == 1

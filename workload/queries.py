@@ -188,13 +188,7 @@ def _(spark, folder):
         batches.batch_file(begin, F.date_add(begin, 6)).alias("source_file"), begin.alias("begin")
     ).distinct()
     done = files.filter(F.col("begin") < F.lit(LOADED_BEFORE)).select("source_file")
-    return transform.transform_summary(_records(spark, folder), files.select("source_file"), done)
-
-
-def _incoming(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    objects = feed.feed_objects(_feeds(spark, folder))
-    now = F.lit(m.AS_OF.isoformat()).cast("timestamp")
-    return feed.asteroid_rows(objects, now), feed.approach_rows(objects, now)
+    return transform.transform_summary(m.feed_documents(spark, folder), files.select("source_file"), done)
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,18 +205,16 @@ def _(spark, folder):
     old = F.col("begin") < F.lit(LOADED_BEFORE)
     done = every.filter(old).select("source_file")
     files = every.filter(~old).select("source_file")
-    asteroids, approaches = _incoming(spark, folder)
-    asteroids = batches.pending(asteroids, done, "source_file")
-    approaches = batches.pending(approaches, done, "source_file")
-    added = merge.new_approaches(_stored(spark, folder), approaches, load.EARLIEST)
-    return load.load_summary(load.file_stats(files, asteroids, approaches, added), done)
+    documents = batches.pending(m.feed_documents(spark, folder), done, "source_file")
+    keys = feed.merge_keys(feed.feed_objects(feed.valid_feeds(feed.decode_feed(documents))))
+    return load.load_summary(load.counted_load(files, keys, _stored(spark, folder)), done)
 
 
 @query("upsert_stats")
 def _(spark, folder):
-    asteroids, approaches = _incoming(spark, folder)
+    keys = feed.merge_keys(feed.feed_objects(_feeds(spark, folder)))
     known = m.asteroids(spark, folder).filter("is_sentry_object")
-    return merge.upsert_stats(known, asteroids, _stored(spark, folder), approaches)
+    return merge.merge_counts(keys, known, _stored(spark, folder))
 
 
 # --- expressions over the tables -------------------------------------------------------
