@@ -278,6 +278,15 @@ ORACLES: dict[str, str] = {
         velocity_km_per_s, velocity_km_per_h, miss_distance_km, miss_distance_astronomical,
         miss_distance_lunar, orbiting_body, hazard_classification
         FROM listed_approaches""",
+    "object_counts": f"""SELECT source_file, CAST(CASE WHEN contains(source_file, '03') THEN 3 ELSE 2 END AS BIGINT)
+            AS declared_count, CAST(2 AS BIGINT) AS actual_count, NOT contains(source_file, '03') AS consistent
+        FROM listed WHERE NOT starts_with(ref, 'S')""",
+    "record_round_trip": f"""SELECT replace(source_file, '.json', '_transformed.json') AS source_file,
+        {approach_id('ref', 'epoch_date_close_approach')} AS id, {asteroid_id('ref')} AS asteroid_id,
+        CAST(close_approach_date AS VARCHAR) AS close_approach_date, epoch_date_close_approach,
+        velocity_km_per_s, velocity_km_per_h, miss_distance_km, miss_distance_astronomical,
+        miss_distance_lunar, orbiting_body, hazard_classification
+        FROM listed_approaches""",
     "feed_date_range": """SELECT source_file, feed_date, ref AS neo_reference_id FROM listed
         WHERE feed_date BETWEEN '1998-01-01' AND '1998-06-30'""",
     "lenient_double": """SELECT l_orderkey, l_linenumber, l_partkey,
@@ -426,6 +435,14 @@ ORACLES: dict[str, str] = {
     "daily_avg_velocity": """SELECT CAST(a.close_approach_date AS VARCHAR) AS date,
         avg(velocity_km_per_h) AS avg_velocity_km_per_h
         FROM approaches a GROUP BY a.close_approach_date""",
+    "velocity_chart": """SELECT CAST(a.close_approach_date AS VARCHAR) AS date,
+        strftime(a.close_approach_date, '%d %b %Y') AS label, round(avg(velocity_km_per_h), 6) AS velocity
+        FROM approaches a GROUP BY a.close_approach_date""",
+    "velocity_chart_empty": """WITH slow AS (SELECT * FROM approaches WHERE velocity_km_per_h < 0)
+        SELECT CAST(a.close_approach_date AS VARCHAR) AS date,
+        strftime(a.close_approach_date, '%d %b %Y') AS label, round(avg(velocity_km_per_h), 6) AS velocity
+        FROM slow a GROUP BY a.close_approach_date
+        UNION ALL SELECT NULL, 'No Data Available', 0.0 WHERE NOT EXISTS (SELECT * FROM slow)""",
     "count_asteroids": "SELECT count(*) AS total_asteroids FROM asteroids",
     "count_approaches": "SELECT count(*) AS total_approaches FROM approaches",
     "count_hazardous": """SELECT count(*) AS hazardous_count FROM asteroids
@@ -569,6 +586,19 @@ ORACLES: dict[str, str] = {
             (SELECT epoch_ms(max(completed_at)) // 1000 FROM etl_events
              WHERE status = 'completed') AS last_etl_run
         FROM log""",
+    "metric_texts": """WITH log AS (
+            SELECT * FROM http_requests
+            WHERE ts > TIMESTAMP '2024-01-02 04:02:00' AND ts <= TIMESTAMP '2024-01-02 04:03:00'),
+        rates AS (
+            SELECT count(*) / 60 AS per_second, coalesce(sum(duration_s) / nullif(count(*), 0) * 1000, 0) AS ms,
+                coalesce(count(*) FILTER (WHERE status BETWEEN 400 AND 599) / nullif(count(*), 0) * 100, 0) AS errors,
+                (SELECT count(*) / 60 FROM db_queries WHERE ts > TIMESTAMP '2024-01-02 04:02:00'
+                    AND ts <= TIMESTAMP '2024-01-02 04:03:00') AS queries
+            FROM log)
+        SELECT printf('%.3f', per_second) AS requests_per_second, printf('%.3f%%', errors) AS error_rate_percent,
+            CASE WHEN errors > 5 THEN 'critical' WHEN errors > 1 THEN 'high' ELSE 'low' END AS error_rate_class,
+            printf('%.3f ms', ms) AS avg_response_time_ms, printf('%.3f', queries) AS db_queries_per_second
+        FROM rates""",
 }
 
 

@@ -81,6 +81,24 @@ def _(spark, folder):
     return rows.drop("created_at", "position")
 
 
+@query("object_counts")
+def _(spark, folder):
+    """The documents of some weeks declare a count that is not theirs."""
+    documents = m.feed_documents(spark, folder)
+    wrong = F.col("source_file").contains("03")
+    document = F.when(wrong, F.regexp_replace("document", '"element_count":2', '"element_count":3')).otherwise(F.col("document"))
+    decoded = feed.decode_feed(documents.withColumn("document", document))
+    return feed.object_counts(feed.valid_feeds(decoded))
+
+
+@query("record_round_trip")
+def _(spark, folder):
+    """Every approach, written to its record line and read back."""
+    lines = records.encode_records(_records(spark, folder))
+    rows = records.record_approaches(records.decode_records(lines))
+    return rows.drop("created_at")
+
+
 @query("feed_date_range")
 def _(spark, folder):
     objects = feed.feed_objects(_feeds(spark, folder), FEED_FROM, FEED_TO)
@@ -381,6 +399,21 @@ def _(spark, folder):
     return reads.daily_avg_velocity(m.plain_approaches(spark, folder, ids=False))
 
 
+def _chart(rows: DataFrame) -> DataFrame:
+    return _rounded(reads.velocity_chart(rows), "velocity")
+
+
+@query("velocity_chart")
+def _(spark, folder):
+    return _chart(m.plain_approaches(spark, folder, ids=False))
+
+
+@query("velocity_chart_empty")
+def _(spark, folder):
+    """No approach is that slow."""
+    return _chart(m.plain_approaches(spark, folder, ids=False).filter("velocity_km_per_h < 0"))
+
+
 @query("count_asteroids")
 def _(spark, folder):
     return reads.count_asteroids(m.asteroids(spark, folder))
@@ -638,9 +671,8 @@ def _(spark, folder):
     )
 
 
-@query("metrics_summary")
-def _(spark, folder):
-    summary = telemetry.metrics_summary(
+def _summary(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.metrics_summary(
         m.http_requests(spark, folder),
         m.db_queries(spark, folder),
         m.asteroids(spark, folder),
@@ -648,4 +680,13 @@ def _(spark, folder):
         m.etl_events(spark, folder),
         m.METRICS_AS_OF,
     )
-    return _rounded(summary, "avg_response_time_ms")
+
+
+@query("metrics_summary")
+def _(spark, folder):
+    return _rounded(_summary(spark, folder), "avg_response_time_ms")
+
+
+@query("metric_texts")
+def _(spark, folder):
+    return telemetry.metric_texts(_summary(spark, folder))
