@@ -14,7 +14,9 @@ exceptions.
 
 from __future__ import annotations
 
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from perigee.llm.rows import named, slices, texts
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 MAGIC, BLOCK, PERCENTILE, END_ID = 0x31524650, 256, 90, 1
 #: Words kept with their ids before the cache starts anew.
-CACHED = 200_000
+CACHED = 300_000
 U = np.uint64
 
 
@@ -137,25 +139,55 @@ def from_segment(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if m else d for d, m in zip(doc_ids, missing, strict=True)], sizes, unpack_blocks(held, starts, n)
 
 
+#: Latin letters, then ASCII signs without an apostrophe: for such a word the vocabulary's
+#: own normaliser only lowers the letters, and its splitter cuts once, before the signs.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level vocabularies spell bytes: printed ones as themselves, the rest from 256 on.
+_SPELLED = {b: chr(b) for b in _PRINTED} | {
+    b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)
+}
+
+
 class WordEncoder:
     """The library's ids of texts. Its vocabulary splits text at white space before anything
-    else, so each distinct word is encoded once and its ids are kept."""
+    else, so each distinct word is encoded once and its ids are kept. The parts of plain words
+    go straight to the library's merges, all other words through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # marks inside a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
         self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLED)
+            ids = self.parts[part] = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest = []
+        for word in new:
+            plain = _PLAIN.match(word.decode())
+            if plain:
+                letters, signs = plain.groups()
+                self.words[word] = self._part(letters.lower()) + self._part(signs)
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for word, one in zip(part, done, strict=True):
+                self.words[word] = array("I", one.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHED:
-            self.words = {}
+        if len(self.words) > CACHED or len(self.parts) > CACHED:
+            self.words, self.parts = {}, {"": b""}
         split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.words.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, one in zip(part, done, strict=True):
-                self.words[word] = np.array(one.ids, "<u4").tobytes()
+        self._learn(list(set().union(*split) - self.words.keys()))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
