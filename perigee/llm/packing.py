@@ -36,7 +36,9 @@ def chunked(rows: DataFrame) -> DataFrame:
     """The rows in chunks of about four megabytes of text, dealt out by chunk.
 
     The explicit exchange is planned once and reused by every join on `chunk`. Chunk numbers
-    come from the task and its order of reading, and are only used inside one plan.
+    come from the task and its order of reading, and are only used inside one plan. The rows
+    must come in the same order when a lost task is run again, as those of files and of
+    checkpoints do; write a table to files first whose order can change.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
