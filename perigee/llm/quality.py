@@ -149,7 +149,9 @@ def order_rules(cost: np.ndarray, rejected: np.ndarray) -> list[int]:
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = SAMPLE) -> tuple[Rule, ...]:
     """The rules in the order in which they should run, from at most `sample` random texts."""
-    chosen = rows_and_text(docs, text, [docs.columns[0]]).select("text").orderBy(F.rand(11)).limit(sample)
+    rows = rows_and_text(docs, text, [docs.columns[0]]).select("text")
+    share = min(1.0, 2 * sample / max(1, docs.count()))  # tasks send on only what they draw
+    chosen = rows.sample(share, 11).orderBy(F.rand(11)).limit(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
