@@ -196,7 +196,7 @@ def velocity_latest(
     return page.withColumn("date", F.col("close_approach_date")).select(*VELOCITY_VIEW)
 
 
-def since(period: Period, as_of: dt.datetime | None = None) -> Column:
+def first_day(period: Period, as_of: dt.datetime | None = None) -> Column:
     """The first date at or after the instant one period before `as_of`; a date is its
     midnight.
 
@@ -205,10 +205,12 @@ def since(period: Period, as_of: dt.datetime | None = None) -> Column:
     """
     begin = instant(as_of) - period.interval()
     midnight = F.to_date(begin)
-    first_day = F.when(midnight.cast("timestamp") == begin, midnight).otherwise(
-        F.date_add(midnight, 1)
-    )
-    return first_day
+    return F.when(midnight.cast("timestamp") == begin, midnight).otherwise(F.date_add(midnight, 1))
+
+
+def since(period: Period, as_of: dt.datetime | None = None) -> Column:
+    """Whether a date is at or after that day."""
+    return F.col("close_approach_date") >= first_day(period, as_of)
 
 
 def velocity_period(
@@ -218,8 +220,7 @@ def velocity_period(
     as_of: dt.datetime | None = None,
 ) -> DataFrame:
     """Velocities from one period ago on, future dates included, oldest first."""
-    first = since(period, as_of)
-    chosen = in_months(approaches, first, None).filter(F.col("close_approach_date") >= first)
+    chosen = in_months(approaches, first_day(period, as_of), None).filter(since(period, as_of))
     return _velocity_view(chosen, asteroids).orderBy("date", "id").select(*VELOCITY_VIEW)
 
 
