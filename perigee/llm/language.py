@@ -126,7 +126,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Co
 
 
 def phrases(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Phrases that each language needs for each text: languages x texts."""
+    """Phrases that each language needs for each text: languages x texts. A byte that a
+    language does not have is a phrase of its own; only then is the root left anew."""
     size = np.diff(bounds)
     parts = -(-size // SEGMENT)
     text = np.repeat(np.arange(len(size)), parts)
@@ -139,7 +140,7 @@ def phrases(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     code = model.codes[data].astype(np.int32)
     roots = model.roots[:, None]
     state = np.repeat(roots, len(start), 1)
-    count = np.ones((len(model.roots), len(start)), np.int64)
+    count = np.zeros((len(model.roots), len(start)), np.int64)
     first = model.table[roots * model.width + np.arange(model.width, dtype=np.int32)]
     first = np.where(first < 0, roots, first)
     for t in range(SEGMENT):
@@ -149,7 +150,7 @@ def phrases(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         c = code[start[:n] + t]
         after = model.table[state[:, :n] * model.width + c]
         ends = after < 0
-        count[:, :n] += ends
+        count[:, :n] += ends | (state[:, :n] == roots)  # where a phrase begins
         state[:, :n] = np.where(ends, first[:, c], after)
     out = np.zeros((len(model.roots), len(size)), np.int64)
     for k in range(len(out)):
