@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from perigee.llm.rows import flat, named, rows_and_text, schema_with_row, slices
 
@@ -85,26 +85,38 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> Model:
+def sample_texts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Of each language the SAMPLE_DOCUMENTS distinct texts of least hash, in lower case and
+    cut to SAMPLE_CHARS characters. Hashes are made distinct first, so that a text which many
+    rows repeat takes one place; then the texts up to the last of them are read."""
+    rows = labelled.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("at", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    first = rows.select("lang", "at").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCUMENTS)
+    bounds = {r["lang"]: r["last"] for r in first.groupBy("lang").agg(F.max("at").alias("last")).collect()}
+    if not bounds:
+        return {}
+    last = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+    begin = F.substring(F.lower("text"), 1, SAMPLE_CHARS)
+    drawn = rows.where(F.col("at") <= last[F.col("lang")]).groupBy("lang", "at").agg(F.min(begin).alias("text"))
+    held: dict[str, list[str]] = defaultdict(list)
+    for row in drawn.orderBy("lang", "at").collect():
+        held[row["lang"]].append(row["text"])
+    return dict(held)
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of the languages of the labelled rows, from a bounded sample.
 
-    Of each language at most SAMPLE_DOCUMENTS rows with letters are used, those first in
-    `order` (a hash of the text by default), and of each at most SAMPLE_CHARS characters.
-    Rows without language or text are left out; a text counts once.
+    Of each language at most SAMPLE_DOCUMENTS distinct texts with letters are used, those of
+    least hash, and of each at most SAMPLE_CHARS characters. Rows without language or text are
+    left out; a text counts once, however many rows repeat it.
     """
-    rows = labelled.select(named(lang).cast("string").alias("lang"), F.lower(named(text).cast("string")).alias("text"),
-                           (F.xxhash64(named(text)) if order is None else order).alias("at"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "at", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCUMENTS)
-    held: dict[str, set[bytes]] = defaultdict(set)
-    for row in sample.select("lang", "text").collect():
-        held[row["lang"]].add(row["text"].encode())
+    held = sample_texts(labelled, text, lang)
     languages = sorted(held)
     joined = {}
     for name in languages:
-        data = np.frombuffer(b" ".join(sorted(held[name])), np.uint8)
+        data = np.frombuffer(" ".join(held[name]).encode(), np.uint8)
         joined[name] = letters_only(data, np.array([0, len(data)]))[0]
     languages = [x for x in languages if len(joined[x])]
     seen = sorted({*np.concatenate([[_GAP], *joined.values()]).tolist()})

@@ -78,7 +78,7 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
-    model = language.learn(docs.where(~held_out), order=F.xxhash64("doc_id"))
+    model = language.learn(docs.where(~held_out))
     found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"])
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 

@@ -291,6 +291,17 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
 
 
+def test_a_text_that_many_rows_repeat_takes_one_place_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 5)
+    texts = [f"wort nummer {'x' * i} hier" for i in range(20)]
+    rows = [(i, t, "de") for i, t in enumerate(texts * 2)] + [(100 + i, texts[0], "de") for i in range(50)]
+    df = spark.createDataFrame([*rows, (999, "Only ONE here", "en"), (1000, None, "fr")], "doc_id long, text string, lang string")
+    held = language.sample_texts(df)
+    assert set(held) == {"de", "en"} and held["en"] == ["only one here"]
+    assert len(held["de"]) == len(set(held["de"])) == 5
+    assert held == language.sample_texts(df.orderBy(F.desc("doc_id")))
+
+
 # all ----------------------------------------------------------------------------------------
 
 
