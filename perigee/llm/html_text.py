@@ -10,6 +10,7 @@ table line up in columns. Everything is iterative: nesting has no limit.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,6 +52,8 @@ ENDS = {
 }
 #: Elements that an end tag of an inline element outside of them does not close.
 WALLS = frozenset("table td th caption button object template".split())
+#: Brackets in a selector are read to this depth.
+DEEPEST = 16
 #: Columns are padded to this many characters at most; longer cells go beyond.
 COLUMN, MOST_COLUMNS = 60, 1000
 
@@ -58,10 +61,20 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*|[.#][\w-]+)\Z")
+_DISPLAY = re.compile(r"\s*display\s*:\s*([^!]*?)\s*(!\s*important\s*)?\Z", re.I)
+#: Comments, strings and the markers of a page comment in a style sheet; its pieces.
+_ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|<!--|-->""", re.S)
+_PIECE = re.compile(r"((?:[^{};\\]++|\\.)*+\\?)([{};]|\Z)", re.S)
+_PLAIN_MEDIA = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?:print|speech))?\Z")
+_OFF_MEDIA = re.compile(r"(?:only\s+)?(?:print|speech|aural|braille|embossed|handheld|projection|tty|tv)\b|not\s+(?:all|screen)\Z")
+_NAME = r"(?:[\w-]|\\.|[^\x00-\x7f])++"
+_PART = re.compile(rf"[.#]?{_NAME}")
+_COMPOUND = re.compile(rf"(?:\*|{_NAME})?+(?:[.#]{_NAME})*+\Z")
+_OUTSIDE = re.compile(r"\([^()]*+\)|\[[^\[\]]*+\]")
+_PSEUDO = re.compile(rf"(?<!\\)::?{_NAME}")
+#: No element of a page that was just opened is in these states; the others are no elements.
+_NEVER = re.compile(r"(?<!\\)(?:::|:(?:hover|focus|focus-within|focus-visible|active|target|before|after|first-line|first-letter)(?![\w-]))", re.I)
 
 
 @dataclass
@@ -121,10 +134,10 @@ class Open:
                 return
 
 
-def build(source: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors that its style sheets do not display."""
+def build(source: str) -> tuple[Node, Sheet]:
+    """The tree of a page, and what its style sheets say about display."""
     root = Node("#root")
-    stack, hidden = Open(root), set()
+    stack, sheets, names = Open(root), [], set()
     at, end = 0, len(source)
     while at < end:
         lt = source.find("<", at)
@@ -164,37 +177,150 @@ def build(source: str) -> tuple[Node, set[str]]:
             stack.close(("p",), ("table", "td", "th", "button", "object", "caption"))
         node = Node(tag, _attributes(held) if held and not held.isspace() else {})
         stack.last.children.append(node)
+        names.update(_names(node))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             inner = source[at : close.start() if close else end]
             if tag == "style":
-                hidden |= _undisplayed(inner)
+                sheets.append((inner, node.attributes.get("media", "")))
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             gt = source.find(">", close.start()) if close else -1
             at = end if gt < 0 else gt + 1
         elif tag not in VOID and not held.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             stack.push(node)
-    return root, hidden
+    return root, Sheet(sheets, names)
 
 
-def _undisplayed(sheet: str) -> set[str]:
-    out = set()
-    for selectors, held in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        if _NONE.search(held):
-            out |= {s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip())}
+def _names(node: Node) -> list[str]:
+    """What selectors call an element by: tag, id and classes."""
+    a = node.attributes
+    return [node.tag, *(["#" + a["id"]] if "id" in a else []), *("." + c for c in a.get("class", "").split())]
+
+
+def _media(queries: str) -> bool | None:
+    """Whether a media list holds on every screen (True), on some (None) or on none (False)."""
+    held = [" ".join(q.lower().split()) for q in queries.split(",")]
+    if any(_PLAIN_MEDIA.match(q) for q in held):
+        return True
+    return False if all(_OFF_MEDIA.match(q) for q in held) else None
+
+
+def _at_rule(prelude: str) -> bool | None:
+    """Whether the rules in the block of an at-rule hold."""
+    name = re.match(r"@([\w-]*)", prelude).group(1).lower()
+    if name == "media":
+        return _media(prelude[6:])
+    return True if name == "layer" else None if name in ("supports", "container", "scope") else False
+
+
+def _display(declarations: list[str]) -> tuple[bool, bool] | None:
+    """(important, shown) of the display that a block sets; the last one of most importance."""
+    out = None
+    for held in declarations:
+        found = _DISPLAY.match(held)
+        if found and found.group(1) and "\\" not in found.group(1):
+            important = bool(found.group(2))
+            if out is None or important >= out[0]:
+                out = important, found.group(1).lower() != "none"
     return out
 
 
-def displayed(node: Node, hidden: set[str]) -> bool:
+def _blocks(sheet: str, media: str) -> Iterator[tuple[str, bool | None, bool, tuple[bool, bool]]]:
+    """Selectors, whether they hold, whether they are nested in a block, and the display they
+    set. Nested ones hold for a part of the elements they name only."""
+    stack: list = [(_media(media), "", False, [])]
+    pieces = _PIECE.findall(_ASIDE.sub(lambda m: '""' if m[0][0] in "\"'" else " ", sheet))
+    for held, mark in [*pieces, *[("", "}")] * (sum(m == "{" for _, m in pieces) + 1)]:
+        holds, selectors, nested, declarations = stack[-1]
+        if mark == "{":
+            held = held.strip()
+            own = holds
+            if held.startswith("@"):
+                inner = _at_rule(held)
+                own = False if holds is False or inner is False else None if inner is None else holds
+                held = selectors
+            elif selectors:
+                own = None if holds is not False else False
+            stack.append((own, held, bool(selectors), []))
+            continue
+        declarations.append(held)
+        if mark == "}" and len(stack) > 1:
+            stack.pop()
+            display = _display(declarations) if selectors and holds is not False else None
+            if display:
+                yield selectors, holds, nested, display
+
+
+class Sheet:
+    """The display rules of a page's style sheets.
+
+    Rules of one compound selector (tag, id, classes) are matched as a browser does, by
+    importance, specificity and order. All others, and those that hold on some screens only,
+    never hide; they show what their last compound names, if the page has every name in them.
+    """
+
+    def __init__(self, sheets: list[tuple[str, str]], names: set[str]):
+        self.rules: dict[str, list] = {}
+        order, hides = 0, False
+        for sheet, media in sheets:
+            if not re.search("display", sheet, re.I):
+                continue
+            for selectors, holds, nested, (important, shown) in _blocks(sheet, media):
+                for _ in range(DEEPEST):
+                    selectors = _OUTSIDE.sub(":some", selectors)
+                for selector in selectors.split(","):
+                    order += 1
+                    rule = self._rule(selector.strip(), holds, shown, names)
+                    if rule:
+                        last, rank, certain = rule
+                        rank = (math.inf, *rank) if nested else rank  # above those that it is nested in
+                        self.rules.setdefault(last[0] if last else "*", []).append((frozenset(last), (important, rank, order), shown, certain))
+                        hides |= not shown
+        if not hides:
+            self.rules = {}
+
+    @staticmethod
+    def _rule(selector: str, holds: bool | None, shown: bool, names: set[str]) -> tuple | None:
+        """Names in the last compound, specificity, whether the rule is certain to hold."""
+        if not selector or _NEVER.search(selector):
+            return None
+        certain = holds is True and bool(_COMPOUND.match(selector))
+        if not (certain or shown):
+            return None
+        parts = [x for x in re.split(r"(?<!\\)[\s>+~]+", _PSEUDO.sub(lambda m: "", selector.replace("&", ""))) if x]
+        found = [[re.sub(r"\\(.)", r"\1", x) for x in _PART.findall(p)] for p in parts]
+        found = [[x if x[0] in ".#" else x.lower() for x in p] for p in found]
+        every = [x for p in found for x in p]
+        if not names.issuperset(every):
+            return None
+        pseudo = len(_PSEUDO.findall(selector))
+        rank = (sum(x[0] == "#" for x in every), sum(x[0] == "." for x in every) + pseudo, sum(x[0] not in ".#" for x in every))
+        last = found[-1] if found and not selector.endswith(("&", ")")) or len(found) == 1 else []
+        return sorted(last, key=lambda x: (x[0] not in "#", x[0] not in ".")), rank, certain
+
+    def hides(self, node: Node) -> tuple[bool, bool]:
+        """Whether the sheets hide an element, and by a rule that its own style cannot undo."""
+        names = _names(node)
+        matched = [r for n in {*names, "*"} for r in self.rules.get(n, ()) if r[0].issubset(names)]
+        certain = max((r for r in matched if r[3]), key=lambda r: r[1], default=None)
+        if certain is None or certain[2] or any(r[2] and r[1] > certain[1] for r in matched):
+            return False, False
+        return True, certain[1][0]
+
+
+def displayed(node: Node, sheet: Sheet) -> bool:
     """Whether a browser lays the element out at all."""
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a and a["hidden"] != "until-found":
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    if hidden and (node.tag in hidden or "#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split())):
-        return False
-    return not ("style" in a and _NONE.search(a["style"]))
+    own = _display(a["style"].split(";")) if "style" in a else None
+    if sheet.rules:
+        hides, firm = sheet.hides(node)
+        if hides and not (own and own[1] and own[0] >= firm):
+            return False
+    return not (own and not own[1])
 
 
 class Out:
@@ -298,7 +424,7 @@ def _number(held: str | None, least: int, most: int) -> int:
     return min(max(int(found.group(1)), least), most) if found else least
 
 
-def render(root: Node, hidden: set[str]) -> str:
+def render(root: Node, sheet: Sheet) -> str:
     """All visible text of a tree."""
     page = Out()
     outs, tables, lists = [page], [], []
@@ -343,7 +469,7 @@ def render(root: Node, hidden: set[str]) -> str:
             elif tag in BLOCK:
                 out.block(2 if tag in SPACED else 1)
             continue
-        if not displayed(node, hidden):
+        if not displayed(node, sheet):
             continue
         if tag == "br":
             if shown:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from perigee.llm.html_text import visible_text
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +54,35 @@ def test_near_dedup_stage_agrees_with_brute_force(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     want = brute_firsts(rows)
     assert got == want and len(want) < len(rows) - 20
+
+
+@pytest.mark.parametrize("sheet, body, text", [
+    ("@media print { .nav, .side { display: none } }", "<p class=nav>a<p class=side>b", "a\n\nb"),
+    ("@media (max-width: 600px) { .wide { display: none } }", "<p class=wide>a", "a"),
+    ("@media screen and (max-width:9em){.a{color:red}.wide{display:none}} .b{display:none}", "<p class=wide>a<p class=b>b", "a"),
+    ("@supports (display: grid) { p { display: none } }", "<p>a", "a"),
+    ("@media screen, print { .x { display: none } }", "<p class=x>a<p>b", "b"),
+    ("@layer base { @media only screen { .x { display: none } } }", "<p class=x>a<p>b", "b"),
+    (".tab{display:none} .tab.active{display:block}", "<div class=tab>a</div><div class='tab active'>b</div>", "b"),
+    (".tab.active{display:block} .tab{display:none}", "<div class=tab>a</div><div class='tab active'>b</div>", "b"),
+    (".x{display:none} .x{display:block} .y{display:block} .y{display:none}", "<p class=x>a<p class=y>b", "a"),
+    (".x{display:none; display:flex}", "<p class=x>a", "a"),
+    (".menu{display:none} @media (min-width:60em){.menu{display:block}}", "<p class=menu>a", "a"),
+    (".menu{display:none} @media print{.menu{display:block}} .menu:hover{display:block}", "<p class=menu>a<p>b", "b"),
+    (".hidden{display:none} @media (min-width:768px){.md\\:block{display:block}}", "<p class='hidden md:block'>a<p class=hidden>b", "a"),
+    (".menu{display:none} .open .menu{display:block}", "<div class=open><p class=menu>a</div>", "a"),
+    (".menu{display:none} .open .menu{display:block}", "<div><p class=menu>a</div>b", "b"),
+    (".a{display:none; &.on{display:block}} .b{content:'}'; display:none}", "<p class='a on'>a<p class=a>b<p class=b>c", "a"),
+    (".x{display:none}", "<p class=x style='display:block'>a<p class=x>b", "a"),
+    (".x{display:none!important}", "<p class=x style='display:block'>a<p>b", "b"),
+    ("#y, DIV.z{display:none} /* p{display:none} */", "<p id=y>a<div class=z>b</div><p class=z>c", "c"),
+    (".x::before{display:none} p:not(.y){display:none}", "<p class=x>a", "a"),
+])
+def test_style_sheets_hide_only_what_a_screen_hides(sheet, body, text):
+    assert visible_text(f"<style>{sheet}</style>{body}") == text
+
+
+def test_style_sheets_of_other_media_and_hostile_ones():
+    assert visible_text("<style media=print>p{display:none}</style><p>a") == "a"
+    for sheet in ("p{" * 20_000, "}" * 20_000 + "p{display:none}", "display@media(" * 5_000, "p:not(" * 5_000 + "{display:none}", "\\" * 9_999 + "display"):
+        assert visible_text(f"<style>{sheet}</style><p>a") in ("a", "")
