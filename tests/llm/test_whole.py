@@ -86,3 +86,20 @@ def test_style_sheets_of_other_media_and_hostile_ones():
     assert visible_text("<style media=print>p{display:none}</style><p>a") == "a"
     for sheet in ("p{" * 20_000, "}" * 20_000 + "p{display:none}", "display@media(" * 5_000, "p:not(" * 5_000 + "{display:none}", "\\" * 9_999 + "display"):
         assert visible_text(f"<style>{sheet}</style><p>a") in ("a", "")
+
+
+def test_language_stage_keeps_an_unlabelled_table(spark):
+    rows = [(1, "the cat sat", None, "s", 1), (2, "1 2 3", None, "s", 1), (3, None, None, "s", 1), (4, "é", None, "s", 1), (5, "12", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, None), (4, None)]
+
+
+def test_language_stage_fills_what_the_source_leaves_out(spark):
+    words = {"en": "the house and the garden with some flowers", "de": "das Haus und der Garten mit einigen Blumen"}
+    rows = [(i, f"{words[k]} {i}", k, "s", 1) for i, k in enumerate(["en", "de"] * 4)]
+    rows += [(10, "der Garten und das Haus", None, "s", 1), (11, "some flowers and the garden", None, "s", 1),
+             (12, "the house and the garden", "de", "s", 1), (13, "!", None, "s", 1)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()}
+    assert {d: got[d] for d in got if d > 9} == {10: "de", 11: "en", 12: "de"} and len(got) == 11
