@@ -21,6 +21,14 @@ def named(name: str):
     return F.col(f"`{name}`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of the table has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_and_text(df: DataFrame, text: str = "text", keep: list[str] | None = None, **more) -> DataFrame:
     """`row`: a struct of the kept columns (all by default); `text`; further named columns."""
     kept = F.struct(*[named(c) for c in (keep or df.columns)])

@@ -204,11 +204,33 @@ def shard_links(value: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> n
     return distinct[_find(parent, np.arange(len(distinct)))], distinct
 
 
+def split_shards(dealt: DataFrame, radius: int, limit: int = CUT_ABOVE, levels: int = 4) -> DataFrame:
+    """The rows (print, id, shard) with shards above `limit` members dealt anew, before any
+    task gathers one: by radius + 1 groups of those bits in which its members differ, of
+    which two within the radius agree in at least one. Members of a cut shard are repeated
+    radius + 1 times a level; shards as small as the limit stay as they are."""
+    bits = F.expr("filter(sequence(0, 63), i -> (shiftright(vary, i) & 1) = 1)")
+    masks = F.expr(f"""transform(sequence(0, {radius}), p -> aggregate(
+        filter(places, (x, i) -> i % {radius + 1} = p), 0L, (m, x) -> m | shiftleft(1L, x)))""")
+    for _ in range(levels):
+        sizes = dealt.groupBy("shard").agg(
+            F.count("*").alias("n"), F.bit_or("print").bitwiseXOR(F.bit_and("print")).alias("vary")
+        )
+        large = checkpoint(sizes.where(F.col("n") > limit).withColumn("places", bits).select("shard", masks.alias("masks")))
+        if large.isEmpty():
+            break
+        cut = dealt.join(large, "shard").select("print", "id", F.explode(F.transform(
+            "masks", lambda m, i: F.xxhash64("shard", i, F.col("print").bitwiseAND(m)))).alias("shard"))
+        dealt = checkpoint(dealt.join(large, "shard", "left_anti").select("print", "id", "shard").unionByName(cut))
+    return dealt
+
+
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between ids of fingerprints at most `radius` bits apart: the forest of
     each task. `distinct` has print and id, each print once; n is about its size."""
     count = blocks_for(n, radius)
     dealt = distinct.select("print", "id", F.explode(F.array(*shard_keys(F.col("print"), count, radius))).alias("shard"))
+    dealt = split_shards(dealt, radius)
     tasks = max(1, n // 8_000)
     dealt = dealt.withColumn("task", F.pmod("shard", F.lit(tasks)))
 
@@ -227,7 +249,8 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS
 ) -> DataFrame:
-    """Per document: `row` (kept columns, only `doc_id` by default), print, component_id.
+    """Per document: `row` (kept columns, only `doc_id` by default), print, component (the same
+    for all documents of a component), component_id.
 
     `component_id` is the least doc_id reachable over links of at most `radius` differing
     bits, the document's own included. Texts without words, null ones too, have print zero
@@ -244,7 +267,7 @@ def near_duplicates(
         "print", "least", F.coalesce("component", "print").alias("component")
     )
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = classes.join(least, "component").select("print", "component_id")
+    known = classes.join(least, "component").select("print", "component", "component_id")
     return prints.join(known, "print").select(
-        F.struct(*[F.col(f"row.`{c}`").alias(c) for c in kept]).alias("row"), "print", "component_id"
+        F.struct(*[F.col(f"row.`{c}`").alias(c) for c in kept]).alias("row"), "print", "component", "component_id"
     )

@@ -6,28 +6,24 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from perigee.llm import simhash
 from perigee.llm.html_text import visible_text
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def shingle_set(text):
-    w = [("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)) for x in (text or "").split()]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
 def brute_firsts(rows):
-    """The least doc_id of each component of texts with 0.8 of their shingles in common."""
-    sets, parent = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
+    """The least doc_id of each component of fingerprints at most three bits apart."""
+    prints, parent = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}, {d: d for d, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if b < a and (prints[a] ^ prints[b]).bit_count() <= 3:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return sorted({find(d) for d in parent})
@@ -38,11 +34,11 @@ def near_copy_rows():
     word = lambda: f"w{rng.randrange(5000)}"
     for _ in range(12):
         own = [word() for _ in range(rng.choice([4, 12, 60, 200]))]
-        for _ in range(8):  # a chain: each a copy of the last with some words changed
+        for _ in range(8):  # a chain: each a copy of the last, some with a word changed
             out.append(" ".join(own))
             own = list(own)
-            for i in rng.sample(range(len(own)), max(1, len(own) // rng.choice([25, 60]))):
-                own[i] = word()
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = word()
     out += [out[30].upper(), out[30] + "  ", "", None]
     rng.shuffle(out)
     return list(enumerate(out))
@@ -56,6 +52,34 @@ def test_near_dedup_stage_agrees_with_brute_force(spark):
     assert got == want and len(want) < len(rows) - 20
 
 
+def test_near_dedup_stage_tells_rows_apart(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, b, "en", "s", 1), (3, a, "en", "s", 1), (3, b, "en", "s", 1), (4, a, "en", "s", 1), (3, a, "en", "s", 1),
+            (None, a, "en", "s", 1), (None, "x y", None, "s", 1), (None, "x y", "s", None, 1), (7, "z", "en", "s", 1), (7, "z", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumn("content_key", F.lit("own"))
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    kept = sorted((str(r.doc_id), r.text) for r in got.collect())
+    assert got.columns == docs.columns and kept == [("1", b), ("3", a), ("7", "z"), ("None", "x y")]
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("limit", [2, 16, 10_000])
+def test_shards_are_split_without_losing_links(spark, limit):
+    rng = random.Random(limit)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = sorted({x ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(5))) for x in base for _ in range(40)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    whole = spark.createDataFrame([(p, i, b % 2) for i, p in enumerate(signed) for b in range(2)], "print long, id long, shard long")
+    cut = [(r.shard, r.id) for r in simhash.split_shards(whole, 3, limit).collect()]
+    held = {}
+    for shard, i in cut:
+        held.setdefault(shard, set()).add(i)
+    met = {(a, b) for group in held.values() for a in group for b in group if a < b}
+    near = {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert near <= met and len(near) > 100
+    assert limit > 100 or max(map(len, held.values())) < len(prints) / 2
+
+
 @pytest.mark.parametrize("sheet, body, text", [
     ("@media print { .nav, .side { display: none } }", "<p class=nav>a<p class=side>b", "a\n\nb"),
     ("@media (max-width: 600px) { .wide { display: none } }", "<p class=wide>a", "a"),
