@@ -11,8 +11,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from perigee.llm import byte_bpe, decontaminate, language, repeats, similar
-from perigee.llm.components import shared_folder
+from perigee.llm import byte_bpe, decontaminate, language, repeats, simhash
+from perigee.llm.components import checkpoint, shared_folder
+from perigee.llm.rows import free_name
+
+#: The columns of documents; a row is told from others of its doc_id by their values.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -26,25 +30,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies, with 0.8 or more of their 5-word shingles in common, the
-    document of least doc_id stays, once if its row is repeated. Documents without doc_id cannot
-    be told apart and stay."""
-    found = similar.near_copies(docs).select("row.doc_id", "component_id")
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each component of fingerprints the row of least doc_id stays; rows without doc_id come
+    last. Of rows of equal doc_id the one of least content key stays, once if it is repeated."""
+    key = free_name(docs, "content_key")
+    own = [F.col(f"`{c}`") for c in DOCUMENT if c in docs.columns]
+    marked = docs.withColumn(key, F.xxhash64(*own, *[c.isNull() for c in own]))
+    found = simhash.near_duplicates(marked, keep=["doc_id", key])
+    rows = found.groupBy("component", F.col("row.doc_id").alias("id"), F.col(f"row.`{key}`").alias("key")).agg(F.count("*").alias("n"))
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first"))
+    first = checkpoint(least.select("first.id", "first.key", "first.n"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        same = marked["doc_id"].eqNullSafe(chosen["id"]) & (marked[f"`{key}`"] == chosen["key"])
+        return marked.join(chosen, same, "left_semi")
+
+    several = first.where("n > 1")
+    if several.isEmpty():
+        return of(first).select(docs.columns)
+    return of(first.where("n = 1")).unionByName(of(several).dropDuplicates(["doc_id", key])).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages that a document of lesser doc_id has too are cut out; a document of which
-    nothing is left goes."""
-    left = repeats.remove_repeats(docs).where("n_words = 0 OR n_removed < n_words")
-    new = {"text": F.col("text_left"), "n_chars": F.length("text_left").cast(docs.schema["n_chars"].dataType)}
-    own = [
-        F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`")
-        for c in docs.columns
-    ]
-    return left.select(own)
+    nothing is left goes. The text goes through the job once, beside the other columns."""
+    others = [c for c in docs.columns if c != "text"]
+    left = repeats.remove_repeats(docs, keep=others).where("n_words = 0 OR n_removed < n_words")
+    size = F.when(F.col("n_removed") > 0, F.length("text_left")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text_left"), "n_chars": size.cast(docs.schema["n_chars"].dataType)}
+    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
