@@ -46,9 +46,9 @@ class Words:
         return hash_spans(self.data, self.starts, self.ends)
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
+def split_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> Words:
     """Words between white space; a word never goes from one text into the next."""
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     before[bounds] = False

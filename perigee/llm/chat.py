@@ -103,8 +103,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the formatted text and its mask give back: counts and digests per conversation."""
-    learned = F.array_join(F.transform("loss", lambda x: F.element_at("turns", x["ordinal"])["text"]), "")
+    """What the formatted text and its mask give back: counts and digests per conversation. The
+    learned texts are cut out of `formatted` by the spans of the mask."""
+    cut = lambda x: F.substring("formatted", (x["start"] + 1).cast("int"), x["length"].cast("int"))
+    learned = F.array_join(F.transform("loss", lambda x: unescape(cut(x))), "")
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",

@@ -2,7 +2,8 @@
 
 What a rule costs and rejects is estimated on a bounded sample; rules then run in the order of
 rejection per cost, each only on the documents that those before it let through. The order
-changes the work and never the verdict, which is that no rule rejects.
+changes the work and never the verdict, which is that no rule rejects. Measures that the result
+has for every document cost a rule nothing more; others are made for what is left.
 """
 
 from __future__ import annotations
@@ -39,17 +40,64 @@ _BEGINS = np.array([b & 0xC0 != 0x80 for b in range(256)])
 REPEAT = 3
 
 
+def measure(make: Callable[[Texts], object]) -> property:
+    """A value per text, made once. Some texts taken out of others have it from those; what is
+    not known yet is made for them alone if they are few, else for all they were taken from."""
+    name = make.__name__
+
+    def get(texts: Texts):
+        held = texts.known(name)
+        if held is None:
+            held = make(texts) if texts.few() else _chosen(getattr(texts.source, name), texts.which)
+        texts.made[name] = held
+        return held
+
+    return property(get, doc=make.__doc__)
+
+
+def _chosen(held, which: np.ndarray):
+    return tuple(x[which] for x in held) if isinstance(held, tuple) else held[which]
+
+
 class Texts:
-    """Texts one after another, and what rules measure of them, each made when first asked."""
+    """Texts one after another, and what rules measure of them."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        self.data, self.bounds = data, bounds
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, source: Texts | None = None, which: np.ndarray | None = None):
+        self._data, self._bounds, self.source, self.which = data, bounds, source, which
+        self.made: dict[str, object] = {}
 
     def take(self, which: np.ndarray) -> Texts:
-        size = np.diff(self.bounds)[which]
-        after = np.cumsum(size)
-        place = np.repeat(self.bounds[:-1][which] - (after - size), size) + np.arange(after[-1] if len(after) else 0)
-        return Texts(self.data[place], np.concatenate([[0], after]))
+        return Texts(None, None, self, which)
+
+    def known(self, name: str):
+        if name in self.made or self.source is None:
+            return self.made.get(name)
+        held = self.source.known(name)
+        return None if held is None else _chosen(held, self.which)
+
+    def few(self) -> bool:
+        """Whether it pays to copy these texts: they are under a quarter of their source."""
+        if self.source is None:
+            return True
+        return 4 * int(np.diff(self.source.bounds)[self.which].sum()) < len(self.source.data)
+
+    def _copy(self) -> None:
+        if self._data is None:
+            size = np.diff(self.source.bounds)
+            chosen = np.zeros(len(size), bool)
+            chosen[self.which] = True  # places ascend
+            self._data = self.source.data[np.repeat(chosen, size)]
+            self._bounds = np.concatenate([[0], np.cumsum(size[self.which])])
+
+    @property
+    def data(self) -> np.ndarray:
+        self._copy()
+        return self._data
+
+    @property
+    def bounds(self) -> np.ndarray:
+        self._copy()
+        return self._bounds
 
     def count(self, table: np.ndarray) -> np.ndarray:
         """Bytes of a set in each text."""
@@ -59,27 +107,38 @@ class Texts:
     def words(self):
         return split_words(self.data, self.bounds)
 
-    @cached_property
+    @measure
     def n_words(self) -> np.ndarray:
         return self.words.per_text.astype(np.int64)
 
-    @cached_property
+    @measure
     def word_chars(self) -> np.ndarray:
         return self.count(_BEGINS & ~SPACE)
 
-    @cached_property
+    @measure
     def n_symbols(self) -> np.ndarray:
         return self.count(SYMBOLS)
 
-    @cached_property
+    @measure
+    def n_upper(self) -> np.ndarray:
+        return self.count(_UPPER)
+
+    @measure
+    def n_marks(self) -> np.ndarray:
+        return self.count(_MARKS)
+
+    @measure
     def n_alpha_words(self) -> np.ndarray:
         words = self.words
         seen = np.concatenate([[0], np.cumsum(_ALPHA[self.data])])
         return sum_per_text((seen[words.ends] > seen[words.starts]).astype(np.int64), words.first)
 
-    @cached_property
+    @measure
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: its lines with a word, and those equal to an earlier one."""
+        n = len(self.bounds) - 1
+        if not len(self.data):
+            return np.zeros(n, np.int64), np.zeros(n, np.int64)
         feeds = np.flatnonzero(self.data == 10)
         starts = np.unique(np.concatenate([self.bounds[:-1], feeds + 1]))
         starts = starts[starts < len(self.data)]
@@ -89,7 +148,6 @@ class Texts:
         starts, ends = starts[held], ends[held]
         text = np.searchsorted(self.bounds, starts, side="right") - 1
         key = mix(hash_spans(self.data, starts, ends) ^ mix(text.astype(U)))
-        n = len(self.bounds) - 1
         every = np.bincount(text, minlength=n)
         order = np.argsort(key, kind="stable")
         first = order[runs_of(key[order])]
@@ -99,7 +157,7 @@ class Texts:
     def n_dup_lines(self) -> np.ndarray:
         return self.lines[1]
 
-    @cached_property
+    @measure
     def n_repeat_words(self) -> np.ndarray:
         """Words in windows of REPEAT words that a text has twice or more."""
         words = self.words
@@ -112,6 +170,10 @@ class Texts:
         again = order[np.repeat(size > 1, size)]
         return sum_per_text(covered(at[again], REPEAT, len(words.starts)).astype(np.int64), words.first)
 
+    def base(self) -> list[np.ndarray]:
+        """The measures that every document has in the result."""
+        return [self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -123,8 +185,8 @@ class Rule:
 RULES = (
     Rule("word_length", lambda t: (t.word_chars < 3 * t.n_words) | (t.word_chars > 10 * t.n_words)),
     Rule("symbols", lambda t: t.n_symbols * 10 > t.n_words),
-    Rule("upper_case", lambda t: t.count(_UPPER) * 2 > t.word_chars),
-    Rule("end_marks", lambda t: t.count(_MARKS) * 4 > 5 * t.n_words),
+    Rule("upper_case", lambda t: t.n_upper * 2 > t.word_chars),
+    Rule("end_marks", lambda t: t.n_marks * 4 > 5 * t.n_words),
     Rule("letters", lambda t: t.n_alpha_words * 4 < 3 * t.n_words),
     Rule("same_lines", lambda t: t.n_dup_lines * 2 > t.lines[0]),
     Rule("same_windows", lambda t: t.n_repeat_words * 10 > 4 * t.n_words),
@@ -155,10 +217,12 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            held = flat(part.column("text"))
+            held = Texts(*flat(part.column("text")))
+            held.base()
             cost, found = [], []
-            for rule in rules:
-                fresh, begin = Texts(*held), time.perf_counter()
+            for rule in rules:  # what a rule costs besides the measures of the result
+                fresh, begin = Texts(held.data, held.bounds), time.perf_counter()
+                fresh.made, fresh.words = dict(held.made), held.words
                 found.append(rule.rejects(fresh))
                 cost.append(time.perf_counter() - begin)
             yield pa.RecordBatch.from_pydict(
@@ -201,9 +265,8 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None, text: str = "t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = Texts(*flat(part.column("text")))
-            failed = base_fails(texts)
+            columns, failed = texts.base(), base_fails(texts)
             kept = run_cascade(texts, planned, ~failed) == len(planned)
-            columns = [texts.n_words, texts.word_chars, texts.n_symbols, texts.n_dup_lines, texts.n_repeat_words]
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), *[pa.array(x, pa.int64()) for x in columns], pa.array(failed), pa.array(kept & ~failed)],
                 ["row", *_COUNTS, "base_failed", "kept"])

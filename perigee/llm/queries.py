@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from perigee.llm import byte_bpe, chat, decontaminate, html_text, language, lm, quality, repeats, simhash, token_files
+from perigee.llm import (
+    bins, byte_bpe, chat, decontaminate, html_text, language, lm, merkle, phrases, quality, repeats, simhash, token_files,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +92,29 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(remainder(7) == 0, merkle.leaf_of(*changed))
+    found = merkle.manifest(table(spark, folder, "documents"), fields, tampered=tampered)
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return folded.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = bins.pack_texts(table(spark, folder, "documents"), keep=["doc_id"])
+    return packed.select(
+        "row.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -101,6 +126,9 @@ REGISTRY = {
     "op8_chat_format": op8_chat_format,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_packing": op13_packing,
 }
 
 

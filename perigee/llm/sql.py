@@ -79,4 +79,109 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM docs d LEFT JOIN removed USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op8_chat_format": OP8}
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), counts AS (
+  SELECT lang, size, g, count(*) AS n
+  FROM (SELECT lang, size, array_to_string(w[i:i+size-1], ' ') AS g
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM words, (VALUES (1), (2), (3), (4)) AS sizes(size)))
+  GROUP BY lang, size, g
+), totals AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS words FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, g, n, string_split(g, ' ') AS w FROM counts WHERE size > 1 AND n >= 30
+), inside AS (
+  SELECT lang, part, max(n) AS kept
+  FROM (SELECT lang, n, array_to_string(w[i:i+k-1], ' ') AS part
+        FROM (SELECT lang, size, w, n, k, unnest(range(1, size - k + 2)) AS i
+              FROM candidates, (VALUES (2), (3)) AS parts(k) WHERE k < size))
+  GROUP BY lang, part
+), cuts AS (
+  SELECT c.lang, c.g, c.n AS a, k, x.n AS l, y.n AS r,
+         CAST(CAST(2000000 AS HUGEINT) * c.n // (x.n + y.n) AS BIGINT) AS score
+  FROM candidates c, (VALUES (1), (2), (3)) AS places(k), counts x, counts y
+  WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang
+    AND x.size = k AND x.g = array_to_string(c.w[1:k], ' ')
+    AND y.size = c.size - k AND y.g = array_to_string(c.w[k+1:c.size], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, g) AS rank,
+       g AS phrase, a, l, r, words AS n, score
+FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.g
+WHERE kept IS NULL OR CAST(100 AS HUGEINT) * kept < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000
+"""
+
+OP12 = r"""
+WITH RECURSIVE marked AS (
+  SELECT *, row_number() OVER () AS id, coalesce('+' || lang, '') AS tree,
+         coalesce(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 0) AS crc
+  FROM documents
+), spelled AS (
+  SELECT id, doc_id, tree, doc_id IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 AS tampered,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') ||
+         coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS b,
+         coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') AS b1,
+         coalesce(strlen(text) || ':' || text, '-') AS c
+  FROM marked
+), leaves AS (
+  SELECT id, doc_id, tree, sha256(a || b || c) AS leaf,
+         CASE WHEN tampered THEN sha256(a || b1 || c) ELSE sha256(a || b || c) END AS claimed
+  FROM spelled
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), nodes(tree, lvl, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM ranked
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), tops AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown(lvl, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY lvl, pos // 2, n
+), climb(id, tree, lvl, pos, n, held, beside) AS (
+  SELECT id, tree, 0, pos, n, claimed, '' FROM ranked
+  UNION ALL
+  SELECT c.id, c.tree, c.lvl + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.h, '') || held ELSE held || coalesce(s.h, '') END),
+         beside || coalesce(s.h, '')
+  FROM climb c LEFT JOIN nodes s ON s.tree = c.tree AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+), over(id, lvl, pos, n, held, beside) AS (
+  SELECT c.id, 0, t.pos, t.n, c.held, c.beside FROM climb c JOIN tops t ON t.tree = c.tree WHERE c.n = 1
+  UNION ALL
+  SELECT c.id, c.lvl + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.h, '') || held ELSE held || coalesce(s.h, '') END),
+         beside || coalesce(s.h, '')
+  FROM over c LEFT JOIN crown s ON s.lvl = c.lvl AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+)
+SELECT r.doc_id, r.leaf, t.h AS subroot, top.h AS root, sha256(o.beside) AS proof_sha256,
+       o.held AS folded_root, o.held = top.h AS verified
+FROM ranked r JOIN tops t ON t.tree = r.tree JOIN over o ON o.id = r.id AND o.n = 1
+  CROSS JOIN (SELECT h FROM crown WHERE n = 1) AS top
+"""
+
+ORACLES = {
+    "op2_decontaminate": OP2,
+    "op3_substring_dedup": OP3,
+    "op8_chat_format": OP8,
+    "op11_collocations": OP11,
+    "op12_merkle_manifest": OP12,
+}
