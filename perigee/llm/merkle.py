@@ -87,15 +87,19 @@ def roll(rows: DataFrame, digits: int) -> DataFrame:
     return at
 
 
-def build(rows: DataFrame, digits: int) -> list[DataFrame]:
-    """The blocks of every round, the last of which has one block for each tree."""
+def build(rows: DataFrame, digits: int) -> list[tuple[DataFrame, int]]:
+    """The blocks of every round and the digits grouped away in it; in the last round each tree
+    has one block. A round takes no more digits than its largest tree has."""
     rounds = []
+    largest = rows.agg(F.max("size")).first()[0] or 1
     while True:
-        blocks = checkpoint(roll(rows, digits))
-        rounds.append(blocks)
-        if blocks.where(F.col("block") > 0).isEmpty():
+        taken = max(1, min(digits, (largest - 1).bit_length()))
+        blocks = checkpoint(roll(rows, taken))
+        rounds.append((blocks, taken))
+        largest = -(-largest // (1 << taken))
+        if largest == 1:
             return rounds
-        size = F.shiftright(F.col("size") + F.lit((1 << digits) - 1), digits)
+        size = F.shiftright(F.col("size") + F.lit((1 << taken) - 1), taken)
         rows = blocks.select("tree", F.col("block").alias("rank"), size.alias("size"), "node.hash", F.struct("block").alias("payload"))
 
 
@@ -110,23 +114,23 @@ def _members(node: Column, digits: int, size: Column, steps: Column) -> Column:
             F.when(place == 1, kids[0]["hash"]).otherwise(nothing).alias("left"),
             F.when(place == 0, F.coalesce(F.get(kids, F.lit(1))["hash"], nothing)).otherwise(nothing).alias("right"),
         )
-        here = F.when(size > F.lit(1 << (digits - 1)), F.concat(F.array(beside), steps)).otherwise(steps)
-        return _members(kid, digits - 1, size, here)
+        here = F.when(size > F.lit(1 << (digits - 1)), F.array(beside)).otherwise(F.array().cast(_STEP))
+        return _members(kid, digits - 1, size, F.concat(here, steps))
 
     return F.flatten(F.transform(kids, under))
 
 
-def descend(rounds: list[DataFrame], above: DataFrame, digits: int) -> DataFrame:
+def descend(rounds: list[tuple[DataFrame, int]], above: DataFrame) -> DataFrame:
     """(tree, payload, steps, further columns of `above`) for each leaf. `above` has for each
     tree the steps from its root upwards."""
     more = [c for c in above.columns if c not in ("tree", "block", "steps")]
     above = above.withColumn("block", F.lit(0).cast("long"))
     out = above
-    for blocks in reversed(rounds):
+    for number, (blocks, digits) in reversed(list(enumerate(rounds))):
         held = blocks.join(above, ["tree", "block"])
         members = _members(F.col("node"), digits, F.col("size"), F.col("steps"))
         out = held.select("tree", *more, F.explode(members).alias("m")).select("tree", *more, "m.payload", "m.steps")
-        if blocks is not rounds[0]:
+        if number:
             above = out.select("tree", F.col("payload.block").alias("block"), "steps", *more)
     return out
 
@@ -158,12 +162,12 @@ def manifest(
     payload = F.struct("row", *[F.col(f"carried_{k}").alias(k) for k in carried], F.col("hash").alias("leaf"))
     leaves = ranked(source, ["place", "hash", "turn"]).withColumn("payload", payload)
     rounds = build(leaves, digits)
-    tops = rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("node.hash").alias("hash"))
+    tops = rounds[-1][0].select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("node.hash").alias("hash"))
     tops = ranked(tops, ["name"]).withColumn("payload", F.struct("name", "hash"))
     last = build(tops, digits)
     none = F.array().cast(_STEP)
-    root = last[-1].select("tree", none.alias("steps"), F.col("node.hash").alias("root"))
-    above = descend(last, root, digits).select(
+    root = last[-1][0].select("tree", none.alias("steps"), F.col("node.hash").alias("root"))
+    above = descend(last, root).select(
         F.col("payload.name").alias("tree"), "steps", "root", F.col("payload.hash").alias("subroot"))
-    return descend(rounds, above, digits).select(
+    return descend(rounds, above).select(
         "payload.row", *[F.col(f"payload.{k}").alias(k) for k in carried], "payload.leaf", "subroot", "root", "steps")
