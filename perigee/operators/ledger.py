@@ -52,15 +52,15 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
-def apply_events(ledger: DataFrame, folded: DataFrame, changed_only: bool = False) -> DataFrame:
-    """The ledger after a run, or only its changed rows: those of the files that the run
-    touched are replaced, and keep their identifier and what the run did not set."""
+def apply_events(ledger: DataFrame, folded: DataFrame) -> DataFrame:
+    """The ledger after a run: rows of the files that the run touched are replaced, and keep
+    their identifier and what the run did not set."""
     names = ledger.columns
     fresh = folded.select(
         "source_file",
         *[F.col(name).alias(f"new_{name}") for name in names if name != "source_file"],
     )
-    both = ledger.join(fresh, "source_file", "right_outer" if changed_only else "full_outer")
+    both = ledger.join(fresh, "source_file", "full_outer")
     touched = F.col("new_status").isNotNull()
     completed = F.col("new_status") == "completed"
     new = lambda name: F.col(f"new_{name}")

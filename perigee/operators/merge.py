@@ -39,16 +39,10 @@ def upsert_asteroids(existing: DataFrame, incoming: DataFrame, order: list[str])
     identifier and creation time, unknown ones are added."""
     columns = existing.columns
     latest = latest_asteroids(incoming, order)
-    return _with_average(_merged(existing, latest, "full_outer").select(*columns))
+    return _with_average(_merged(existing, latest).select(*columns))
 
 
-def changed_asteroids(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
-    """Only the rows that the merge adds or changes, as they are after it."""
-    latest = latest_asteroids(incoming, order)
-    return _with_average(_merged(existing, latest, "right_outer").select(*existing.columns))
-
-
-def _merged(existing: DataFrame, latest: DataFrame, how: str) -> DataFrame:
+def _merged(existing: DataFrame, latest: DataFrame) -> DataFrame:
     columns = existing.columns
     fresh = latest.select(
         *ASTEROID_KEY,
@@ -56,7 +50,7 @@ def _merged(existing: DataFrame, latest: DataFrame, how: str) -> DataFrame:
         F.lit(True).alias("changed"),
     )
     old = existing.withColumn("stored", F.lit(True))
-    return old.join(fresh, ASTEROID_KEY, how).select(
+    return old.join(fresh, ASTEROID_KEY, "full_outer").select(
         *[
             F.col(name)
             if name in ASTEROID_KEY

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A sort key: a column name, and whether it goes downwards. Nulls are lowest.
 Order = list[tuple[str, bool]]
-#: Rows that may be skipped by the final sort, rows sampled for cuts, and cuts of one round.
-NEAR, SAMPLED, CUTS = 1000, 4096, 64
+#: Rows that a task may keep to end with a page: a longer top list is not merged in one task.
+NEAR = 1000
 
 
 def check_page(page: int, page_size: int) -> None:
@@ -19,53 +19,57 @@ def columns_of(order: Order) -> list[Column]:
     return [F.col(name).desc() if down else F.col(name).asc() for name, down in order]
 
 
-def _before(order: Order, cut: tuple) -> Column:
-    """Whether a row sorts before the key values of `cut`."""
+def _before(order: Order, cut: Column) -> Column:
+    """Whether a row sorts before the keys in the struct `cut`."""
     found = F.lit(False)
-    for (name, down), value in reversed(list(zip(order, cut, strict=True))):
-        column = F.col(name)
-        if value is None:  # null is lowest: last when going down, first when going up
-            strictly = column.isNotNull() if down else F.lit(False)
+    for name, down in reversed(order):
+        column, bound = F.col(name), cut[name]
+        if down:  # null is lowest: last when going down, first when going up
+            strictly = (column > bound) | (column.isNotNull() & bound.isNull())
         else:
-            bound = F.lit(value)
-            strictly = column > bound if down else (column < bound) | column.isNull()
-        found = F.coalesce(strictly, F.lit(False)) | (column.eqNullSafe(F.lit(value)) & found)
+            strictly = (column < bound) | (column.isNull() & bound.isNotNull())
+        found = F.coalesce(strictly, F.lit(False)) | (column.eqNullSafe(bound) & found)
     return found
 
 
-def _narrow(rows: DataFrame, order: Order, offset: int, size: int) -> tuple[DataFrame, int] | None:
-    """The rows between the two of some sampled cuts that hold the page most closely, and what
-    is left to skip of them; None if no cut helps. Only cuts and counts reach the driver."""
-    sample = rows.select(*[name for name, _ in order]).orderBy(F.rand(1)).limit(SAMPLED)
-    held = [tuple(r) for r in sample.orderBy(*columns_of(order)).collect()]
-    cuts = list(dict.fromkeys(held[:: max(1, len(held) // CUTS)]))
-    if not cuts:
-        return None
-    counts = rows.agg(*[F.count_if(_before(order, cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
-    below = [i for i, n in enumerate(counts) if 0 < n <= offset]
-    above = [i for i, n in enumerate(counts) if n >= offset + size]
-    if not below and not above:
-        return None
-    if above:
-        rows = rows.filter(_before(order, cuts[above[0]]))
-    if below:
-        rows = rows.filter(~_before(order, cuts[below[-1]]))
-        offset -= counts[below[-1]]
-    return rows, offset
+def rank_histogram(rows: DataFrame, order: Order) -> DataFrame:
+    """A histogram of ranks: `cut`, the keys that begin a range of the order, and `before`, the
+    number of rows before it. Tasks sample their keys for the ranges, of about equal size;
+    then keys alone are dealt to them and counted, so the numbers are exact."""
+    columns = columns_of(order)
+    keys = rows.select(*[name for name, _ in order])
+    sorted_keys = keys.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    place = sorted_keys.withColumn("at", F.monotonically_increasing_id())
+    ranges = place.groupBy(F.shiftright("at", 33).alias("part")).agg(
+        F.count("*").alias("n"), F.min_by(F.struct(*[name for name, _ in order]), "at").alias("cut")
+    )
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    return ranges.select("part", "cut", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
 
 def cut_page(rows: DataFrame, order: Order, page: int, page_size: int) -> DataFrame:
     """Rows of a 1-based page. `order` must be total.
 
-    The page is closed in on by counting the rows before sampled cuts, until few rows are
-    left to skip; a bounded sort then takes it. No task and no driver holds the skipped rows,
-    and nothing is written. The rows must be the same each time they are read.
+    Nothing runs before the result is asked for, at any depth. The first rows are a top list,
+    of which every task keeps its own. Of what lies deeper, a histogram of ranks tells between
+    which cuts the page is; a second scan takes the rows between them, about as many as a task
+    of a sort has, and their ranks go on from the number of rows before. No task and no driver
+    holds the skipped rows. The rows must be the same each time they are read.
     """
     check_page(page, page_size)
-    left = (page - 1) * page_size
-    while left > NEAR:
-        found = _narrow(rows, order, left, page_size)
-        if found is None:
-            break
-        rows, left = found
-    return rows.orderBy(*columns_of(order)).offset(left).limit(page_size)
+    skipped = (page - 1) * page_size
+    end = skipped + page_size
+    if end <= NEAR:
+        return rows.orderBy(*columns_of(order)).offset(skipped).limit(page_size)
+    part, before = F.col("part"), F.col("before")
+    around = rank_histogram(rows, order).agg(F.struct(
+        F.max_by("cut", F.when(before <= skipped, part)).alias("low"),
+        F.min_by("cut", F.when(before >= end, part)).alias("high"),
+        F.max(F.when(before <= skipped, before)).alias("before"),
+    ).alias("around")).scalar()
+    near = rows.filter(~_before(order, around["low"])).filter(
+        around["high"].isNull() | _before(order, around["high"])
+    )
+    rank = F.row_number().over(Window.orderBy(*columns_of(order))) + around["before"]
+    found = near.select("*", rank.alias("page_rank")).filter(F.col("page_rank").between(skipped + 1, end))
+    return found.orderBy("page_rank").drop("page_rank")

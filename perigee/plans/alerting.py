@@ -35,7 +35,7 @@ def write_outbox(
 def record_deliveries(
     spark: SparkSession, root: str, delivered: DataFrame, at: dt.datetime | None = None
 ) -> None:
-    """Record messages (`approach_id`, `alert_type`) a sender has delivered, as a new run."""
-    known = tables.read_table(spark, root, "alerts")
+    """Record messages (`approach_id`, `alert_type`) a sender has delivered."""
+    known = tables.met(tables.read_table(spark, root, "alerts"), "alerts", delivered)
     fresh = alerts.record_alerts(known, delivered, at or dt.datetime.now(dt.timezone.utc))
-    tables.write_run(root, tables.next_run(spark, root), {"alerts": fresh}, spark)
+    tables.append(fresh, root, "alerts")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import dataclasses
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.clock import instant
 from ..operators import ledger, merge
@@ -17,21 +16,6 @@ LATEST = ["updated_at", "source_file"]
 EARLIEST = ["created_at", "source_file"]
 
 
-@dataclasses.dataclass
-class Load:
-    """New and changed rows of one load. Nothing has been written yet."""
-
-    changed_asteroids: DataFrame
-    added_approaches: DataFrame
-    etl_events: DataFrame
-    file_stats: DataFrame
-    kept: list[DataFrame] = dataclasses.field(default_factory=list)
-
-    def release(self) -> None:
-        for frame in self.kept:
-            frame.unpersist()
-
-
 def file_stats(
     files: DataFrame, asteroids: DataFrame, approaches: DataFrame, added: DataFrame
 ) -> DataFrame:
@@ -57,7 +41,12 @@ def file_stats(
         .unionByName(part(approaches, "rows"))
         .unionByName(part(added, "added"))
     )
-    summed = together.groupBy("source_file").agg(
+    return _file_totals(together)
+
+
+def _file_totals(parts: DataFrame) -> DataFrame:
+    """Per file the sums of `objects`, `rows` and `added`; a file without any object failed."""
+    summed = parts.groupBy("source_file").agg(
         F.sum("objects").alias("asteroids_upserted"),
         F.sum("added").alias("approaches_inserted"),
         (F.sum("rows") - F.sum("added")).alias("approaches_skipped"),
@@ -69,35 +58,39 @@ def counted_load(files: DataFrame, keys: DataFrame, approaches: DataFrame) -> Da
     """`file_stats` of a load that is only counted, from the keys of what comes in
     (`feed.merge_keys`), which are read once.
 
-    Stored and incoming keys are grouped together; the first file by name is credited. After
-    copies within a file are reduced, a key has a row per file that lists it.
+    Every row counts in groups of three kinds, made in one aggregation: the key of an
+    approach, an object of a file, and a file. A group of the first kind keeps the first file
+    by name, which is credited, and whether the key is stored already; however many files
+    list a key, that is all there is of it.
     """
-    none = F.lit(None).cast("string")
+    text, instant, flag = (F.lit(None).cast(kind) for kind in ("string", "bigint", "boolean"))
+
+    def group(kind: str, asteroid: Column = text, epoch: Column = instant, file: Column = text) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), asteroid.alias("asteroid_id"), epoch.alias("epoch"), file.alias("file"))
+
+    source, asteroid, epoch = F.col("source_file"), F.col("asteroid_id"), F.col("epoch")
+    groups = F.when(epoch.isNull(), F.array(group("object", asteroid, file=source))).otherwise(
+        F.array(group("approach", asteroid, epoch), group("file", file=source))
+    )
+    incoming = keys.select(source.alias("lister"), flag.alias("stored"), F.inline(groups))
     stored = approaches.select(
-        none.alias("source_file"), "asteroid_id", F.col("epoch_date_close_approach").alias("epoch"),
-        F.lit(0).alias("rows"), F.lit(True).alias("stored"),
+        text.alias("lister"), F.lit(True).alias("stored"),
+        F.inline(F.array(group("approach", asteroid, F.col("epoch_date_close_approach")))),
     )
-    incoming = keys.select("source_file", "asteroid_id", "epoch", F.lit(1).alias("rows"), F.lit(False).alias("stored"))
-    each = incoming.unionByName(stored).groupBy("source_file", "asteroid_id", "epoch").agg(
-        F.sum("rows").alias("rows"), F.max("stored").alias("stored")
+    each = incoming.unionByName(stored).groupBy("kind", "asteroid_id", "epoch", "file").agg(
+        F.min("lister").alias("first"), F.max("stored").alias("stored"), F.count("lister").alias("n")
     )
-    same_key = Window.partitionBy("asteroid_id", "epoch")
-    credited = (F.col("source_file") == F.min("source_file").over(same_key)) & ~F.max("stored").over(same_key)
-    found = each.withColumn("credited", credited).filter(F.col("source_file").isNotNull())
-    is_object = F.col("epoch").isNull()
-    counted = found.groupBy("source_file").agg(
-        F.count_if(is_object).alias("objects"),
-        F.coalesce(F.sum(F.when(~is_object, F.col("rows"))), F.lit(0)).alias("rows"),
-        F.count_if(~is_object & F.col("credited")).alias("added"),
+    kind = F.col("kind")
+    of = lambda name, value: F.when(kind == name, value).otherwise(F.lit(0)).cast("bigint")
+    counted = each.filter(F.col("first").isNotNull()).select(
+        F.coalesce("file", "first").alias("source_file"),
+        of("object", F.lit(1)).alias("objects"),
+        of("file", F.col("n")).alias("rows"),
+        of("approach", F.when(F.col("stored"), 0).otherwise(1)).alias("added"),
     )
     zero = F.lit(0).cast("bigint")
     listed = files.select("source_file", zero.alias("objects"), zero.alias("rows"), zero.alias("added"))
-    summed = counted.unionByName(listed).groupBy("source_file").agg(
-        F.sum("objects").alias("asteroids_upserted"),
-        F.sum("added").alias("approaches_inserted"),
-        (F.sum("rows") - F.sum("added")).alias("approaches_skipped"),
-    )
-    return summed.withColumn("failed", F.col("asteroids_upserted") == 0)
+    return _file_totals(counted.unionByName(listed))
 
 
 def load_summary(stats: DataFrame, skipped_files: DataFrame) -> DataFrame:
@@ -140,36 +133,6 @@ def file_events(stats: DataFrame, at: dt.datetime) -> DataFrame:
     )
 
 
-def prepare(
-    files: DataFrame,
-    lines: DataFrame,
-    asteroids: DataFrame,
-    approaches: DataFrame,
-    etl_events: DataFrame,
-    at: dt.datetime,
-) -> Load:
-    """Merge the lines of `files` with the tables.
-
-    The decoded lines and the added approaches are each used several times and are kept
-    while the load runs; a lost executor only means that they are decoded again.
-    """
-    decoded = records.decode_records(lines).persist()
-    incoming_asteroids = records.record_asteroids(decoded)
-    incoming_approaches = records.record_approaches(decoded)
-    known = tables.same_buckets(approaches, incoming_approaches)
-    added = merge.new_approaches(known, incoming_approaches, EARLIEST).persist()
-    stats = file_stats(files, incoming_asteroids, incoming_approaches, added)
-    return Load(
-        changed_asteroids=merge.changed_asteroids(asteroids, incoming_asteroids, LATEST),
-        added_approaches=added,
-        etl_events=ledger.apply_events(
-            etl_events, ledger.fold_events(file_events(stats, at)), changed_only=True
-        ),
-        file_stats=stats,
-        kept=[decoded, added],
-    )
-
-
 def plan_load(spark: SparkSession, folder: str, root: str, force: bool = False) -> DataFrame:
     """Dry run: the files a load would read."""
     listed = records.record_files(spark, folder)
@@ -196,46 +159,49 @@ def run_load(
     lines = spark.read.text(paths).select(records.line_source().alias("source_file"), "value")
     done = ledger.completed_files(listed.select("source_file").distinct(), known)
     skipped = done.limit(0) if force else done
-    return commit(spark, root, tables.next_run(spark, root), files, lines, skipped, at)
+    return commit(spark, root, files, lines, skipped, at)
 
 
 def commit(
     spark: SparkSession,
     root: str,
-    run: int,
     files: DataFrame,
     lines: DataFrame,
     skipped: DataFrame,
     at: dt.datetime,
 ) -> DataFrame:
-    """Merge with the tables as of the runs before `run` and write that run."""
-    current = {
-        name: tables.read_table(spark, root, name, before=run)
-        for name in ("asteroids", "approaches", "etl_events")
-    }
-    load = prepare(files, lines, at=at, **current)
+    """Merge the lines of `files` with the stored tables and write these, parents before
+    children, the ledger last.
+
+    The decoded lines and the added approaches are each used several times and are kept while
+    the load runs; a lost executor only means that they are decoded again. What is counted is
+    written down before the tables change, so that it cannot be counted anew after that.
+    """
+    asteroids, approaches, book = (tables.read_table(spark, root, name) for name in ("asteroids", "approaches", "etl_events"))
+    decoded = records.decode_records(lines).persist()
+    objects, events = records.record_asteroids(decoded), records.record_approaches(decoded)
+    added = merge.new_approaches(tables.met(approaches, "approaches", events), events, EARLIEST).persist()
     try:
-        summary = load_summary(load.file_stats, skipped)
+        file_stats(files, objects, events, added).write.mode("overwrite").parquet(f"{root}/_counted")
+        stats = spark.read.parquet(f"{root}/_counted")
+        summary = load_summary(stats, skipped)
         row = summary.first()
-        tables.write_run(
-            root,
-            run,
-            {
-                "asteroids": load.changed_asteroids,
-                "approaches": load.added_approaches,
-                "etl_events": load.etl_events,
-            },
-            spark,
-        )
+        tables.rewrite(merge.upsert_asteroids(tables.met(asteroids, "asteroids", objects), objects, LATEST), root, "asteroids")
+        tables.append(added, root, "approaches")
+        changes = ledger.fold_events(file_events(stats, at))
+        tables.rewrite(ledger.apply_events(tables.met(book, "etl_events", stats), changes), root, "etl_events")
         return spark.createDataFrame([row], summary.schema)
     finally:
-        load.release()
+        decoded.unpersist()
+        added.unpersist()
 
 
 def delete_asteroids(spark: SparkSession, root: str, removed: DataFrame) -> None:
-    """Remove asteroids (column `id`) with all that hangs on them, as a run that writes the
-    three tables anew."""
-    held = [tables.read_table(spark, root, name) for name in ("asteroids", "approaches", "alerts")]
-    kept = merge.cascade_delete(removed, *held)
-    parts = dict(zip(("asteroids", "approaches", "alerts"), kept, strict=True))
-    tables.write_run(root, tables.next_run(spark, root), parts, spark, whole=True)
+    """Remove asteroids (column `id`) with all that hangs on them, children first, so that a
+    delete that ended half way leaves no orphans and can be repeated."""
+    gone = removed.select("id").distinct()
+    parent = gone.withColumnRenamed("id", "asteroid_id")
+    approaches = tables.read_table(spark, root, "approaches").join(parent, "asteroid_id", "left_semi")
+    tables.delete(spark, root, "alerts", "approach_id", approaches.select(F.col("id").alias("approach_id")))
+    tables.delete(spark, root, "approaches", "asteroid_id", parent)
+    tables.delete(spark, root, "asteroids", "id", gone)

@@ -19,17 +19,9 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
-def complete(spark: SparkSession, folder: str) -> bool:
-    """True for a folder whose write job was committed."""
-    return exists(spark, f"{folder}/_SUCCESS")
-
-
-def names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the direct children; none if the folder is not there."""
+def remove(spark: SparkSession, folder: str) -> None:
     files, path = _locate(spark, folder)
-    if not files.exists(path):
-        return []
-    return [status.getPath().getName() for status in files.listStatus(path)]
+    files.delete(path, True)
 
 
 def paths(spark: SparkSession, folder: str) -> list[str]:

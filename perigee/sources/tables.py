@@ -1,10 +1,11 @@
-"""Stored tables as Parquet, one folder per table and run.
+"""Stored tables as plain partitioned Parquet, one folder per table.
 
-A run writes `<table>/run=<n>` and, last of all, `manifest/run=<n>`. Readers only see runs
-whose manifest is complete, so the tables of a run appear together or not at all, and a run
-that is repeated after a failure overwrites only its own folders. A run holds new and changed
-rows; of `asteroids` and `etl_events` the newest row of a key counts. A run that replaces a
-table, as a delete does, writes `<table>/whole=<n>`, and older folders no longer count.
+Asteroids and the ledger change by key: they are cut into buckets of it, and a load reads and
+rewrites the buckets that it has keys for. Approaches and alerts only grow and are appended
+to. A table is always one scan, and what a load costs does not depend on the loads before it.
+
+The ledger is written last. A load that ends before is repeated: its files are not completed,
+its asteroids are merged to the same values, and its approaches are found to be there.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .listing import complete, names
+from .listing import exists, remove
 
-#: Tables whose rows change, by key.
-KEYS = {"asteroids": "neo_reference_id", "etl_events": "source_file"}
-#: Partitions of the approaches.
-MONTH, BUCKET = "date_month", "epoch_bucket"
+#: Partitions of the approaches, and of the other tables; what those are cut by.
+MONTH, EPOCHS, BUCKET = "date_month", "epoch_bucket", "key_bucket"
+KEYS = {"asteroids": "neo_reference_id", "etl_events": "source_file", "alerts": "approach_id"}
+#: Buckets of a table; fixed once it has rows.
+BUCKETS = 64
 # About a month in milliseconds.
 BUCKET_MS = 2_629_800_000
 
@@ -28,10 +30,14 @@ def date_month(date: Column) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
-def epoch_bucket(epoch_ms: Column) -> Column:
-    """Derived from the unique key alone, so a duplicate can only lie in the same bucket; a
-    whole division, so no instant is out of range."""
-    return F.call_function("div", epoch_ms, F.lit(BUCKET_MS).cast("bigint"))
+def partitions(table: str) -> dict[str, Column]:
+    """The partition columns of a table, made of its own. That of the epoch goes by the unique
+    key alone, so a duplicate can only lie in the same one; a whole division, so no instant is
+    out of range."""
+    if table in KEYS:
+        return {BUCKET: F.pmod(F.xxhash64(KEYS[table]), F.lit(BUCKETS)).cast("int")}
+    epoch = F.call_function("div", F.col("epoch_date_close_approach"), F.lit(BUCKET_MS).cast("bigint"))
+    return {MONTH: date_month(F.col("close_approach_date")), EPOCHS: epoch}
 
 
 def in_months(rows: DataFrame, first: Column | None, last: Column | None) -> DataFrame:
@@ -43,93 +49,58 @@ def in_months(rows: DataFrame, first: Column | None, last: Column | None) -> Dat
     return rows if last is None else rows.filter(F.col(MONTH) <= date_month(last))
 
 
-def same_buckets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The stored approaches that can share a key with incoming ones. The buckets are a filter
+def met(stored: DataFrame, table: str, incoming: DataFrame) -> DataFrame:
+    """The stored rows, without partition columns, that can share a key with incoming ones. Their partitions are a filter
     of the scan, found while the query runs."""
-    if BUCKET not in stored.columns:
+    name = BUCKET if table in KEYS else EPOCHS
+    if name not in stored.columns:
         return stored
-    met = incoming.select(epoch_bucket(F.col("epoch_date_close_approach")).alias(BUCKET)).distinct()
-    return stored.join(met, BUCKET, "left_semi")
-
-
-def _folder(root: str, table: str, run: int, whole: bool = False) -> str:
-    return f"{root}/{table}/{'whole' if whole else 'run'}={run}"
-
-
-def committed_runs(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete runs, oldest first."""
-    listed = names(spark, f"{root}/manifest")
-    runs = sorted(int(name[4:]) for name in listed if name.startswith("run="))
-    return [run for run in runs if complete(spark, _folder(root, "manifest", run))]
-
-
-def next_run(spark: SparkSession, root: str) -> int:
-    """Number of the run to write next. One writer at a time is assumed."""
-    runs = committed_runs(spark, root)
-    return runs[-1] + 1 if runs else 0
-
-
-def _folders(spark: SparkSession, root: str, table: str, before: int | None) -> list[str]:
-    """Folders of the complete runs that hold the table, from its last replacement on."""
-    held = set(names(spark, f"{root}/{table}"))
-    found: list[str] = []
-    for run in committed_runs(spark, root):
-        if before is not None and run >= before:
-            continue
-        if f"whole={run}" in held:
-            found = [_folder(root, table, run, whole=True)]
-        elif f"run={run}" in held:
-            found.append(_folder(root, table, run))
-    return found
-
-
-def read_table(
-    spark: SparkSession, root: str, table: str, before: int | None = None
-) -> DataFrame:
-    """A table as of the newest complete run (below `before`, if given); empty at first.
-    Approaches have their partition columns besides."""
-    schema = T.StructType(list(schemas.TABLES[table].fields))
-    if table == "approaches":
-        schema = schema.add(MONTH, T.IntegerType()).add(BUCKET, T.LongType())
-    folders = _folders(spark, root, table, before)
-    if not folders:
-        return spark.createDataFrame([], schema)
-    if table in KEYS:
-        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])).parquet(*folders)
-        newest = F.max_by(F.struct(*schema.names), "run").alias("row")
-        return rows.groupBy(KEYS[table]).agg(newest).select("row.*")
-    parts = [spark.read.schema(schema).parquet(folder) for folder in folders]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.select(*schema.names)
-
-
-def write_run(
-    root: str, run: int, tables: dict[str, DataFrame], spark: SparkSession, whole: bool = False
-) -> None:
-    """Write new and changed rows of the given tables, or whole tables, then the manifest."""
-    if run in committed_runs(spark, root):
-        raise ValueError(f"run {run} is already complete")
-    for table, frame in tables.items():
-        rows = frame.select(*schemas.TABLES[table].names)
-        if table == "approaches":
-            rows = rows.withColumn(MONTH, date_month(F.col("close_approach_date")))
-            rows = rows.withColumn(BUCKET, epoch_bucket(F.col("epoch_date_close_approach")))
-            # few files per month, and a month with most of the rows is split over tasks
-            writer = rows.hint("rebalance", MONTH, BUCKET).write.partitionBy(MONTH, BUCKET)
-        elif table in KEYS:
-            writer = rows.withColumn("run", F.lit(run)).write
-        else:
-            writer = rows.write
-        writer.mode("overwrite").parquet(_folder(root, table, run, whole))
-    manifest = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
-    manifest.write.mode("overwrite").parquet(_folder(root, "manifest", run))
+    touched = incoming.select(partitions(table)[name].alias(name)).distinct()
+    return stored.join(touched, name, "left_semi").select(*schemas.TABLES[table].names)
+
+
+def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table with its partition columns; empty where nothing has been written."""
+    types = {MONTH: T.IntegerType(), EPOCHS: T.LongType(), BUCKET: T.IntegerType()}
+    schema = T.StructType([*schemas.TABLES[table].fields, *[T.StructField(c, types[c]) for c in partitions(table)]])
+    place = f"{root}/{table}"
+    return spark.read.schema(schema).parquet(place) if exists(spark, place) else spark.createDataFrame([], schema)
+
+
+def _write(rows: DataFrame, root: str, table: str, mode: str) -> None:
+    parts = partitions(table)
+    rows = rows.select(*schemas.TABLES[table].names, *[made.alias(name) for name, made in parts.items()])
+    # few files per partition, and one with most of the rows is split over tasks
+    writer = rows.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{table}")
+
+
+def append(rows: DataFrame, root: str, table: str) -> None:
+    """Add rows whose keys are not in the table yet."""
+    _write(rows, root, table, "append")
+
+
+def rewrite(rows: DataFrame, root: str, table: str) -> None:
+    """Put the rows in place of the partitions that they lie in. They may come from there: what
+    is written takes its place when all of it has been."""
+    _write(rows, root, table, "overwrite")
+
+
+def delete(spark: SparkSession, root: str, table: str, key: str, gone: DataFrame) -> None:
+    """Remove the rows whose `key` is in `gone`, rewriting the partitions that have any. Only
+    names of partitions reach the driver."""
+    parts = list(partitions(table))
+    held = read_table(spark, root, table)
+    touched = held.join(gone, key, "left_semi").select(*parts).distinct()
+    rest = held.join(touched, parts, "left_semi").join(gone, key, "left_anti")
+    emptied = set(touched.collect()) - set(rest.select(*parts).distinct().collect())
+    rewrite(rest, root, table)
+    for row in emptied:
+        remove(spark, "/".join([root, table, *[f"{name}={row[name]}" for name in parts]]))
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Create the empty tables unless there is a complete run already."""
-    if committed_runs(spark, root):
-        return
-    empty = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
-    write_run(root, 0, empty, spark)
+    """Create the tables that are not there, without rows."""
+    for name, schema in schemas.TABLES.items():
+        if not exists(spark, f"{root}/{name}"):
+            append(spark.createDataFrame([], schema), root, name)

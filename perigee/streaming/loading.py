@@ -37,8 +37,9 @@ def load_stream(
     content, which no stream returns, are recorded first. It is an error if the folder has
     files and none is a record file.
 
-    A batch that is repeated after a failure changes nothing: if its run was complete, the
-    ledger names its files, and if not, the same run is written again from the same state.
+    A batch that is repeated after a failure changes nothing that it wrote before: files that
+    the ledger has as completed are left out, and others merge to the same rows. A batch reads
+    the partitions it has keys for, however many batches came before it.
     """
     tables.ensure_tables(spark, root)
     listed = record_files(spark, folder)
@@ -47,19 +48,18 @@ def load_stream(
     bare = bare.join(known, "source_file", "left_anti")
     if not bare.isEmpty():
         none = spark.createDataFrame([], "source_file string, value string")
-        now = dt.datetime.now(dt.timezone.utc)
-        commit(spark, root, tables.next_run(spark, root), bare, none, bare.limit(0), now)
+        commit(spark, root, bare.persist(), none, bare.limit(0), dt.datetime.now(dt.timezone.utc))
+        bare.unpersist()
 
     def merge_batch(lines: DataFrame, batch: int) -> None:
-        run = tables.next_run(spark, root)
-        known = tables.read_table(spark, root, "etl_events", before=run)
         files = lines.select("source_file").distinct()
+        known = tables.met(tables.read_table(spark, root, "etl_events"), "etl_events", files)
         fresh = ledger.pending_files(files, known).persist()
         try:
             if not fresh.isEmpty():
                 todo = lines.join(fresh, "source_file", "left_semi")
                 skipped = ledger.completed_files(files, known)
-                commit(spark, root, run, fresh, todo, skipped, dt.datetime.now(dt.timezone.utc))
+                commit(spark, root, fresh, todo, skipped, dt.datetime.now(dt.timezone.utc))
         finally:
             fresh.unpersist()
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,36 @@ def test_streamed_rates_have_late_rows_and_the_last_minute(spark, log, tmp_path)
     assert late.count() and key(live.http_rates(spark, out)) == key(telemetry.http_rates(df))
 
 
+def test_closed_days_hold_all_batches(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 1 + day, hour), "GET", "/a", 500 if hour % 2 else 200, 0.25 * (hour + 1))
+            for day in range(4) for hour in range(0, 24, 3)]
+    folder, out, place = tmp_path / "log", str(tmp_path / "out"), tmp_path / "out"
+    whole = spark.createDataFrame(rows, schemas.HTTP_REQUESTS)
+    key = lambda frame: {r["window_start"]: tuple(round(x, 9) for x in r[1:]) for r in frame.collect()}
+
+    def step(number, part):
+        spark.createDataFrame(part, schemas.HTTP_REQUESTS).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = live.log_stream(spark, str(folder), schemas.HTTP_REQUESTS)
+        live.add_up(stream, telemetry.http_minutes, out, str(tmp_path / "c")).awaitTermination()
+
+    days = lambda: {p.name: sorted(x.name for x in p.iterdir() if x.is_dir()) for p in place.iterdir() if p.is_dir()}
+    for number in range(3):  # the last batch brings late rows of the first day
+        step(number, rows[number::4])
+        live.close_days(spark, out, dt.date(2024, 1, 3))
+        assert days()["day=2024-01-01"] == days()["day=2024-01-02"] == ["batch=-1"]
+        assert len(days()["day=2024-01-04"]) == number + 1
+    step(3, rows[3::4])
+    assert len(days()["day=2024-01-01"]) == 2 and key(live.http_rates(spark, out)) == key(telemetry.http_rates(whole))
+    # a closing that ended before it removed what it had summed up
+    kept = tmp_path / "kept"
+    shutil.copytree(place / "day=2024-01-01" / "batch=3", kept)
+    live.close_days(spark, out, dt.date(2024, 1, 5))
+    shutil.copytree(kept, place / "day=2024-01-01" / "batch=3")
+    live.close_days(spark, out, dt.date(2024, 1, 5))
+    assert all(held == ["batch=-1"] for held in days().values())
+    assert key(live.http_rates(spark, out)) == key(telemetry.http_rates(whole))
+
+
 def test_query_log_streams(spark, log, tmp_path):
     _, df = log
     queries = df.select("ts", F.col("path").alias("operation"), F.lit("success").alias("status"), "duration_s")

@@ -46,7 +46,7 @@ def test_from_files_to_alerts(spark, places):
     assert transform.plan_transform(spark, raw, out, force=True).count() == 2
 
     assert load.plan_load(spark, out, root).count() >= 2
-    assert tables.committed_runs(spark, root) == []
+    assert tables.read_table(spark, root, "etl_events").isEmpty()
     summary = load.run_load(spark, out, root, at=AT).first()
     # the approach both files list enters once
     assert tuple(summary) == (2, 0, 4, 3, 1)
@@ -129,21 +129,57 @@ def test_a_bad_document_stops_a_strict_transform(spark, places):
     assert load.run_load(spark, out, root, at=AT).first()["files_processed"] == 2
 
 
-def test_an_unfinished_run_is_invisible(spark, tmp_path):
-    root = str(tmp_path / "tables")
+def test_a_broken_load_is_repeated(spark, places, monkeypatch):
+    raw, out, root, tmp = places
+    transform.run_transform(spark, raw, out, AT)
+    whole = str(tmp / "whole")
+    load.run_load(spark, out, whole, at=AT)
+    rewrite = tables.rewrite
+    for broken in ("asteroids", "etl_events"):
+        def fail(rows, place, table):
+            if table == broken:
+                raise OSError("lost")
+            rewrite(rows, place, table)
+
+        monkeypatch.setattr(tables, "rewrite", fail)
+        with pytest.raises(OSError):
+            load.run_load(spark, out, root, at=AT)
+        assert tables.read_table(spark, root, "etl_events").isEmpty()
+    monkeypatch.setattr(tables, "rewrite", rewrite)
+    assert load.run_load(spark, out, root, at=AT).first()["files_processed"] == 2
+    for table in ("asteroids", "approaches"):
+        assert snapshot(spark, root, table) == snapshot(spark, whole, table)
+    assert {r[4] for r in snapshot(spark, root, "etl_events")} == {"completed"}
+
+
+def test_loads_rewrite_only_what_they_touch(spark, tmp_path):
+    folder, root = tmp_path / "records", str(tmp_path / "tables")
+    folder.mkdir()
     tables.ensure_tables(spark, root)
     tables.ensure_tables(spark, root)
-    assert tables.committed_runs(spark, root) == [0]
-    one = spark.createDataFrame(
-        [("x", "p", "discord", AT, "{}")], schemas.ALERTS)
-    one.write.parquet(f"{root}/alerts/run=1")
-    assert tables.read_table(spark, root, "alerts").count() == 0
-    assert tables.next_run(spark, root) == 1
-    tables.write_run(root, 1, {"alerts": one}, spark)
-    assert tables.read_table(spark, root, "alerts").count() == 1
-    assert tables.read_table(spark, root, "alerts", before=1).count() == 0
-    with pytest.raises(ValueError):
-        tables.write_run(root, 1, {"alerts": one}, spark)
+    assert all(tables.read_table(spark, root, name).isEmpty() for name in schemas.TABLES)
+
+    def step(number):
+        items = [approach(epoch=1704067200000 + number * DAY_MS)]
+        line = records.encode_records(transform.transform_feed(documents(spark, feed({"d": [neo(f"N{number}", approaches=items)]})), AT)).first()
+        (folder / f"f{number}_transformed.json").write_text(line["value"])
+        return load.run_load(spark, str(folder), root, at=AT)
+
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "tables" / "asteroids").rglob("*.parquet")}
+
+    step(0)
+    before, plan = files(), None
+    for number in range(1, 4):
+        assert tuple(step(number).first()) == (1, number, 1, 1, 0)
+        after = files()
+        assert len(set(after) - set(before)) == 1 and len(set(before) - set(after)) <= 1
+        before = after
+        shown = [tables.read_table(spark, root, t)._jdf.queryExecution().executedPlan().toString() for t in schemas.TABLES]
+        assert all(s.count("FileScan") == 1 and "Aggregate" not in s for s in shown)
+        assert plan is None or [len(s) for s in shown] == plan
+        plan = [len(s) for s in shown]
+    assert len(snapshot(spark, root, "asteroids")) == 4 and len(snapshot(spark, root, "etl_events")) == 4
 
 
 def test_streamed_load_equals_batch_load(spark, places):
@@ -155,7 +191,6 @@ def test_streamed_load_equals_batch_load(spark, places):
     load.run_load(spark, out, root, at=AT)
     live, checkpoint = str(tmp / "live"), str(tmp / "checkpoint")
     load_stream(spark, out, live, checkpoint, files_per_batch=1).awaitTermination()
-    assert len(tables.committed_runs(spark, live)) >= 6
     ids = lambda place, table: [r[0] for r in snapshot(spark, place, table)]
     for table in ("asteroids", "approaches"):
         assert ids(live, table) == ids(root, table)

@@ -81,13 +81,20 @@ def test_orphans_are_not_shown_when_there_may_be_some(data):
         e[1] != "a19" for e in events)
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges stay apart, however few rows they have."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 @pytest.mark.parametrize("page, size", [(1, 20), (8, 19), (35, 20), (141, 5), (1, 1000), (900, 7)])
 @pytest.mark.parametrize("down", [True, False])
-def test_deep_pages_equal_shallow_ones(data, monkeypatch, page, size, down):
+def test_deep_pages_equal_shallow_ones(data, small_ranges, monkeypatch, page, size, down):
     ap, *_ = data
     monkeypatch.setattr(paging, "NEAR", 5)
-    monkeypatch.setattr(paging, "SAMPLED", 40)
-    monkeypatch.setattr(paging, "CUTS", 4)
     # nulls and many equal first keys
     rows = ap.withColumn("key", F.when(F.crc32(F.col("id").cast("binary")) % 5 > 0, F.col("hazard_classification")))
     order = [("key", down), ("velocity_km_per_h", not down), ("id", False)]
@@ -95,6 +102,27 @@ def test_deep_pages_equal_shallow_ones(data, monkeypatch, page, size, down):
     assert paging.cut_page(rows.repartition(5), order, page, size).collect() == plain.collect()
 
 
+def test_planning_a_page_runs_nothing(spark, data):
+    ap, *_ = data
+    order = [("velocity_km_per_h", True), ("id", False)]
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    for page in (1, 10**9):
+        context.setJobGroup(f"page {page}", "")
+        found = paging.cut_page(ap, order, page, 20)
+        assert not tracker.getJobIdsForGroup(f"page {page}")
+        assert found.count() == (20 if page == 1 else 0)
+    context.setJobGroup("", "")
+
+
+def test_ranks_of_cuts_are_exact(data, small_ranges):
+    ap, *_ = data
+    order = [("close_approach_date", True), ("id", False)]
+    held = [(r["close_approach_date"], r["id"]) for r in ap.orderBy(*paging.columns_of(order)).collect()]
+    cuts = paging.rank_histogram(ap, order).collect()
+    assert len(cuts) > 1
+    assert all((*c["cut"],) == held[c["before"]] for c in cuts)
+
+
 def test_filters_are_checked():
     for wrong in ({"page": 0}, {"page_size": 0},
                   {"start_date": dt.date(2024, 1, 2), "end_date": dt.date(2024, 1, 1)}):

@@ -76,3 +76,18 @@ def test_documents_are_parsed_once(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("from_json(") == 1
+
+
+def test_load_counts_need_no_window(spark):
+    plan = plan_of(spark, "load_summary")
+    assert "Window" not in plan and plan.count("SortMergeJoin") <= 2
+
+
+def test_a_deep_page_reads_its_tables_twice_at_most(spark, monkeypatch):
+    from perigee.operators import paging
+
+    monkeypatch.setattr(paging, "NEAR", 10)  # every page of this size is a deep one
+    df = entry.queries()["approaches_page"](spark, FOLDER)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "rangepartitioning" in final and "CartesianProduct" not in final and "NestedLoop" not in final

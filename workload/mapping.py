@@ -217,7 +217,10 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def http_requests(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    return requests_of(table(spark, folder, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"),

@@ -365,6 +365,36 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM objects SEMI JOIN known_objects USING (ref)) AS asteroids_updated,
             (SELECT count(*) FROM added) AS approaches_inserted,
             (SELECT count(*) FROM arrivals) - (SELECT count(*) FROM added) AS approaches_skipped""",
+    # chains over files
+    "landing_round_trip": f"""SELECT {week_file('close_date')} AS source_file, count(*) AS documents,
+            2 * count(*) AS objects, count(*) AS consistent
+        FROM sightings JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "landed_range": """SELECT feed_date, count(*) AS objects FROM listed
+        WHERE CAST(feed_date AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' GROUP BY feed_date""",
+    "file_chain": f"""WITH files AS (
+            SELECT {week_file('close_date')} AS source_file, count(*) AS documents,
+                   {week_file('close_date')} LIKE 'asteroids_199803%' AS broken,
+                   {week_file('close_date')} LIKE 'asteroids_199804%' AS bare
+            FROM sightings JOIN part ON l_partkey = p_partkey GROUP BY 1),
+        objects AS (SELECT source_file, count(DISTINCT ref) AS n FROM listed GROUP BY 1),
+        credited AS (
+            SELECT file AS source_file, count(*) AS n
+            FROM (SELECT min(source_file) AS file FROM listed_approaches
+                  WHERE NOT regexp_matches(source_file, '^asteroids_19980[34]')
+                  GROUP BY ref, epoch_date_close_approach)
+            GROUP BY 1)
+        SELECT f.source_file, CASE WHEN broken THEN documents ELSE 0 END AS rejected_documents,
+            NOT broken AS announced, bare AS pending,
+            CASE WHEN bare THEN 'failed' WHEN NOT broken THEN 'completed' END AS status,
+            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN o.n END AS INTEGER) AS asteroids_processed,
+            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN coalesce(c.n, 0) END AS INTEGER) AS approaches_processed,
+            CASE WHEN bare THEN 'No valid records found in file' END AS error_message
+        FROM files f JOIN objects o USING (source_file) LEFT JOIN credited c USING (source_file)""",
+    "streamed_load": """SELECT CAST(day AS VARCHAR) AS close_approach_date, count(*) AS approaches,
+            count(DISTINCT ref) AS asteroids
+        FROM (SELECT DISTINCT ref, epoch_date_close_approach, close_approach_date AS day
+              FROM listed_approaches)
+        GROUP BY day""",
     # expressions
     "hazard_classify": "SELECT id, hazard_classification FROM approaches",
     "asteroid_uuid5": "SELECT id, neo_reference_id FROM asteroids",
@@ -563,6 +593,9 @@ ORACLES: dict[str, str] = {
         FROM minutes""",
     "avg_response_time_ms": """SELECT window_start,
         round(seconds / requests * 1000, 6) AS avg_response_time_ms FROM minutes""",
+    "streamed_rates": """SELECT window_start, requests / 60 AS requests_per_second,
+        errors / requests * 100 AS error_rate_percent,
+        round(seconds / requests * 1000, 6) AS avg_response_time_ms FROM minutes""",
     "db_queries_per_second": """SELECT date_trunc('minute', ts) AS window_start,
         count(*) / 60 AS db_queries_per_second FROM db_queries GROUP BY 1""",
     "error_rate_class": """SELECT window_start,

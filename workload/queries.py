@@ -18,7 +18,7 @@ from perigee.operators.reads import ApproachFilter, Period
 from perigee.plans import extract, load, transform
 from perigee.sources import batches, feed, records
 
-from . import mapping as m
+from . import chains, mapping as m
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -690,3 +690,9 @@ def _(spark, folder):
 @query("metric_texts")
 def _(spark, folder):
     return telemetry.metric_texts(_summary(spark, folder))
+
+
+# --- chains over files -----------------------------------------------------------------
+
+for _name in ("landing_round_trip", "landed_range", "file_chain", "streamed_load", "streamed_rates"):
+    query(_name)(getattr(chains, _name))
