@@ -1,16 +1,19 @@
 """LM scoring with a log-frequency Bloom filter.
 
-The counts of all n-grams of the training texts are taken exactly, then quantised on a
-logarithmic scale and kept in one Bloom filter: an n-gram of level q is entered once for each
-level 1..q. A count is read back by probing level after level until one is missing. The filter
-has a bounded size, is broadcast to the workers, and is all that the model's probabilities
-come from. The exact counts that the unigram base needs go to the documents by an exchange.
+The counts of all words and word pairs of the training texts are quantised on a logarithmic
+scale and entered in a Bloom filter: an n-gram of level q once for each level 1..q. A count is
+read back by probing level after level until one is missing, and all that the model's
+probabilities take from the corpus is read in that way.
+
+The filter grows with the corpus, so it is not broadcast whole: it lies in slices, one for each
+range of hashes, each as large as its n-grams need. Chunks of documents send their distinct
+n-grams, a row for each slice, and get back what the probes found. The same answers carry the
+exact counts that the unigram base is made of.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +24,20 @@ from perigee.llm.arrays import LOWER, mix, runs_of, split_words, sum_per_text
 from perigee.llm.packing import by_shard, chunked, from_body, planes, size_of, unplanes
 from perigee.llm.rows import flat, rows_and_text, schema_with_row, slices
 
-#: Bytes of the filter: about BITS_PER_TOKEN bits for each training token, up to the bound. A
-#: slice that would fill by more than half leaves its rarest longer n-grams out.
-FILTER_BYTES, BITS_PER_TOKEN = 64 << 20, 6
-#: Hash functions for each level; tokens whose n-grams one shard holds.
-PROBES, SHARD_TOKENS = 2, 1_000_000
-#: Bytes sent of the hash of an n-gram.
-KEY_BYTES = 6
-#: The histogram for the weights: levels of a context, steps of log2 of a ratio.
-LEVELS, STEPS, LEAST = 48, 128, -32.0
+#: Probes for each level: one in 2**PROBES of the absent n-grams is read as present, at most.
+PROBES = 24
+#: Tokens whose n-grams one slice holds.
+SHARD_TOKENS = 1_000_000
+#: Weight of the unigrams, in tokens, and what is taken off the count of a pair.
+STRENGTH, DISCOUNT = 64.0, 0.1
+#: Least count of each level from 1 on: powers of two, and half way between them.
+STEPS = np.array(sorted({1 << k for k in range(62)} | {3 << k for k in range(61)}), np.int64)
+#: Bytes sent of the hash of a word and of a pair.
+KEY_BYTES = {1: 8, 2: 6}
 U = np.uint64
 _END = mix(np.array([0xE0D], U))
-_ORDER = [U(0x243F6A8885A308D3), U(0x13198A2E03707344)]
-_CLEAR = ~U((1 << (64 - 8 * KEY_BYTES)) - 1)
+_PAIR = U(0x13198A2E03707344)
+_CLEAR = ~U((1 << (64 - 8 * KEY_BYTES[2])) - 1)
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,193 +53,167 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
-def unigram_keys(token: np.ndarray) -> np.ndarray:
-    return mix(token ^ _ORDER[0]) & _CLEAR
-
-
-def bigram_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of (token before, token); before a text's first token stands an end."""
+def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each; before a text's first token stands an end."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[first[:-1]] = _END
-    return mix(mix(before ^ _ORDER[1]) * U(3) ^ token) & _CLEAR
+    return before
 
 
-def level_of(count: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
-    return np.frexp(count.astype(np.float64))[1]
+def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(before ^ _PAIR) * U(3) ^ token) & _CLEAR
+
 
+def level_of(count: np.ndarray) -> np.ndarray:
+    """0 for a count of 0, then the number of steps up to it."""
+    return np.searchsorted(STEPS, count, side="right")
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The mean of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, (np.exp2(level - 1.0) + np.exp2(level.astype(float)) - 1) / 2, 0.0)
 
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The least count of a level, 0 for level 0."""
+    return np.where(level > 0, STEPS[np.maximum(level, 1) - 1], 0)
 
-def place(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """The bit of a key for a level and a hash function, inside its slice."""
-    return mix(keys + U((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64)) % U(bits)
 
+def most_of(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return STEPS[level] - 1
 
-def build_slice(keys: np.ndarray, level: np.ndarray, single: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """A slice of the filter, and the least level kept of longer n-grams."""
-    least, room = 1, bits * np.log(2)
-    while least < 64 and PROBES * level[single | (level >= least)].sum() > room:
-        least += 1
-    kept = single | (level >= least)
-    keys, level = keys[kept], level[kept]
-    held = np.zeros(bits, bool)
-    for q in range(1, int(level.max(initial=0)) + 1):
-        part = keys[level >= q]
-        for probe in range(PROBES):
-            held[place(part, q, probe, bits)] = True
-    return np.packbits(held, bitorder="little"), least
 
+class Slice:
+    """A log-frequency Bloom filter of some n-grams, at most half full."""
 
-@dataclass
-class Model:
-    """The filter's slices one after another, and what the probabilities need besides."""
+    def __init__(self, keys: np.ndarray, level: np.ndarray):
+        entries = max(1, int(level.sum()))
+        self.bits = 1 << max(6, int(np.ceil(np.log2(entries * PROBES / np.log(2)))))
+        self.held = np.zeros(self.bits, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            place, step = self._first(keys[level >= q], q)
+            for _ in range(PROBES):
+                self.held[place & U(self.bits - 1)] = True
+                place = place + step
 
-    held: np.ndarray
-    slice_bits: int
-    slices: int
-    total: int
-    distinct: int
-    weight: np.ndarray
-    least_level: int
+    def _first(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a level begin, and how far apart they are."""
+        place = mix(keys + U(level * 0x9E3779B97F4A7C15 % 2**64))
+        return place, mix(place) | U(1)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by probing level after level while all bits are set."""
-        out = np.zeros(len(keys), np.int64)
-        base = (((keys >> U(32)) * U(self.slices)) >> U(32)) * U(self.slice_bits)
-        live, q = np.arange(len(keys)), 1
-        while len(live) and q < 64:
-            for i in range(PROBES):
-                bit = base[live] + place(keys[live], q, i, self.slice_bits)
-                live = live[(self.held[bit >> U(3)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0]
-            out[live] = q
+        """The level of each n-gram, by probing level after level while all bits are set."""
+        out, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        while len(live) and q < len(STEPS) - 1:
             q += 1
+            place, step = self._first(keys[live], q)
+            for _ in range(PROBES):
+                hit = self.held[place & U(self.bits - 1)]
+                if not hit.all():
+                    live, place, step = live[hit], place[hit], step[hit]
+                place = place + step
+            out[live] = q
         return out
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1) / (self.total + self.distinct + 1)
-
-    def terms(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each token: levels of its context, of the token and of both together."""
-        kinds, back = np.unique(token, return_inverse=True)
-        one = self.level(unigram_keys(np.append(kinds, _END)))
-        own = one[:-1][back]
-        context = np.empty_like(own)
-        context[1:] = own[:-1]
-        context[first[:-1]] = one[-1]
-        return context, own, self.level(bigram_keys(token, first))
-
-    def log10(self, token: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        context, own, both = self.terms(token, first)
-        above = np.maximum(count_of(context), 1)
-        ratio = np.minimum(count_of(both) / above, 1.0)
-        weight = self.weight[np.minimum(context, LEVELS - 1)]
-        return np.log10(weight * ratio + (1 - weight) * self.unigram(count_of(own)))
-
-
-def train(docs: DataFrame, trains: Column, text: str = "text") -> Model:
-    """A model of the texts for which `trains` is true, from all of them.
-
-    Unigrams are smoothed by adding one to each count; a bigram's relative frequency is mixed
-    with that by a weight for the level of its context's count, fitted to all training tokens
-    with each left out of its own counts.
+
+def log10_probability(context: np.ndarray, word: np.ndarray, both: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the probability of words after their contexts, from the levels of the context,
+    the word and the pair.
+
+    The pair's count, a little discounted, and STRENGTH tokens dealt out by the unigrams, over
+    the context's count and STRENGTH. Counts above the line are read as the least of their
+    level, those below it as the largest, and no pair is read above its context or word: so
+    the probabilities of all words after a context come to no more than one.
     """
-    size = size_of(docs.where(trains), text)
-    count = max(1, size // 6 // SHARD_TOKENS)
-    slice_bits = max(64, min(FILTER_BYTES * 8, BITS_PER_TOKEN * max(1, size // 6)) // count) // 64 * 64
-    rows = rows_and_text(docs.where(trains), text, [docs.columns[0]]).select("text")
+    unigram = (least_of(word) + 1) / (total + distinct + 1)
+    both = np.minimum(both, np.minimum(context, word))
+    seen = np.maximum(least_of(both) - DISCOUNT, 0.0)
+    return np.log10((seen + STRENGTH * unigram) / (most_of(context) + STRENGTH))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            token, first = tokens(*flat(part.column("text")))
-            found = []
-            for single, keys in ((True, unigram_keys(token)), (False, bigram_keys(token, first))):
-                key, n = np.unique(keys, return_counts=True)
-                many = n > 1
-                for s, k, c, m in by_shard(key, count, n, many):
-                    found.append((s, single, planes(k >> U(64 - 8 * KEY_BYTES), KEY_BYTES),
-                                  np.packbits(m).tobytes(), planes(c[m].astype(U), 4)))
-            yield pa.RecordBatch.from_pydict(dict(zip(_SENT.names, map(list, zip(*found, strict=True)), strict=True)), _SENT)
-
-    def own(held: pa.Table) -> pa.Table:
-        keys, level, single, total, distinct = [], [], [], 0, 0
-        for kind in (True, False):
-            part = held.filter(pc.equal(held.column("single"), kind))
-            key, n = merge_counts(*zip(*[unpack(*x) for x in zip(*[part.column(c).to_pylist() for c in _SENT.names[2:]], strict=True)], strict=True)) if part.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
-            if kind:
-                total, distinct = int(n.sum()), len(key)
-            keys.append(key << U(64 - 8 * KEY_BYTES))
-            level.append(level_of(n))
-            single.append(np.full(len(key), kind))
-        bits, least = build_slice(np.concatenate(keys), np.concatenate(level), np.concatenate(single), slice_bits)
-        return pa.table({"shard": held.column("shard")[:1], "bits": pa.array([bits.tobytes()], pa.binary()),
-                         "total": [total], "distinct": [distinct], "least": [least]})
-
-    made = rows.mapInArrow(send, "shard long, single boolean, keys binary, many binary, counts binary")
-    made = made.groupBy("shard").applyInArrow(own, "shard long, bits binary, total long, distinct long, least long").collect()
-    held = np.zeros(count * slice_bits // 8, np.uint8)
-    for row in made:
-        at = row["shard"] * slice_bits // 8
-        held[at : at + slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    model = Model(held, slice_bits, count, sum(r["total"] for r in made), sum(r["distinct"] for r in made),
-                  np.zeros(LEVELS), max((r["least"] for r in made), default=1))
-    return _fit(rows, model)
-
-
-_SENT = pa.schema([("shard", pa.int64()), ("single", pa.bool_()), ("keys", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
-
-
-def unpack(keys: bytes, many: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    key = unplanes(keys, KEY_BYTES)
-    n = np.ones(len(key), np.int64)
-    n[np.unpackbits(np.frombuffer(many, np.uint8), count=len(key)).astype(bool)] = unplanes(counts, 4)
-    return key, n
-
-
-def merge_counts(keys: tuple, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    first = runs_of(key[order])
-    return key[order][first], np.add.reduceat(n[order], first)
+
+def pack_counts(count: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each, and in full where that does not do."""
+    return np.minimum(count, 255).astype(np.uint8).tobytes(), planes(count[count >= 255].astype(U), 6)
+
+
+def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    count = np.frombuffer(small, np.uint8).astype(np.int64)
+    count[count == 255] = unplanes(large, 6).astype(np.int64)
+    return count
 
 
-def _fit(rows: DataFrame, model: Model) -> Model:
-    """The weights, by expectation maximisation over a histogram of all training tokens."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+_SENT = {"shard": "long", "chunk": "long", "size": "int", "keys": "binary", "small": "binary", "large": "binary"}
+_TOLD = {"chunk": "long", "shard": "long", "size": "int", "levels": "binary", "small": "binary", "large": "binary"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cells = shared.value, np.zeros(LEVELS * STEPS, np.int64)
+
+def _table(fields: dict[str, str], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.table([pa.array(x, _ARROW[kind]) for x, kind in zip(columns, fields.values(), strict=True)], list(fields))
+
+
+def _ddl(fields: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields.items())
+
+
+def ngrams(token: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    yield 1, token
+    yield 2, pair_keys(contexts(token, first), token)
+
+
+def send(chunk: int, token: np.ndarray, first: np.ndarray, learned: np.ndarray, shards: int, sizes=(1, 2)) -> pa.Table:
+    """The distinct n-grams of a chunk and how often its training texts have them."""
+    out, trains = [], np.repeat(learned, np.diff(first))
+    for size, keys in ngrams(token, first):
+        if size in sizes:
+            key, back = np.unique(keys, return_inverse=True)
+            count = np.bincount(back, weights=trains, minlength=len(key)).astype(np.int64)
+            width = KEY_BYTES[size]
+            out += [(s, chunk, size, planes(k >> U(64 - 8 * width), width), *pack_counts(c)) for s, k, c in by_shard(key, shards, count)]
+    return _table(_SENT, out)
+
+
+def merged(held: pa.Table, size: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the n-grams of a size: the rows, their keys, the distinct keys and their counts."""
+    rows = held.filter(pc.equal(held.column("size"), size))
+    width = KEY_BYTES[size]
+    keys = [unplanes(k, width) << U(64 - 8 * width) for k in rows.column("keys").to_pylist()]
+    counts = [unpack_counts(a, b) for a, b in zip(rows.column("small").to_pylist(), rows.column("large").to_pylist(), strict=True)]
+    if not keys:
+        return rows, keys, np.zeros(0, U), np.zeros(0, np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    begin = runs_of(key[order])
+    return rows, keys, key[order][begin], np.add.reduceat(count[order], begin)
+
+
+def tell(held: pa.Table) -> pa.Table:
+    """Answers to the chunks of one shard, in the order of their own n-grams: levels, as the
+    probes of the shard's filter find them, and exact counts of words."""
+    out = []
+    for size in KEY_BYTES:
+        rows, keys, key, count = merged(held, size)
+        known = count > 0
+        level = Slice(key[known], level_of(count[known])).level(key).astype(np.uint8)
+        for chunk, shard, own in zip(rows.column("chunk").to_pylist(), rows.column("shard").to_pylist(), keys, strict=True):
+            at = np.searchsorted(key, own)
+            out.append((chunk, shard, size, level[at].tobytes(), *(pack_counts(count[at]) if size == 1 else (None, None))))
+    return _table(_TOLD, out)
+
+
+def totals(docs: DataFrame, trains: Column, text: str, shards: int) -> tuple[int, int]:
+    """All tokens of the training texts, and the distinct ones."""
+    rows = rows_and_text(docs.where(trains), text, [docs.columns[0]]).select("text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             token, first = tokens(*flat(part.column("text")))
-            context, level, both = own.terms(token, first)
-            rest = np.maximum(count_of(both) - 1, 0) / np.maximum(count_of(context) - 1, 1)
-            ratio = np.minimum(rest, 1) / own.unigram(np.maximum(count_of(level) - 1, 0))
-            with np.errstate(divide="ignore"):
-                step = np.clip((np.log2(ratio) - LEAST) * 2 + 1, 0, STEPS - 1).astype(np.int64)
-            cells += np.bincount(np.minimum(context, LEVELS - 1) * STEPS + step, minlength=len(cells))
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_pydict({"cell": at, "n": cells[at]}, pa.schema([("cell", pa.int64()), ("n", pa.int64())]))
-
-    found = rows.mapInArrow(ratios, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = np.zeros(LEVELS * STEPS)
-    for row in found:
-        cells[row["cell"]] = row["n"]
-    cells = cells.reshape(LEVELS, STEPS)
-    ratio = np.exp2((np.arange(STEPS) - 0.5) / 2 + LEAST)
-    ratio[0] = 0
-    weight = np.full(LEVELS, 0.5)
-    for _ in range(100):
-        part = weight[:, None] * ratio / (weight[:, None] * ratio + 1 - weight[:, None])
-        weight = np.where(cells.sum(1) > 0, (cells * part).sum(1) / np.maximum(cells.sum(1), 1), 0.0)
-        weight = np.clip(weight, 0.0, 0.999)
-    model.weight = weight
-    return model
+            yield from send(0, token, first, np.ones(len(first) - 1), shards, sizes=(1,)).to_batches()
+
+    def count(held: pa.Table) -> pa.Table:
+        _, _, key, n = merged(held, 1)
+        return pa.table({"total": [int(n.sum())], "distinct": [len(key)]})
+
+    found = rows.mapInArrow(words, _ddl(_SENT)).groupBy("shard").applyInArrow(count, "total long, distinct long")
+    row = found.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    return row["total"] or 0, row["distinct"] or 0
 
 
 def score(docs: DataFrame, trains: Column, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -248,55 +226,48 @@ def score(docs: DataFrame, trains: Column, keep: list[str] | None = None, text:
     probability of one. Repeated rows count as often as they are there, and give a row each;
     an empty table gives none.
 
-    Tokens are told apart by 64-bit hashes; that some two of n distinct ones share theirs has
-    a chance of about n * n / 2**65.
+    Words are told apart by 64-bit hashes; that some two of n distinct ones share theirs has
+    a chance of about n * n / 2**65. Pairs go by 48 bits, which adds a little to the filter's
+    own errors: of n distinct pairs, a share of n / 2**48 is read as another.
     """
     trains = F.coalesce(trains, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, trains, text))
+    shards = max(1, size_of(docs, text) // 6 // SHARD_TOKENS)
+    total, distinct = totals(docs, trains, text, shards)
     rows = rows_and_text(docs, text, keep, trains=trains)
-    count = max(1, size_of(docs, text) // 6 // SHARD_TOKENS)
     chunks = chunked(rows)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
                 held = from_body(body.as_py())
-                token, first = tokens(*flat(held.column("text")))
-                learned = np.repeat(held.column("trains").to_numpy(), np.diff(first))
-                key, back = np.unique(token, return_inverse=True)
-                n = np.bincount(back, weights=learned, minlength=len(key)).astype(U)
-                sent = by_shard(key, count, n)
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": [s for s, _, _ in sent], "chunk": [chunk] * len(sent), "keys": [planes(k, 8) for _, k, _ in sent],
-                     "counts": [planes(c, 4) for _, _, c in sent]},
-                    pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    def total(held: pa.Table) -> pa.Table:
-        keys = [unplanes(k, 8) for k in held.column("keys").to_pylist()]
-        key, n = merge_counts(tuple(keys), tuple(unplanes(c, 4).astype(np.int64) for c in held.column("counts").to_pylist()))
-        return pa.Table.from_pydict(
-            {"chunk": held.column("chunk"), "shard": held.column("shard"),
-             "counts": [planes(n[np.searchsorted(key, k)].astype(U), 6) for k in keys]},
-            pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary())]))
-
-    def judge(chunk: pa.Table, counts: pa.Table) -> pa.Table:
-        model, out = shared.value, []
+                learned = held.column("trains").to_numpy()
+                yield from send(chunk, *tokens(*flat(held.column("text"))), learned, shards).to_batches()
+
+    def judge(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        told, out = told.sort_by("shard"), []
         for body in chunk.column("body").to_pylist():
             held = from_body(body)
             token, first = tokens(*flat(held.column("text")))
-            back = np.unique(token, return_inverse=True)[1]
-            order = np.argsort(counts.column("shard").to_numpy())
-            answers = counts.column("counts").to_pylist()
-            exact = np.concatenate([unplanes(answers[i], 6) for i in order.tolist()]).astype(np.float64)[back]
-            scale = np.log10(model.total + model.distinct + 1)
+            found = {}
+            for size, keys in ngrams(token, first):
+                answers = told.filter(pc.equal(told.column("size"), size))
+                back = np.unique(keys, return_inverse=True)[1]
+                level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
+                found[size] = level[back]
+                if size == 1:
+                    parts = zip(answers.column("small").to_pylist(), answers.column("large").to_pylist(), strict=True)
+                    exact = np.concatenate([unpack_counts(*x) for x in parts])[back]
+            context = np.empty_like(found[1])
+            context[1:] = found[1][:-1]
+            context[first[:-1]] = found[1][first[1:] - 1]  # the end of a text stands before its first word
+            base = np.log10(exact + 1.0) - np.log10(total + distinct + 1)
+            value = log10_probability(context, found[1], found[2], total, distinct)
             out.append(pa.table(
                 [held.column("row"), pa.array(np.diff(first)), pa.array(sum_per_text((exact > 0).astype(np.int64), first)),
-                 pa.array(np.full(len(first) - 1, model.total)), pa.array(sum_per_text(np.log10(exact + 1) - scale, first)),
-                 pa.array(sum_per_text(model.log10(token, first), first))],
+                 pa.array(np.full(len(first) - 1, total)), pa.array(sum_per_text(base, first)), pa.array(sum_per_text(value, first))],
                 ["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    sent = chunks.mapInArrow(send, "shard long, chunk long, keys binary, counts binary")
-    counts = sent.groupBy("shard").applyInArrow(total, "chunk long, shard long, counts binary")
-    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(judge, schema_with_row(
+    told = chunks.mapInArrow(ask, _ddl(_SENT)).groupBy("shard").applyInArrow(tell, _ddl(_TOLD))
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judge, schema_with_row(
         rows, ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")))

@@ -65,22 +65,73 @@ def test_model_beats_its_base_on_held_out_text(spark):
 
 def test_filter_reads_levels_back():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2) & lm._CLEAR)
-    count = rng.integers(1, 200, len(keys))
-    bits, least = lm.build_slice(keys, lm.level_of(count), np.zeros(len(keys), bool), 1 << 18)
-    model = lm.Model(bits, 1 << 18, 1, 1, 1, np.zeros(lm.LEVELS), least)
-    read = model.level(keys)
-    assert least == 1 and (read >= lm.level_of(count)).all() and (read == lm.level_of(count)).mean() > 0.95
-    other = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) | np.uint64(1)) & lm._CLEAR
-    assert (model.level(other) == 0).mean() > 0.9
-    bits, least = lm.build_slice(keys, lm.level_of(count), np.zeros(len(keys), bool), 4096)
-    assert least > 1 and np.unpackbits(bits).mean() < 0.55
-
-
-def test_probabilities_are_those_of_a_distribution():
-    assert lm.count_of(lm.level_of(np.array([1]))).tolist() == [1.0]
-    model = lm.Model(np.zeros(8, np.uint8), 64, 1, 0, 0, np.zeros(lm.LEVELS), 1)
-    assert model.unigram(np.zeros(1)).tolist() == [1.0]
+    keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2))
+    level = lm.level_of(rng.integers(1, 200, len(keys)))
+    held = lm.Slice(keys, level)
+    assert (held.level(keys) == level).all() and held.held.mean() <= 0.55
+    assert (held.level(rng.integers(0, 2**63, 100_000, dtype=np.uint64) | np.uint64(1)) == 0).all()
+    empty = lm.Slice(keys[:0], level[:0])
+    assert (empty.level(keys) == 0).all() and len(held.level(keys[:0])) == 0
+
+
+def test_levels_bound_their_counts():
+    count = np.concatenate([np.arange(1, 5000), 2 ** np.arange(13, 50)])
+    level = lm.level_of(count)
+    assert (lm.least_of(level) <= count).all() and (count <= lm.most_of(level)).all()
+    assert (count < 1.5 * lm.least_of(level)).all() and lm.level_of(np.array([0])) == 0 and lm.least_of(np.array([0])) == 0
+
+
+@pytest.mark.parametrize("seed, texts", [(1, 4), (2, 60)])
+def test_probabilities_after_a_context_sum_to_no_more_than_one(seed, texts):
+    rng = np.random.default_rng(seed)
+    held = [" ".join(f"w{min(int(x), 300)}" for x in rng.pareto(0.7, 60)) for _ in range(texts)]
+    data = [t.encode() for t in held]
+    token, first = lm.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    before = lm.contexts(token, first)
+    words, count = np.unique(token, return_counts=True)
+    pairs, both = np.unique(lm.pair_keys(before, token), return_counts=True)
+    one, two = lm.Slice(words, lm.level_of(count)), lm.Slice(pairs, lm.level_of(both))
+    for context in [*rng.choice(words, 40), lm._END, np.uint64(12345)]:
+        c = np.full(len(words) + 1, context)
+        every = np.append(words, np.uint64(999))  # all known words, and one that stands for the rest
+        p = 10 ** lm.log10_probability(one.level(c), one.level(every), two.level(lm.pair_keys(c, every)), len(token), len(words))
+        assert 0 < p.sum() <= 1 + 1e-12
+
+
+def brute_score(rows, held_out):
+    """Scores from exact counts, with each count read as its level says."""
+    texts = [[None, *words_of(lower(t)), None] for _, t in rows]  # None: an end
+    learned = [w for (d, _), w in zip(rows, texts) if not held_out[d]]
+    one = Counter(x for w in learned for x in w[1:])
+    two = Counter(p for w in learned for p in zip(w, w[1:]))
+    total, kinds, out = sum(one.values()), len(one), {}
+    low = lambda n: int(lm.least_of(lm.level_of(np.array([n])))[0])
+    high = lambda n: int(lm.most_of(lm.level_of(np.array([n])))[0])
+    for (d, _), w in zip(rows, texts):
+        value = 0.0
+        for c, x in zip(w, w[1:]):
+            unigram = (low(one[x]) + 1) / (total + kinds + 1)
+            value += math.log10((max(low(two[c, x]) - lm.DISCOUNT, 0) + lm.STRENGTH * unigram) / (high(one[c]) + lm.STRENGTH))
+        out.setdefault(d, []).append(value)
+    return out
+
+
+@pytest.mark.parametrize("shard_tokens", [5000, 10**6])
+def test_scores_agree_with_brute_force(docs, rows, monkeypatch, shard_tokens):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
+    held_out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    want = brute_score(rows, held_out)
+    got = {}
+    for r in lm.score(docs, queries.remainder(7) != 2, ["doc_id"]).select("row.doc_id", "score").collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert set(got) == set(want)
+    for d, values in want.items():
+        assert sorted(got[d]) == pytest.approx(sorted(values), rel=1e-9)
+
+
+def test_model_without_training_rows(docs):
+    got = lm.score(docs, F.lit(False), ["doc_id"]).agg(F.min("score"), F.max("score"), F.max("train_tokens"), F.min("base_score")).first()
+    assert tuple(got) == (0.0, 0.0, 0, 0.0)
 
 
 # quality ------------------------------------------------------------------------------------
