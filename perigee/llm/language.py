@@ -8,6 +8,7 @@ transition tables, and all segments of a slice of documents are parsed in step w
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ UNKNOWN = "und"
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 64, 800
 #: Bound of all automata together; languages share it evenly.
 TABLE_BYTES = 96 << 20
+#: Groups in which the hashes of a language are ranked at first.
+RANKED = 16
 #: Texts are parsed in segments of so many bytes; a phrase ends where its segment ends.
 SEGMENT = 256
 
@@ -91,8 +94,11 @@ def sample_texts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
     rows repeat takes one place; then the texts up to the last of them are read."""
     rows = labelled.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("at", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    first = rows.select("lang", "at").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCUMENTS)
+    # first in groups of a language's hashes, then what those leave: no task ranks a language
+    first = rows.select("lang", "at").distinct().withColumn("group", F.pmod("at", F.lit(RANKED)))
+    for keys in (["lang", "group"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+        first = first.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCUMENTS)
     bounds = {r["lang"]: r["last"] for r in first.groupBy("lang").agg(F.max("at").alias("last")).collect()}
     if not bounds:
         return {}
@@ -105,36 +111,55 @@ def sample_texts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
     return dict(held)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def even_cut(texts: list[str], most: int) -> bytes:
+    """The letters of the texts, one after another, of at most `most` bytes. Where they have
+    more, all texts are cut to the same length, the longest that fits."""
+    held = [letters_only(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tobytes() for t in texts]
+    held = [h.rstrip(b" ") + b" " for h in held if h.strip()]
+    if sum(map(len, held)) > most:
+        sizes, room, length = sorted(map(len, held)), most, 0
+        for i, size in enumerate(sizes):
+            length = room // (len(sizes) - i)
+            if size > length:
+                break
+            room -= size
+        held = [h[:length] for h in held]
+    return b"".join(held).rstrip(b" ")
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", table_bytes: int = TABLE_BYTES) -> Model:
     """A model of the languages of the labelled rows, from a bounded sample.
 
     Of each language at most SAMPLE_DOCUMENTS distinct texts with letters are used, those of
-    least hash, and of each at most SAMPLE_CHARS characters. Rows without language or text are
+    least hash, and of each at most SAMPLE_CHARS characters. All automata together hold at
+    most `table_bytes`, shared evenly: with so many languages, or so many different bytes in
+    them, that a language's sample is above its share, all its texts are cut to one shorter
+    length. It is an error if a share does not hold a byte. Rows without language or text are
     left out; a text counts once, however many rows repeat it.
     """
     held = sample_texts(labelled, text, lang)
-    languages = sorted(held)
-    joined = {}
-    for name in languages:
-        data = np.frombuffer(" ".join(held[name]).encode(), np.uint8)
-        joined[name] = letters_only(data, np.array([0, len(data)]))[0]
-    languages = [x for x in languages if len(joined[x])]
-    seen = sorted({*np.concatenate([[_GAP], *joined.values()]).tolist()})
+    joined = {name: even_cut(texts, sys.maxsize) for name, texts in sorted(held.items())}
+    languages = [name for name, data in joined.items() if data]
+    seen = sorted({_GAP, *b"".join(joined.values())})
     codes = np.full(256, len(seen), np.uint8)  # the last code is known to no automaton
     codes[seen] = np.arange(len(seen))
     width = len(seen) + 1
-    most = TABLE_BYTES // (8 * width * max(1, len(languages)))
-    tables, roots, states = [], [], 0
+    most = table_bytes // (8 * width * max(1, len(languages)))
+    if languages and not most:
+        raise ValueError(f"{len(languages)} languages do not fit into tables of {table_bytes} bytes")
+    tables, roots, sizes, states = [], [], [], 0
     for name in languages:
-        moves = suffix_automaton(codes[joined[name][:most]].tolist())
+        data = even_cut(held[name], most)
+        moves = suffix_automaton(codes[np.frombuffer(data, np.uint8)].tolist())
         table = np.full((len(moves), width), -1, np.int32)
         for state, out in enumerate(moves):
             table[state, list(out)] = [x + states for x in out.values()]
         tables.append(table.reshape(-1))
         roots.append(states)
+        sizes.append(len(data))
         states += len(moves)
     return Model(languages, codes, width, np.concatenate(tables) if tables else np.zeros(0, np.int32),
-                 np.array(roots, np.int32), np.array([min(most, len(joined[x])) for x in languages]))
+                 np.array(roots, np.int32), np.array(sizes))
 
 
 def phrases(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
