@@ -27,8 +27,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Upper bounds of the bytes in a bucket's rows; the last also bounds what the matrices take.
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 LONG_ROW = BUCKETS[-1]
-#: Ids in one matrix, and entries in a cache before it starts anew.
-CELLS, CACHED = 1 << 20, 200_000
+#: Ids in one matrix; entries in a cache, and bytes of all caches, before they start anew.
+CELLS, CACHED, CACHE_BYTES = 1 << 20, 200_000, 64 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 U = np.uint64
 _EMPTY = U(2**64 - 1)
@@ -93,6 +93,7 @@ class Encoder:
         self.held = np.frombuffer(b"".join(by_rank), np.uint8)
         self.pieces: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.kept = 0
 
     # pieces -----------------------------------------------------------------------------
 
@@ -179,11 +180,17 @@ class Encoder:
     def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> None:
         """Fills the cache for strings that the pattern may still cut, each after `lead`."""
         cut = {s: self.pattern.findall(lead + s) for s in wanted}
-        new = list({p for parts in cut.values() for p in parts} - self.pieces.keys())
-        self.pieces.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+        self._keep(set().union(*cut.values()) if cut else set())
         get = self.pieces.__getitem__
         for s, parts in cut.items():
             cache[s] = b"".join(map(get, parts))
+            self.kept += len(s) + len(cache[s])
+
+    def _keep(self, pieces: set[str]) -> None:
+        new = list(pieces - self.pieces.keys())
+        ids = self.encode_pieces([p.encode() for p in new])
+        self.pieces.update(zip(new, ids, strict=True))
+        self.kept += sum(map(len, new)) + sum(map(len, ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers.
@@ -191,8 +198,8 @@ class Encoder:
         Between two characters that are no white space, a space always begins a new match, so
         a text falls into words that are cut and merged once each.
         """
-        if len(self.pieces) > CACHED or len(self.spaced) > CACHED:
-            self.pieces, self.spaced = {}, {}
+        if self.kept > CACHE_BYTES or len(self.pieces) > CACHED or len(self.spaced) > CACHED:
+            self.pieces, self.spaced, self.kept = {}, {}, 0
         whole: list[list[str] | None] = []
         parts: list[list[str]] = []
         for text in texts:
@@ -203,8 +210,7 @@ class Encoder:
                 head, *rest = text.split(" ")
                 whole.append(self.pattern.findall(head))
                 parts.append(rest)
-        new = list(set().union(*whole) - self.pieces.keys()) if whole else []
-        self.pieces.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+        self._keep(set().union(*whole) if whole else set())
         self._learn(self.spaced, set().union(*parts) - self.spaced.keys(), " ")
         piece, spaced = self.pieces.__getitem__, self.spaced.__getitem__
         return [

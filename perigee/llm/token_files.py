@@ -31,8 +31,8 @@ from perigee.llm.rows import named, slices, texts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 MAGIC, BLOCK, PERCENTILE, END_ID = 0x31524650, 256, 90, 1
-#: Words kept with their ids before the cache starts anew.
-CACHED = 300_000
+#: Words kept with their ids, and bytes of both, before the cache starts anew.
+CACHED, CACHE_BYTES = 600_000, 64 << 20
 U = np.uint64
 
 
@@ -149,43 +149,69 @@ _SPELLED = {b: chr(b) for b in _PRINTED} | {
 }
 
 
+#: Words that the ways to encode one are tried with when a vocabulary is loaded.
+_TRIED = ["word", "Word", "WORDS", "naïve", "ÀÉÎÕÜ", "ÿþ", "x", "don", "tokenization", "end.", "(!)", "...", "a,", "#$%&", "Größe!?",
+          "it's", "12", "a1b2", "“x”", "日本語", "İ", "ſ", "ﬁ", "\u0301a", "e\u0301", "<|endoftext|>", "<unk>", "\u00ad", "😀!"]
+
+
 class WordEncoder:
-    """The library's ids of texts. Its vocabulary splits text at white space before anything
-    else, so each distinct word is encoded once and its ids are kept. The parts of plain words
-    go straight to the library's merges, all other words through the whole tokenizer."""
+    """The library's ids of texts. Where a vocabulary splits text at white space before anything
+    else, each distinct word is encoded once and its ids are kept. Where moreover the parts of
+    plain words can go straight to the library's merges, they do; all other words go through
+    the whole tokenizer, and so do whole texts where the vocabulary does not split them like
+    that. Both are tried out on some words when the vocabulary is loaded."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # marks inside a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
+        self._forget()
+        whole = [self._whole([w])[0] for w in _TRIED]
+        spaced = self._whole(["  ".join(_TRIED), "\n".join(_TRIED), "\t" + " \x0b".join(_TRIED) + "\r", " "])
+        self.splits = spaced == [b"".join(whole)] * 3 + [b""]
+        plain = [(_PLAIN.match(w), ids) for w, ids in zip(_TRIED, whole, strict=True)]
+        self.plain = all(self._parts(m) == ids for m, ids in plain if m)
+        self._forget()
+
+    def _forget(self) -> None:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.held = 0
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", one.ids).tobytes() for one in done]
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLED)
             ids = self.parts[part] = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+            self.held += len(part) + len(ids)
         return ids
 
+    def _parts(self, plain: re.Match) -> bytes:
+        letters, signs = plain.groups()
+        return self._part(letters.lower()) + self._part(signs)
+
     def _learn(self, new: list[bytes]) -> None:
         rest = []
         for word in new:
-            plain = _PLAIN.match(word.decode())
+            plain = _PLAIN.match(word.decode()) if self.plain else None
             if plain:
-                letters, signs = plain.groups()
-                self.words[word] = self._part(letters.lower()) + self._part(signs)
+                self.words[word] = self._parts(plain)
             else:
                 rest.append(word)
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, one in zip(part, done, strict=True):
-                self.words[word] = array("I", one.ids).tobytes()
+            self.words.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+        self.held += sum(len(word) + len(self.words[word]) for word in new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHED or len(self.parts) > CACHED:
-            self.words, self.parts = {}, {"": b""}
+        if not self.splits:
+            return self._whole([t.decode() for t in texts])
+        if self.held > CACHE_BYTES or len(self.words) + len(self.parts) > CACHED:
+            self._forget()
         split = [t.split() for t in texts]
         self._learn(list(set().union(*split) - self.words.keys()))
         get = self.words.__getitem__
@@ -208,7 +234,7 @@ def write_tokens(
     """Encodes all texts, an end id after each, and writes them in order of doc_id.
 
     Files are ranges of doc_id (nulls first) and go by their number. Documents of equal id
-    follow each other in the order of their texts. A null text is its end id alone. `path`
+    follow each other, equal texts together. A null text is its end id alone. `path`
     must not exist and must be in a store that all executors reach; `vocabulary` is a file
     that every executor can open.
     """
@@ -224,7 +250,10 @@ def write_tokens(
                 pa.schema([("file", pa.int64()), ("segment", pa.int64()), ("n_tokens", pa.int64()), ("body", pa.binary())]))
 
     rows = docs.select(named(doc_id).cast("long").alias("id"), named(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # many rows of one id, and many equal rows, still go to several files
+    order = ["id", "hash", "turn"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     ranged.mapInArrow(encode, "file long, segment long, n_tokens long, body binary").write.option("compression", "none").parquet(path)
 
 
