@@ -24,6 +24,12 @@ def shared_folder(spark) -> str:
     return folder or tempfile.mkdtemp(prefix="perigee-llm-")
 
 
+def remove(spark, folder: str) -> None:
+    """Deletes a folder that an earlier step wrote, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _lowest(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("low"))
 
