@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perigee.llm import byte_bpe, decontaminate, language, repeats, simhash
-from perigee.llm.components import checkpoint, shared_folder
+from perigee.llm.components import checkpoint, remove, shared_folder
 from perigee.llm.rows import free_name
 
 #: The columns of documents; a row is told from others of its doc_id by their values.
@@ -86,11 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, applied to `documents`."""
+    """The stages, one after another, applied to `documents`. What a stage has written is
+    removed when the next one has; the last one's result stays."""
     place = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
