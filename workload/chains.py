@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -9,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perigee.operators import telemetry
 from perigee.plans import load, transform
-from perigee.sources import feed, records, tables
+from perigee.sources import batches, feed, records, tables
 from perigee.streaming import telemetry as live
 from perigee.streaming.loading import load_stream
 
 from . import mapping as m
 
-#: Weeks whose answers broke off, and weeks in which nothing was listed.
-BROKEN, BARE = "asteroids_199803", "asteroids_199804"
+#: Days of a batch; a batch whose answers broke off, and one in which nothing was listed.
+BATCH_DAYS, FIRST_DAY = 91, dt.date(1995, 1, 1)
+BROKEN, BARE = "asteroids_19971228_19980328.json", "asteroids_19980329_19980627.json"
 NOTHING = '{"links":{"self":"feed"},"element_count":0,"near_earth_objects":{}}'
 
 
@@ -31,16 +33,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def land_weeks(documents: DataFrame, folder: str) -> None:
-    """Documents into the batch folders of their weeks, which their file names tell."""
-    day = lambda at: F.to_date(F.substring("source_file", at, 8), "yyyyMMdd")
-    feed.land(documents.select("document", day(11).alias("batch_start"), day(20).alias("batch_end")), folder)
+def batched_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Lean documents in the files of their batches, with the days of these."""
+    documents = m.feed_documents(spark, folder, lean=True)
+    day = F.to_date(F.substring("source_file", 11, 8), "yyyyMMdd")
+    start = F.date_sub(day, F.date_diff(day, F.lit(FIRST_DAY)) % F.lit(BATCH_DAYS))
+    dated = documents.select("document", start.alias("batch_start"), F.date_add(start, BATCH_DAYS - 1).alias("batch_end"))
+    return dated.withColumn("source_file", batches.batch_file(F.col("batch_start"), F.col("batch_end")))
 
 
 def landing_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Per week what comes back of the landed documents."""
+    """Per batch what comes back of the landed documents."""
     place = scratch(spark)
-    land_weeks(m.feed_documents(spark, folder), place)
+    feed.land(batched_documents(spark, folder), place)
     read = feed.read_landed(spark, place)
     counts = feed.object_counts(feed.valid_feeds(feed.decode_feed(read)))
     return counts.groupBy("source_file").agg(
@@ -51,7 +56,7 @@ def landing_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def landed_range(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of a range of days, read from the batch folders that touch it only."""
     place = scratch(spark)
-    land_weeks(m.feed_documents(spark, folder), place)
+    feed.land(batched_documents(spark, folder), place)
     first, last = m.AS_OF.date().replace(year=1998, month=1, day=1), m.AS_OF.date().replace(year=1998, month=6, day=30)
     read = feed.read_landed(spark, place, first, last)
     objects = feed.feed_objects(feed.valid_feeds(feed.decode_feed(read)), first, last)
@@ -65,8 +70,8 @@ def file_chain(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch(spark)
     raw, lines, root = (f"{place}/{name}" for name in ("raw", "records", "tables"))
     name, document = F.col("source_file"), F.col("document")
-    damaged = F.when(name.startswith(BROKEN), F.substring("document", 1, 40)).when(name.startswith(BARE), F.lit(NOTHING))
-    land_weeks(m.feed_documents(spark, folder).withColumn("document", F.coalesce(damaged, document)), raw)
+    damaged = F.when(name == BROKEN, F.substring("document", 1, 40)).when(name == BARE, F.lit(NOTHING))
+    feed.land(batched_documents(spark, folder).withColumn("document", F.coalesce(damaged, document)), raw)
 
     planned = transform.plan_transform(spark, raw, lines).select("source_file", "output").distinct()
     done = transform.run_transform(spark, raw, lines, m.AS_OF, strict=False, rejects=f"{place}/rejects")
@@ -92,7 +97,7 @@ def streamed_load(spark: SparkSession, folder: str) -> DataFrame:
     """The stored approaches by day, after all record files came in as a stream."""
     place = scratch(spark)
     lines, root = f"{place}/records", f"{place}/tables"
-    records.write_records(transform.transform_feed(m.feed_documents(spark, folder), m.AS_OF), lines)
+    records.write_records(transform.transform_feed(batched_documents(spark, folder), m.AS_OF), lines)
     load_stream(spark, lines, root, f"{place}/checkpoint").awaitTermination()
     held = tables.read_table(spark, root, "approaches")
     return held.groupBy("close_approach_date").agg(

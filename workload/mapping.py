@@ -253,8 +253,9 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One feed document per line item, in the file of its week.
+def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> DataFrame:
+    """One feed document per line item, in the file of its week. A lean one lists nothing but the
+    object of the line item with its first approach.
 
     A document lists the object of the line item under its ship date, with two approaches,
     and under the next day a second object without any. Its size does not depend on the
@@ -312,7 +313,7 @@ def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("p_name", F.lit(" "), ref),
         diameters(_diameter(160.0), _diameter(80.0)),
         F.col("p_partkey") % 5 == 0,
-        F.array(approach(0), approach(1)),
+        F.array(approach(0)) if lean else F.array(approach(0), approach(1)),
     )
     unseen = neo(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
@@ -324,12 +325,11 @@ def feed_documents(spark: SparkSession, folder: str) -> DataFrame:
     document = F.to_json(
         F.struct(
             F.struct(F.concat(F.lit("feed/"), ref).alias("self")).alias("links"),
-            F.lit(2).alias("element_count"),
+            F.lit(1 if lean else 2).alias("element_count"),
             F.create_map(
                 F.col("close_date").cast("string"),
                 F.array(seen),
-                F.date_add("close_date", 1).cast("string"),
-                F.array(unseen),
+                *([] if lean else [F.date_add("close_date", 1).cast("string"), F.array(unseen)]),
             ).alias("near_earth_objects"),
         )
     )

@@ -49,6 +49,12 @@ def week_file(date: str) -> str:
     )
 
 
+def batch_name(date: str) -> str:
+    """The file of the batch of 91 days that a date falls in."""
+    first = f"({date} - CAST(date_diff('day', DATE '1995-01-01', {date}) % 91 AS INTEGER))"
+    return f"('asteroids_' || strftime({first}, '%Y%m%d') || '_' || strftime({first} + 90, '%Y%m%d') || '.json')"
+
+
 AU = "(l_discount + l_tax)"
 REF = "CAST(l_partkey AS VARCHAR)"
 PART_REF = "CAST(p_partkey AS VARCHAR)"
@@ -366,34 +372,37 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM added) AS approaches_inserted,
             (SELECT count(*) FROM arrivals) - (SELECT count(*) FROM added) AS approaches_skipped""",
     # chains over files
-    "landing_round_trip": f"""SELECT {week_file('close_date')} AS source_file, count(*) AS documents,
-            2 * count(*) AS objects, count(*) AS consistent
+    "landing_round_trip": f"""SELECT {batch_name('close_date')} AS source_file, count(*) AS documents,
+            count(*) AS objects, count(*) AS consistent
         FROM sightings JOIN part ON l_partkey = p_partkey GROUP BY 1""",
-    "landed_range": """SELECT feed_date, count(*) AS objects FROM listed
-        WHERE CAST(feed_date AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' GROUP BY feed_date""",
-    "file_chain": f"""WITH files AS (
-            SELECT {week_file('close_date')} AS source_file, count(*) AS documents,
-                   {week_file('close_date')} LIKE 'asteroids_199803%' AS broken,
-                   {week_file('close_date')} LIKE 'asteroids_199804%' AS bare
-            FROM sightings JOIN part ON l_partkey = p_partkey GROUP BY 1),
-        objects AS (SELECT source_file, count(DISTINCT ref) AS n FROM listed GROUP BY 1),
+    "landed_range": """SELECT CAST(close_date AS VARCHAR) AS feed_date, count(*) AS objects
+        FROM sightings JOIN part ON l_partkey = p_partkey
+        WHERE close_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' GROUP BY close_date""",
+    "file_chain": f"""WITH seen AS (
+            SELECT {batch_name('close_date')} AS source_file, {REF} AS ref, epoch
+            FROM sightings JOIN part ON l_partkey = p_partkey),
+        files AS (
+            SELECT source_file, count(*) AS documents, count(DISTINCT ref) AS objects,
+                   source_file = 'asteroids_19971228_19980328.json' AS broken,
+                   source_file = 'asteroids_19980329_19980627.json' AS bare
+            FROM seen GROUP BY source_file),
         credited AS (
             SELECT file AS source_file, count(*) AS n
-            FROM (SELECT min(source_file) AS file FROM listed_approaches
-                  WHERE NOT regexp_matches(source_file, '^asteroids_19980[34]')
-                  GROUP BY ref, epoch_date_close_approach)
+            FROM (SELECT min(source_file) AS file FROM seen
+                  WHERE source_file NOT IN ('asteroids_19971228_19980328.json', 'asteroids_19980329_19980627.json')
+                  GROUP BY ref, epoch)
             GROUP BY 1)
         SELECT f.source_file, CASE WHEN broken THEN documents ELSE 0 END AS rejected_documents,
             NOT broken AS announced, bare AS pending,
             CASE WHEN bare THEN 'failed' WHEN NOT broken THEN 'completed' END AS status,
-            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN o.n END AS INTEGER) AS asteroids_processed,
-            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN coalesce(c.n, 0) END AS INTEGER) AS approaches_processed,
+            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN objects END AS INTEGER) AS asteroids_processed,
+            CAST(CASE WHEN bare THEN 0 WHEN NOT broken THEN coalesce(n, 0) END AS INTEGER) AS approaches_processed,
             CASE WHEN bare THEN 'No valid records found in file' END AS error_message
-        FROM files f JOIN objects o USING (source_file) LEFT JOIN credited c USING (source_file)""",
+        FROM files f LEFT JOIN credited c USING (source_file)""",
     "streamed_load": """SELECT CAST(day AS VARCHAR) AS close_approach_date, count(*) AS approaches,
-            count(DISTINCT ref) AS asteroids
-        FROM (SELECT DISTINCT ref, epoch_date_close_approach, close_approach_date AS day
-              FROM listed_approaches)
+            count(DISTINCT l_partkey) AS asteroids
+        FROM (SELECT DISTINCT l_partkey, epoch, close_date AS day
+              FROM sightings JOIN part ON l_partkey = p_partkey)
         GROUP BY day""",
     # expressions
     "hazard_classify": "SELECT id, hazard_classification FROM approaches",
