@@ -102,13 +102,13 @@ WITH pieces AS (
         FROM (SELECT lang, size, w, n, k, unnest(range(1, size - k + 2)) AS i
               FROM candidates, (VALUES (2), (3)) AS parts(k) WHERE k < size))
   GROUP BY lang, part
+), parts AS (
+  SELECT lang, g, n AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k+1:size], ' ') AS tail
+  FROM candidates, (VALUES (1), (2), (3)) AS places(k) WHERE k < size
 ), cuts AS (
-  SELECT c.lang, c.g, c.n AS a, k, x.n AS l, y.n AS r,
-         CAST(CAST(2000000 AS HUGEINT) * c.n // (x.n + y.n) AS BIGINT) AS score
-  FROM candidates c, (VALUES (1), (2), (3)) AS places(k), counts x, counts y
-  WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang
-    AND x.size = k AND x.g = array_to_string(c.w[1:k], ' ')
-    AND y.size = c.size - k AND y.g = array_to_string(c.w[k+1:c.size], ' ')
+  SELECT c.lang, c.g, c.a, c.k, x.n AS l, y.n AS r,
+         CAST(CAST(2000000 AS HUGEINT) * c.a // (x.n + y.n) AS BIGINT) AS score
+  FROM parts c JOIN counts x ON x.lang = c.lang AND x.g = c.head JOIN counts y ON y.lang = c.lang AND y.g = c.tail
 ), best AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
 )
