@@ -70,5 +70,10 @@ def batch_count(start: dt.date, end: dt.date, batch_days: int = DEFAULT_BATCH_DA
 
 
 def pending(planned: DataFrame, existing: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """Planned rows whose output is not there yet; all of them when forced."""
-    return planned if force else planned.join(existing.select(key).distinct(), key, "left_anti")
+    """Planned rows whose output is not there yet; all of them when forced.
+
+    The names of files that are there go to every task. They are no more than a listing of the
+    files, which a driver holds anyway; the planned rows may be whole documents, which a join
+    by name would shuffle, and those of a large file into one task.
+    """
+    return planned if force else planned.join(F.broadcast(existing.select(key).distinct()), key, "left_anti")
