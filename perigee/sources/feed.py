@@ -15,15 +15,14 @@ from ..functions.hazard import classify_hazard
 from ..functions.ids import (
     APPROACH_NAMESPACE,
     ASTEROID_NAMESPACE,
-    approach_id,
     approach_name,
-    asteroid_id,
     digest_uuid,
     name_digest,
 )
 from ..functions.numbers import is_finite, lenient_double
 from ..functions.once import evaluate_once
 from .batches import batch_file
+from .listing import write_lines
 
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
@@ -77,13 +76,7 @@ def land(documents: DataFrame, folder: str, overwrite: bool = False) -> None:
     Rows stay where they are: no shuffle, so a heavy batch is written by many tasks.
     """
     one_line = F.regexp_replace("document", r"[\r\n]+", " ").alias("value")
-    (
-        documents.select(one_line, "batch_start", "batch_end")
-        .write.mode("overwrite" if overwrite else "append")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_start", "batch_end")
-        .text(folder)
-    )
+    write_lines(documents.select(one_line, "batch_start", "batch_end"), folder, ["batch_start", "batch_end"], overwrite)
 
 
 def to_date_strict(text: Column) -> Column:
@@ -303,26 +296,43 @@ def average_diameter() -> Column:
 
 def asteroid_rows(objects: DataFrame, now: Column) -> DataFrame:
     """One asteroid row per listed object, duplicates included."""
-    identifier = asteroid_id(F.col("neo")["neo_reference_id"])
-    flat = objects.select("source_file", "feed_date", "position", *_asteroid_fields(F.col("neo"), now, identifier))
+    neo = F.col("neo")
+    own = {name: F.col(name) for name in _OBJECT_FIELDS if name != "rest"}
+    hashed = evaluate_once(
+        objects.select("source_file", "feed_date", "position", *[neo[name].alias(name) for name in own]),
+        digest=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")),
+    )
+    flat = hashed.select(
+        "source_file", "feed_date", "position", *_asteroid_fields(own, now, digest_uuid(F.col("digest")))
+    )
     return flat.select("*", average_diameter())
 
 
 def approach_rows(objects: DataFrame, now: Column) -> DataFrame:
-    """One row per close approach; an object without any yields none."""
-    each = objects.select(
-        "source_file",
-        "feed_date",
-        "position",
-        "neo",
-        F.posexplode("neo.approaches").alias("approach_position", "item"),
+    """One row per close approach; an object without any yields none.
+
+    Both hashes are made once: an identifier is cut from six parts of its own, and without
+    this each would hash again. That of the object is made before its approaches are listed.
+    """
+    neo = F.col("neo")
+    needed = {
+        "neo_reference_id": neo["neo_reference_id"],
+        "estimated_diameter_max_km": neo["estimated_diameter_max_km"],
+        "is_potentially_hazardous": neo["is_potentially_hazardous"],
+    }
+    place = ["source_file", "feed_date", "position"]
+    listed = evaluate_once(
+        objects.select(*place, *[value.alias(name) for name, value in needed.items()], neo["approaches"].alias("approaches")),
+        parent=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")),
     )
-    neo, item = F.col("neo"), F.col("item")
-    reference = neo["neo_reference_id"]
-    ids = approach_id(reference, item["epoch_date_close_approach"]), asteroid_id(reference)
-    return each.select(
-        "source_file", "feed_date", "position", "approach_position", *_approach_fields(item, hazard_of(neo, item), now, *ids)
+    each = listed.select(
+        *place, *needed, "parent", F.posexplode("approaches").alias("approach_position", "item")
     )
+    item, own = F.col("item"), {name: F.col(name) for name in needed}
+    name = approach_name(F.col("neo_reference_id"), item["epoch_date_close_approach"])
+    hashed = evaluate_once(each, digest=name_digest(APPROACH_NAMESPACE, name))
+    ids = digest_uuid(F.col("digest")), digest_uuid(F.col("parent"))
+    return hashed.select(*place, "approach_position", *_approach_fields(item, hazard_of(own, item), now, *ids))
 
 
 def records(objects: DataFrame, now: Column) -> DataFrame:

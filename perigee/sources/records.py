@@ -14,7 +14,7 @@ from ..functions.hazard import HAZARD_CLASSES
 from ..functions.numbers import is_finite
 from ..functions.once import evaluate_once
 from .feed import JSON_OPTIONS, average_diameter, to_date_strict
-from .listing import files
+from .listing import files, write_lines
 
 UUID_PATTERN = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 INSTANT_PATTERN = (
@@ -80,12 +80,7 @@ def write_records(
     if without is not None:
         blank = without.select(transformed_name(F.col("source_file")).alias("source_file"), F.lit("").alias("value"))
         lines = lines.unionByName(blank)
-    (
-        lines.write.mode("overwrite" if overwrite else "append")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source_file")
-        .text(folder)
-    )
+    write_lines(lines, folder, ["source_file"], overwrite)
 
 
 def _instant(text: Column) -> Column:
