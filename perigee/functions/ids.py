@@ -14,7 +14,7 @@ APPROACH_NAMESPACE = "7cb8c921-aebe-22e2-91c5-11d15fe541d9"
 def name_digest(namespace: str, name: Column) -> Column:
     """The hash a version-5 UUID is cut from, as 40 hex digits."""
     seed = F.unhex(F.lit(namespace.replace("-", "")))
-    return F.sha1(F.concat(seed, F.encode(name, "UTF-8")))
+    return F.sha1(F.concat(seed, name.cast("binary")))
 
 
 def digest_uuid(digest: Column) -> Column:

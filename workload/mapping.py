@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perigee.functions.hazard import classify_hazard
 from perigee.functions.ids import alert_id, asteroid_id, ledger_id, with_identifiers
+from perigee.functions.numbers import is_finite
+from perigee.functions.once import evaluate_once
 from perigee.operators.shape import keep_first
 from perigee.session import prepare
 from perigee.sources.feed import average_diameter
@@ -249,10 +251,33 @@ def week_start(date: Column) -> Column:
 
 def _spread(rows: DataFrame) -> DataFrame:
     """Rows dealt out evenly: a document is some forty times as large as its row and far
-    dearer to make and parse than to move."""
+    dearer to make and parse than to move. Nothing may shuffle them after this, as adaptive
+    execution would put the small rows of many documents into few tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def _json_text(value: Column) -> Column:
+    """Text as a JSON string, escaped as `to_json` does."""
+    held = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNotNull(), F.substr(held, F.lit(6), F.length(held) - F.lit(6)))
+
+
+def _json_number(value: Column) -> Column:
+    text = value.cast("string")
+    return F.when(is_finite(value), text).otherwise(_quoted(text))
+
+
+def _json_object(**fields: Column) -> Column:
+    """An object of fields that are JSON already; NULL ones are left out, as by `to_json`, which
+    would take the values of a whole document apart and print equal ones again and again."""
+    given = [F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *given), F.lit("}"))
+
+
 def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> DataFrame:
     """One feed document per line item, in the file of its week. A lean one lists nothing but the
     object of the line item with its first approach.
@@ -262,78 +287,93 @@ def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> Data
     data, so no day or object can grow one document without bound. Every other document
     carries its velocities as JSON numbers instead of text.
     """
-    rows = with_part(
-        _spread(sightings(spark, folder)),
-        table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"),
+    rows = _spread(
+        with_part(
+            sightings(spark, folder),
+            table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"),
+        )
     )
     ref = reference("l_partkey")
     miss_au = F.col("l_discount") + F.col("l_tax")
     text = lambda value: value.cast("string")
-
-    def diameters(low: Column, high: Column) -> Column:
-        span = F.struct(low.alias("estimated_diameter_min"), high.alias("estimated_diameter_max"))
-        return F.struct(*[span.alias(unit) for unit in ("kilometers", "meters", "miles", "feet")])
+    # Every step is a generator of its own: in one expression the code made for a whole document
+    # is longer than what the JVM compiles.
+    mark = F.when(F.col("l_orderkey") % 2 == 0, F.lit("")).otherwise(F.lit('"'))
+    speed = lambda factor: F.concat(mark, text(F.col("l_quantity") * F.lit(factor)), mark)
+    span = lambda low, high: _json_object(
+        estimated_diameter_min=_json_number(low), estimated_diameter_max=_json_number(high)
+    )
+    dated = F.coalesce(text(F.col("close_date")), F.raise_error(F.lit("a line item has no ship date")).cast("string"))
+    rows = evaluate_once(
+        rows,
+        ref=ref,
+        span=span(_diameter(160.0), _diameter(80.0)),
+        magnitude=_json_number(F.col("p_retailprice") / F.lit(50.0)),
+        sentry=text(F.col("p_partkey") % 17 == 0),
+        velocity=_json_object(
+            kilometers_per_second=speed(0.5), kilometers_per_hour=speed(1800.0), miles_per_hour=speed(1118.0)
+        ),
+        distance=_json_object(
+            astronomical=_quoted(text(miss_au)),
+            lunar=_quoted(text(miss_au * F.lit(LD_PER_AU))),
+            kilometers=_quoted(text(miss_au * F.lit(KM_PER_AU))),
+            miles=_quoted(text(miss_au * F.lit(92955807.0))),
+        ),
+    )
+    ref, supplier = F.col("ref"), text(F.col("l_suppkey"))
 
     def approach(days: int) -> Column:
         date = F.date_add("close_date", days)
-        return F.struct(
-            date.cast("string").alias("close_approach_date"),
-            F.date_format(date, "yyyy-MMM-dd HH:mm").alias("close_approach_date_full"),
-            (F.col("epoch_ms") + F.lit(days * 86400000)).alias("epoch_date_close_approach"),
-            F.struct(
-                text(F.col("l_quantity") * F.lit(0.5)).alias("kilometers_per_second"),
-                text(F.col("l_quantity") * F.lit(1800.0)).alias("kilometers_per_hour"),
-                text(F.col("l_quantity") * F.lit(1118.0)).alias("miles_per_hour"),
-            ).alias("relative_velocity"),
-            F.struct(
-                text(miss_au).alias("astronomical"),
-                text(miss_au * F.lit(LD_PER_AU)).alias("lunar"),
-                text(miss_au * F.lit(KM_PER_AU)).alias("kilometers"),
-                text(miss_au * F.lit(92955807.0)).alias("miles"),
-            ).alias("miss_distance"),
-            F.lit("Earth").alias("orbiting_body"),
+        return _json_object(
+            close_approach_date=_quoted(text(date)),
+            close_approach_date_full=_quoted(F.date_format(date, "yyyy-MMM-dd HH:mm")),
+            epoch_date_close_approach=text(F.col("epoch_ms") + F.lit(days * 86400000)),
+            relative_velocity=F.col("velocity"),
+            miss_distance=F.col("distance"),
+            orbiting_body=F.lit('"Earth"'),
         )
 
-    def neo(key: Column, name: Column, diameter: Column, pha: Column, items: Column) -> Column:
-        return F.struct(
-            F.struct(F.concat(F.lit("neo/"), key).alias("self")).alias("links"),
-            key.alias("id"),
-            key.alias("neo_reference_id"),
-            name.alias("name"),
-            F.concat(F.lit("sbdb/"), key).alias("nasa_jpl_url"),
-            (F.col("p_retailprice") / F.lit(50.0)).alias("absolute_magnitude_h"),
-            diameter.alias("estimated_diameter"),
-            pha.alias("is_potentially_hazardous_asteroid"),
-            items.alias("close_approach_data"),
-            (F.col("p_partkey") % 17 == 0).alias("is_sentry_object"),
+    def neo(key: Column, name: Column, diameter: Column, pha: Column, items: list[str]) -> Column:
+        return _json_object(
+            links=_json_object(self=_quoted(F.concat(F.lit("neo/"), key))),
+            id=_quoted(key),
+            neo_reference_id=_quoted(key),
+            name=name,
+            nasa_jpl_url=_quoted(F.concat(F.lit("sbdb/"), key)),
+            absolute_magnitude_h=F.col("magnitude"),
+            estimated_diameter=diameter,
+            is_potentially_hazardous_asteroid=text(pha),
+            close_approach_data=F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]")),
+            is_sentry_object=F.col("sentry"),
         )
 
-    seen = neo(
-        ref,
-        F.concat("p_name", F.lit(" "), ref),
-        diameters(_diameter(160.0), _diameter(80.0)),
-        F.col("p_partkey") % 5 == 0,
-        F.array(approach(0)) if lean else F.array(approach(0), approach(1)),
+    wide = lambda size: _json_object(**{unit: size for unit in ("kilometers", "meters", "miles", "feet")})
+    rows = evaluate_once(
+        rows,
+        first=approach(0),
+        wide=wide(F.col("span")),
+        title=_json_text(F.concat("p_name", F.lit(" "), ref)),
     )
-    unseen = neo(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
-        F.concat(F.lit("quiet "), F.col("l_suppkey").cast("string")),
-        diameters(F.lit(0.25), F.lit(0.5)),
-        F.lit(False),
-        F.filter(F.array(approach(0)), lambda item: F.lit(False)),
-    )
-    document = F.to_json(
-        F.struct(
-            F.struct(F.concat(F.lit("feed/"), ref).alias("self")).alias("links"),
-            F.lit(1 if lean else 2).alias("element_count"),
-            F.create_map(
-                F.col("close_date").cast("string"),
-                F.array(seen),
-                *([] if lean else [F.date_add("close_date", 1).cast("string"), F.array(unseen)]),
-            ).alias("near_earth_objects"),
+    items = ["first"]
+    if not lean:
+        rows = evaluate_once(rows, second=approach(1))
+        items.append("second")
+    rows = evaluate_once(rows, seen=neo(ref, F.col("title"), F.col("wide"), F.col("p_partkey") % 5 == 0, items))
+    if not lean:
+        quiet = wide(F.lit('{"estimated_diameter_min":0.25,"estimated_diameter_max":0.5}'))
+        unseen = neo(
+            F.concat(F.lit("S"), supplier), _quoted(F.concat(F.lit("quiet "), supplier)), quiet, F.lit(False), []
         )
+        rows = evaluate_once(rows, unseen=unseen)
+    listed = lambda day, item: F.concat(_quoted(day), F.lit(":["), item, F.lit("]"))
+    days = [listed(dated, F.col("seen"))]
+    if not lean:
+        days.append(listed(text(F.date_add("close_date", 1)), F.col("unseen")))
+    document = _json_object(
+        links=_json_object(self=_quoted(F.concat(F.lit("feed/"), ref))),
+        element_count=F.lit("1" if lean else "2"),
+        near_earth_objects=F.concat(F.lit("{"), F.concat_ws(",", *days), F.lit("}")),
     )
-    as_numbers = F.regexp_replace(document, r'(_per_(?:second|hour))":"([^"]*)"', r'$1":$2')
     begin = week_start(F.col("close_date"))
     name = F.concat(
         F.lit("asteroids_"),
@@ -342,7 +382,4 @@ def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> Data
         F.date_format(F.date_add(begin, 6), "yyyyMMdd"),
         F.lit(".json"),
     )
-    return rows.select(
-        name.alias("source_file"),
-        F.when(F.col("l_orderkey") % 2 == 0, as_numbers).otherwise(document).alias("document"),
-    )
+    return rows.select(name.alias("source_file"), document.alias("document"))
