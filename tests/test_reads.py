@@ -220,3 +220,12 @@ def test_runs(spark):
     assert reads.last_run(runs).first()[0] == int(
         dt.datetime(2024, 2, 1, 23, tzinfo=dt.timezone.utc).timestamp())
     assert reads.last_run(runs.filter("status = 'failed'")).first()[0] is None
+
+
+def test_ranks_move_no_keys_and_let_filters_by_them_move(data):
+    """A filter by a plan that is not deterministic stays above joins and groupings."""
+    ap, *_ = data
+    order = [("close_approach_date", True), ("id", False)]
+    for near in (None, 1980):
+        plan = paging.rank_histogram(ap, order, near)._jdf.queryExecution().optimizedPlan()
+        assert plan.deterministic() and "RepartitionByExpression" not in plan.toString()
