@@ -1,13 +1,15 @@
 """What keeps the cost of feed documents in proportion to their number."""
 
 import datetime as dt
+import json
 
 from feeds import approach, documents, feed, neo
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from perigee.plans import transform
+from perigee.plans import load, transform
 from perigee.sources import batches, records
 from perigee.sources import feed as source
+from perigee.streaming import loading
 from workload import mapping
 
 
@@ -84,3 +86,42 @@ def test_documents_leave_out_nulls_and_escape_names(spark, tmp_path):
     assert '"kilometers_per_second":22.0' in bare  # even orders carry numbers
     assert any('"relative_velocity":{}' in r["document"] for r in made)
     assert any('"kilometers_per_second":"5.0"' in r["document"] for r in made)
+
+
+def _streamed(spark, tmp_path, docs):
+    lines = str(tmp_path / "records")
+    records.write_records(transform.transform_feed(docs, dt.datetime(2024, 1, 1)), lines)
+    return loading.load_stream(spark, lines, str(tmp_path / "tables"), str(tmp_path / "checkpoint"))
+
+
+def test_transforms_and_loads_keep_no_decoded_frames(spark, tmp_path, monkeypatch):
+    raw, out, root = tmp_path / "raw", str(tmp_path / "records"), tmp_path / "tables"
+    raw.mkdir()
+    for name, text in {"a": json.dumps(feed()), "b": json.dumps(feed({})), "c": '{"links": 1}', "d": ""}.items():
+        (raw / f"{name}.json").write_text(text)
+
+    def fail(*_):
+        raise AssertionError("a frame is kept")
+
+    monkeypatch.setattr(DataFrame, "persist", fail)
+    read = transform.run_transform(spark, str(raw), out, dt.datetime(2024, 1, 1), strict=False, rejects=str(tmp_path / "rejects"))
+    assert {r["source_file"]: r["rejected_documents"] for r in read.collect()} == {
+        "a.json": 0, "b.json": 0, "c.json": 1, "d.json": 1}
+    lines = records.decode_records(records.scan_record_partitions(spark, out)).collect()
+    assert sorted((r["source_file"], r["state"]) for r in lines) == [
+        ("a_transformed.json", "valid"), ("b_transformed.json", "blank")]
+    assert tuple(load.run_load(spark, out, str(root)).first()) == (1, 0, 1, 1, 0)
+    assert {p.name for p in root.iterdir()} == {"asteroids", "approaches", "etl_events", "_counted"}
+
+
+def test_a_stream_does_not_shuffle_its_lines(spark, tmp_path, monkeypatch):
+    plans, key = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(loading, "commit", lambda spark, root, files, lines, *_: plans.append(plan_of(lines)))
+    spark.conf.set(key, "-1")
+    try:
+        _streamed(spark, tmp_path, documents(spark, feed())).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    # what is below are the names of files, which are joined as they like
+    assert len(plans) == 1 and plans[0].split("\n")[1].startswith("+- BroadcastHashJoin")
