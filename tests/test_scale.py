@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from feeds import approach, documents, feed, neo
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from perigee.plans import load, transform
 from perigee.sources import batches, records
@@ -103,7 +103,7 @@ def test_transforms_and_loads_keep_no_decoded_frames(spark, tmp_path, monkeypatc
     def fail(*_):
         raise AssertionError("a frame is kept")
 
-    monkeypatch.setattr(DataFrame, "persist", fail)
+    monkeypatch.setattr(type(spark.range(1)), "persist", fail)
     read = transform.run_transform(spark, str(raw), out, dt.datetime(2024, 1, 1), strict=False, rejects=str(tmp_path / "rejects"))
     assert {r["source_file"]: r["rejected_documents"] for r in read.collect()} == {
         "a.json": 0, "b.json": 0, "c.json": 1, "d.json": 1}
