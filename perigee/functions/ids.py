@@ -9,6 +9,7 @@ from .once import evaluate_once
 # The namespaces every stored identifier is derived from.
 ASTEROID_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 APPROACH_NAMESPACE = "7cb8c921-aebe-22e2-91c5-11d15fe541d9"
+PACKABLE = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
 
 def name_digest(namespace: str, name: Column) -> Column:
@@ -39,6 +40,23 @@ def uuid5(namespace: str, name: Column) -> Column:
     return digest_uuid(name_digest(namespace, name))
 
 
+def packed_uuid(text: Column) -> Column:
+    """A lower-case UUID as 16 bytes after a zero byte, any other text as its own after a one."""
+    digits = F.unhex(F.replace(text, F.lit("-"), F.lit("")))
+    return F.when(text.rlike(PACKABLE), F.concat(F.unhex(F.lit("00")), digits)).otherwise(
+        F.concat(F.unhex(F.lit("01")), text.cast("binary"))
+    )
+
+
+def unpacked_uuid(packed: Column) -> Column:
+    """The text that `packed_uuid` was given."""
+    rest = F.substring(packed, 2, 2147483647)
+    digits = F.lower(F.hex(rest))
+    parts = [F.substring(digits, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    is_uuid = F.substring(packed, 1, 1) == F.unhex(F.lit("00"))
+    return F.when(is_uuid, F.concat_ws("-", *parts)).otherwise(rest.cast("string"))
+
+
 def approach_name(neo_reference_id: Column, epoch_ms: Column) -> Column:
     return F.concat(neo_reference_id, F.lit(":"), epoch_ms.cast("string"))
 

@@ -6,8 +6,11 @@ what the incoming rows can meet, as `plans.load` does by partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ids import packed_uuid, unpacked_uuid
 from ..sources.feed import average_diameter
 from .shape import keep_first
 
@@ -71,13 +74,31 @@ def _with_average(asteroids: DataFrame) -> DataFrame:
 
 
 def new_approaches(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
-    """Rows to append: first per key, and not in the table yet."""
-    return _without_known(first_approaches(incoming, order), existing, APPROACH_KEY)
-
+    """Rows to append: first per key, and not in the table yet.
+
+    Of all that is moved here the identifier is most, as its digits do not compress: it is
+    packed on the way.
+    """
+    packed = lambda rows: rows.withColumn("asteroid_id", packed_uuid(F.col("asteroid_id")))
+    first = first_approaches(packed(incoming), order)
+    added = _without_known(first, packed(existing.select(*APPROACH_KEY)), APPROACH_KEY)
+    return added.withColumn("asteroid_id", unpacked_uuid(F.col("asteroid_id"))).select(*incoming.columns)
+
+
+def upsert_approaches(
+    existing: DataFrame,
+    incoming: DataFrame,
+    order: list[str],
+    complete: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The whole table after the merge: a stored row always wins over an incoming one.
 
-def upsert_approaches(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
-    """The whole table after the merge: a stored row always wins over an incoming one."""
+    All incoming rows are moved to choose those to add. With `complete`, which makes whole rows
+    of the chosen ones, they need no columns but the key, `order` and what the others come from.
+    """
     added = new_approaches(existing, incoming, order)
+    if complete is not None:
+        added = complete(added)
     return existing.unionByName(added.select(*existing.columns))
 
 

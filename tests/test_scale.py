@@ -6,11 +6,12 @@ import json
 from feeds import approach, documents, feed, neo
 from pyspark.sql import functions as F
 
+from perigee.functions import ids
 from perigee.plans import load, transform
 from perigee.sources import batches, records
 from perigee.sources import feed as source
 from perigee.streaming import loading
-from workload import mapping
+from workload import mapping, queries
 
 
 def plan_of(df):
@@ -125,3 +126,48 @@ def test_a_stream_does_not_shuffle_its_lines(spark, tmp_path, monkeypatch):
         spark.conf.set(key, before)
     # what is below are the names of files, which are joined as they like
     assert len(plans) == 1 and plans[0].split("\n")[1].startswith("+- BroadcastHashJoin")
+
+
+def test_packed_identifiers_come_back(spark):
+    uuid = "0f8fad5b-d9cb-569f-a165-70867728950e"
+    texts = [uuid, uuid.upper(), uuid + "\n", uuid[1:], "a", "", "\x00" * 16, "é" * 8, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.packed_uuid(F.col("t")).alias("p"))
+    rows = frame.select("t", "p", ids.unpacked_uuid(F.col("p")).alias("back")).collect()
+    assert [r["back"] for r in rows] == texts
+    assert len(rows[0]["p"]) == 17 and len({r["p"] for r in rows}) == len(texts)
+
+
+def test_incoming_sightings_meet_their_part_after_they_are_chosen(spark, tmp_path):
+    """Columns that only rows to add need are not moved for all that come in."""
+    day = lambda d: dt.datetime(1998, 1, d)
+    lines = [  # the copies of one key differ in their distance only, those of another in their order
+        (4, 1, 8, 5, 44.0, 0.03, 0.0, day(2)), (4, 1, 8, 5, 44.0, 0.0, 0.02, day(2)),
+        (3, 2, 8, 5, 10.0, 0.5, 0.0, day(3)), (3, 1, 8, 5, 44.0, 0.5, 0.0, day(3)), (3, 3, 8, 5, None, None, 0.0, day(3)),
+        (1, 1, 9, 5, 44.0, 0.0, 0.0, day(2)), (2, 1, None, 5, 44.0, 0.0, 0.0, day(2)),
+        (5, 1, 10, 5, 44.0, 0.01, 0.0, dt.datetime(1996, 5, 1)), (5, 1, 10, 6, 44.0, 0.01, 0.0, day(4)),
+    ]
+    spark.createDataFrame(
+        lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(8, 1), (10, 80)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        merged = queries.REGISTRY["upsert_approaches"](spark, str(tmp_path))
+        plan = plan_of(merged)
+    finally:
+        spark.conf.set(key, before)
+    assert -1 < plan.index("Inner") < plan.index("LeftAnti")
+    rows = {(r["close_approach_date"], r["velocity_km_per_h"], r["miss_distance_astronomical"], r["hazard_classification"])
+            for r in merged.collect()}
+    assert rows == {
+        ("1998-01-02", 79200.0, 0.02, "High"), ("1998-01-03", 79200.0, 0.5, "Medium"),
+        ("1996-05-01", 79200.0, 0.01, "Low"), ("1998-01-04", 79200.0, 0.01, "Critical"),
+    }
+    got = merged.select("id", "asteroid_id", "epoch_date_close_approach")
+    wanted = got.select(
+        ids.approach_id(ref := F.when(F.col("epoch_date_close_approach").isin(883699200000, 883785600000), "8").otherwise("10"),
+                        F.col("epoch_date_close_approach")),
+        ids.asteroid_id(ref), "epoch_date_close_approach")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))

@@ -89,8 +89,14 @@ def _with_ids(rows: DataFrame) -> DataFrame:
     return with_identifiers(rows, reference("l_partkey"), F.col("epoch_ms"))
 
 
-def approach_columns(hazard: Column | None = None, ids: bool = True) -> list[Column]:
-    miss_au = F.col("l_discount") + F.col("l_tax")
+def _miss_au() -> Column:
+    return F.col("l_discount") + F.col("l_tax")
+
+
+def approach_columns(
+    hazard: Column | None = None, ids: bool = True, miss_au: Column | None = None
+) -> list[Column]:
+    miss_au = _miss_au() if miss_au is None else miss_au
     columns = [
         F.col("close_date").alias("close_approach_date"),
         F.col("epoch_ms").alias("epoch_date_close_approach"),
@@ -109,16 +115,33 @@ def approach_columns(hazard: Column | None = None, ids: bool = True) -> list[Col
     return (["id", "asteroid_id"] if ids else []) + columns
 
 
-def incoming_approaches(rows: DataFrame) -> DataFrame:
-    """Sightings joined with their part as rows to merge, with the columns that order them."""
-    return _with_ids(rows).select(*approach_columns(hazard_of_sighting()), *SIGHTING_ORDER)
+def incoming_sightings(rows: DataFrame) -> DataFrame:
+    """Sightings as rows to merge: the key of an approach, the columns that order them and what
+    `whole_approaches` makes the others from. The distance comes first of those that break ties."""
+    return with_identifiers(rows, reference("l_partkey")).select(
+        "asteroid_id",
+        F.col("epoch_ms").alias("epoch_date_close_approach"),
+        *SIGHTING_ORDER,
+        _miss_au().alias("miss_au"),
+        "close_date",
+        "l_partkey",
+    )
+
+
+def whole_approaches(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Approach rows of incoming sightings; one whose part is not there yields none."""
+    known = with_part(
+        rows.drop("asteroid_id").withColumnRenamed("epoch_date_close_approach", "epoch_ms"), part
+    )
+    miss_au = F.col("miss_au")
+    return _with_ids(known).select(*approach_columns(hazard_of_sighting(miss_au), miss_au=miss_au))
 
 
-def hazard_of_sighting() -> Column:
+def hazard_of_sighting(miss_au: Column | None = None) -> Column:
     return classify_hazard(
         _diameter(80.0),
         F.col("l_quantity") * F.lit(0.5),
-        F.col("l_discount") + F.col("l_tax"),
+        _miss_au() if miss_au is None else miss_au,
         F.col("p_partkey") % 5 == 0,
     )
 

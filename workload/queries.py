@@ -505,10 +505,13 @@ def _(spark, folder):
 def _(spark, folder):
     """Stored: approaches before 1997, all of them classed Low. Incoming: every line item."""
     existing = _stored(spark, folder).withColumn("hazard_classification", F.lit("Low"))
-    lines = m.with_part(
-        m.sightings(spark, folder), m.table(spark, folder, "part").select("p_partkey", "p_size")
+    part = m.table(spark, folder, "part").select("p_partkey", "p_size")
+    merged = merge.upsert_approaches(
+        existing,
+        m.incoming_sightings(m.sightings(spark, folder)),
+        m.SIGHTING_ORDER,
+        lambda rows: m.whole_approaches(rows, part),
     )
-    merged = merge.upsert_approaches(existing, m.incoming_approaches(lines), m.SIGHTING_ORDER)
     return merged.drop("orbiting_body", "velocity_km_per_s")
 
 
