@@ -149,7 +149,7 @@ def test_incoming_sightings_meet_their_part_after_they_are_chosen(spark, tmp_pat
     spark.createDataFrame(
         lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(8, 1), (10, 80)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(8, 1), (8, None), (10, 20), (10, 80), (10, 80)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")

@@ -38,8 +38,9 @@ def reference(partkey: str) -> Column:
     return F.col(partkey).cast("string")
 
 
-def _diameter(divisor: float) -> Column:
-    return F.col("p_size").cast("double") / F.lit(divisor)
+def _diameter(divisor: float, size: Column | None = None) -> Column:
+    size = F.col("p_size") if size is None else size
+    return size.cast("double") / F.lit(divisor)
 
 
 def asteroids_from(part: DataFrame) -> DataFrame:
@@ -129,17 +130,20 @@ def incoming_sightings(rows: DataFrame) -> DataFrame:
 
 
 def whole_approaches(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """Approach rows of incoming sightings; one whose part is not there yields none."""
+    """Approach rows of incoming sightings; one whose part is not there yields none, and of copies
+    of a part the first class by name counts."""
+    sizes = part.groupBy("p_partkey").agg(F.collect_set(F.struct("p_size")).alias("sizes"))
     known = with_part(
-        rows.drop("asteroid_id").withColumnRenamed("epoch_date_close_approach", "epoch_ms"), part
+        rows.drop("asteroid_id").withColumnRenamed("epoch_date_close_approach", "epoch_ms"), sizes
     )
     miss_au = F.col("miss_au")
-    return _with_ids(known).select(*approach_columns(hazard_of_sighting(miss_au), miss_au=miss_au))
+    classes = F.transform("sizes", lambda copy: hazard_of_sighting(copy["p_size"], miss_au))
+    return _with_ids(known).select(*approach_columns(F.array_min(classes), miss_au=miss_au))
 
 
-def hazard_of_sighting(miss_au: Column | None = None) -> Column:
+def hazard_of_sighting(size: Column | None = None, miss_au: Column | None = None) -> Column:
     return classify_hazard(
-        _diameter(80.0),
+        _diameter(80.0, size),
         F.col("l_quantity") * F.lit(0.5),
         _miss_au() if miss_au is None else miss_au,
         F.col("p_partkey") % 5 == 0,
