@@ -171,3 +171,16 @@ def test_incoming_sightings_meet_their_part_after_they_are_chosen(spark, tmp_pat
                         F.col("epoch_date_close_approach")),
         ids.asteroid_id(ref), "epoch_date_close_approach")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_parsed_documents_and_lines_are_not_copied_between_steps(spark):
+    docs = documents(spark, feed(), feed({"2024-01-02": [neo("B", approaches=[])]}), "{ broken", "")
+    decoded = source.decode_feed(docs)
+    assert plan_of(decoded).count("Generate inline") == 1
+    assert [r["decode_error"] is None for r in decoded.orderBy("source_file").collect()] == [True, True, False, False]
+    line = records.encode_records(transform.transform_feed(documents(spark, feed()))).first()["value"]
+    texts = {"valid": [line, f" \t{line}", f"{line}\r\n"], "blank": ["", " \t\x0b"],
+             "malformed": [line[:-1], f"{line[:-1]},1]", "[]", "]", "[", f" {line}"]}
+    lines = spark.createDataFrame([(state, text) for state, each in texts.items() for text in each], "source_file string, value string")
+    assert plan_of(records.decode_records(lines)).count("Generate inline") == 1
+    assert all(r["state"] == r["source_file"] for r in records.decode_records(lines).collect())
