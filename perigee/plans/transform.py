@@ -35,8 +35,10 @@ def transform_summary(
     todo = pending(documents, done, "source_file")
     objects = feed.feed_objects(feed.valid_feeds(feed.decode_feed(todo), strict))
     neo = F.col("neo")
+    own = feed.object_values(neo)
     classed = evaluate_once(
-        objects.select("neo"), classes=F.transform(neo["approaches"], lambda item: feed.hazard_of(neo, item))
+        objects.select("neo"),
+        classes=F.transform(neo["close_approach_data"], lambda item: feed.hazard_of(own, feed.item_values(item))),
     )
     of_class = lambda name: F.sum(F.size(F.filter("classes", lambda held: held == name)))
     totals = classed.agg(

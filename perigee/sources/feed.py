@@ -20,7 +20,7 @@ from ..functions.ids import (
     name_digest,
 )
 from ..functions.numbers import is_finite, lenient_double
-from ..functions.once import evaluate_in_steps, evaluate_once
+from ..functions.once import evaluate_once
 from .batches import batch_file
 from .listing import write_lines
 
@@ -100,78 +100,94 @@ def _every(array: Column, check) -> Column:
     return F.coalesce(array.isNotNull() & passes, F.lit(False))
 
 
-def _typed_item(item: Column) -> Column:
-    """A close approach with its numbers parsed; what is missing or wrong is NULL. `rest` says
-    whether the required fields that are not kept are there."""
-    velocity, distance = item["relative_velocity"], item["miss_distance"]
-    rest = [item["close_approach_date_full"], lenient_double(velocity["miles_per_hour"]), lenient_double(distance["miles"])]
-    return F.struct(
-        to_date_strict(item["close_approach_date"]).alias("close_approach_date"),
-        item["epoch_date_close_approach"].alias("epoch_date_close_approach"),
-        lenient_double(velocity["kilometers_per_second"]).alias("velocity_km_per_s"),
-        lenient_double(velocity["kilometers_per_hour"]).alias("velocity_km_per_h"),
-        lenient_double(distance["kilometers"]).alias("miss_distance_km"),
-        lenient_double(distance["astronomical"]).alias("miss_distance_astronomical"),
-        lenient_double(distance["lunar"]).alias("miss_distance_lunar"),
-        item["orbiting_body"].alias("orbiting_body"),
-        F.nullif(_all(*[value.isNotNull() for value in rest]), F.lit(False)).alias("rest"),
-    )
+def _velocities(item: Column) -> list[Column]:
+    return [item["relative_velocity"][f"{unit}_per_{time}"] for unit, time in (("kilometers", "second"), ("kilometers", "hour"), ("miles", "hour"))]
 
 
-def _typed_object(neo: Column) -> Column:
-    """A listed object with its checked fields, in the same way."""
-    diameters = neo["estimated_diameter"]
-    km = diameters["kilometers"]
-    sizes = [diameters[unit][f"estimated_diameter_{end}"] for unit in ("meters", "miles", "feet") for end in ("min", "max")]
-    rest = _all(neo["links"]["self"].isNotNull(), neo["id"].isNotNull(), *[is_finite(size) for size in sizes])
-    finite = lambda value: F.when(is_finite(value), value)
-    return F.struct(
-        neo["neo_reference_id"].alias("neo_reference_id"),
-        neo["name"].alias("name"),
-        finite(neo["absolute_magnitude_h"]).alias("absolute_magnitude"),
-        finite(km["estimated_diameter_min"]).alias("estimated_diameter_min_km"),
-        finite(km["estimated_diameter_max"]).alias("estimated_diameter_max_km"),
-        neo["is_potentially_hazardous_asteroid"].alias("is_potentially_hazardous"),
-        neo["is_sentry_object"].alias("is_sentry_object"),
-        neo["nasa_jpl_url"].alias("nasa_jpl_url"),
-        F.nullif(F.coalesce(rest, F.lit(False)), F.lit(False)).alias("rest"),
-        F.transform(neo["close_approach_data"], _typed_item).alias("approaches"),
-    )
+def _distances(item: Column) -> list[Column]:
+    return [item["miss_distance"][unit] for unit in ("astronomical", "lunar", "kilometers", "miles")]
 
 
-_ITEM_FIELDS = (
-    "close_approach_date", "epoch_date_close_approach", "velocity_km_per_s", "velocity_km_per_h", "miss_distance_km",
-    "miss_distance_astronomical", "miss_distance_lunar", "orbiting_body", "rest",
-)
-_OBJECT_FIELDS = (
-    "neo_reference_id", "name", "absolute_magnitude", "estimated_diameter_min_km", "estimated_diameter_max_km",
-    "is_potentially_hazardous", "is_sentry_object", "nasa_jpl_url", "rest",
-)
+def _sizes(neo: Column) -> list[Column]:
+    spans = [neo["estimated_diameter"][unit] for unit in ("kilometers", "meters", "miles", "feet")]
+    return [neo["absolute_magnitude_h"], *[span[f"estimated_diameter_{end}"] for span in spans for end in ("min", "max")]]
+
+
+_OBJECT_TEXTS = ("id", "neo_reference_id", "name", "nasa_jpl_url")
+_FLAGS = ("is_potentially_hazardous_asteroid", "is_sentry_object")
+_ITEM_TEXTS = ("close_approach_date_full", "orbiting_body")
+
+
+def _item_ok(item: Column) -> Column:
+    numbers = [lenient_double(text).isNotNull() for text in _velocities(item) + _distances(item)]
+    day = to_date_strict(item["close_approach_date"]).isNotNull()
+    return _given(item, *_ITEM_TEXTS, "epoch_date_close_approach") & day & _all(*numbers)
 
 
 def _object_ok(neo: Column) -> Column:
-    return _given(neo, *_OBJECT_FIELDS) & _every(neo["approaches"], lambda item: _given(item, *_ITEM_FIELDS))
+    given = _given(neo, *_OBJECT_TEXTS, *_FLAGS) & neo["links"]["self"].isNotNull()
+    return given & _all(*[is_finite(size) for size in _sizes(neo)]) & _every(neo["close_approach_data"], _item_ok)
+
+
+def _let(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a value that is made once, whatever uses it, by code of its own: the JVM
+    compiles no long code."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _with_plain(parsed: DataFrame) -> DataFrame:
+    """Add `plain`, which is true only if all objects and approaches of a document pass `_object_ok` and
+    have their numbers in plain digits; else it says nothing. Lambdas are interpreted, node by node for
+    each object and approach, so they are left to the documents of which this does not know; arrays
+    of the values of a field are compiled.
+
+    `array_contains` of a value that is not there is false without NULLs, else NULL; where the
+    value is there, the answer is left to `_object_ok` too.
+    """
+    whole = lambda array, absent: ~F.array_contains(array, absent)
+    objects, items = F.col("objects"), F.col("items")
+    rows = _let(parsed, "objects", F.flatten(F.map_values(F.col("feed")["near_earth_objects"])))
+    rows = _let(rows, "items", F.flatten(objects["close_approach_data"]))
+    texts = [objects[name] for name in _OBJECT_TEXTS] + [objects["links"]["self"]] + [items[name] for name in _ITEM_TEXTS]
+    rows = _let(rows, "texts", F.concat(*texts, items["close_approach_date"]))
+    rows = _let(rows, "flags", F.concat(*[objects[name] for name in _FLAGS]).cast("array<int>"))
+    rows = _let(rows, "sizes", F.concat(*_sizes(objects)))
+    rows = _let(rows, "numbers", F.concat(*_velocities(items), *_distances(items)))
+    days, texts, sizes, numbers = items["close_approach_date"], F.col("texts"), F.col("sizes"), F.col("numbers")
+    given = whole(texts, "\0 absent \0") & whole(F.col("flags"), 2) & whole(items["epoch_date_close_approach"], -9223372036854775807)
+    finite = whole(sizes, float("inf")) & (F.array_max(sizes) < F.lit(float("inf"))) & (F.array_min(sizes) > F.lit(float("-inf")))
+    # of these characters alone, a cast takes the same texts as `lenient_double`
+    digits = whole(numbers, "\0 absent \0") & F.concat_ws("", numbers).rlike(r"^[0-9.eE+-]*\z")
+    # a text with a comma is no date to a cast
+    day = DATE_PATTERN.removeprefix("^").removesuffix(r"\z")
+    dated = F.concat_ws(",", days).rlike(rf"^({day}(,{day})*)?\z")
+    rows = _let(rows, "given", given & finite)
+    rows = _let(rows, "digits", digits & whole(numbers.try_cast("array<double>"), -4.9e-324))
+    rows = _let(rows, "dated", dated & whole(days.try_cast("array<date>"), F.lit("0001-01-01").cast("date")))
+    return rows.withColumn("plain", F.coalesce(F.col("given") & F.col("digits") & F.col("dated"), F.lit(False)))
 
 
 def decode_feed(documents: DataFrame) -> DataFrame:
     """Parse each document once and say in `decode_error` why it is unusable, if it is.
 
-    `days` has the listed objects by day, their numbers parsed once. The permissive parser
-    turns bad nested values into NULL without a word, so every required field is checked here.
+    `days` has the listed objects by day, as they were parsed. The permissive parser turns bad
+    nested values into NULL without a word, so every required field is checked here.
     """
-    day = lambda entry: F.struct(
-        entry["key"].alias("feed_date"), F.transform(entry["value"], _typed_object).alias("objects")
+    feed = F.col("feed")
+    head = F.ltrim("document").substr(1, 1).alias("head")
+    parsed = _let(
+        documents.select("source_file", "document", head), "feed", F.from_json("document", schemas.FEED, JSON_OPTIONS)
     )
-    typed = evaluate_in_steps(
-        documents.select("source_file", "document", F.ltrim("document").substr(1, 1).alias("head")),
-        F.from_json("document", schemas.FEED, JSON_OPTIONS),
-        lambda feed: F.struct(
-            feed.isNotNull().alias("parsed"),
-            feed["links"]["self"].isNotNull().alias("linked"),
-            feed["element_count"].alias("element_count"),
-            F.transform(F.map_entries(feed["near_earth_objects"]), day).alias("days"),
-        ),
+    # made together: a row that has no days is not to be left out below the check
+    checked = evaluate_once(
+        _with_plain(parsed.select("source_file", "head", "feed")).select("source_file", "head", "feed", "plain"),
+        parsed=feed.isNotNull(),
+        linked=feed["links"]["self"].isNotNull(),
+        element_count=feed["element_count"],
+        near=feed["near_earth_objects"],
+        usable=F.when(F.col("plain"), True),
     )
+    days = F.map_entries("near")
     error = (
         F.when(~F.col("parsed") | (F.col("head") != "{"), "not a JSON object")
         .when(~F.col("linked"), "links.self is missing")
@@ -179,13 +195,13 @@ def decode_feed(documents: DataFrame) -> DataFrame:
             ~F.coalesce(F.col("element_count").between(0, U32_MAX), F.lit(False)),
             "element_count is missing or no count",
         )
-        .when(F.col("days").isNull(), "near_earth_objects is missing")
+        .when(F.col("near").isNull(), "near_earth_objects is missing")
         .when(
-            ~_every(F.col("days"), lambda held: _every(held["objects"], _object_ok)),
+            ~F.coalesce("usable", _every(days, lambda held: _every(held["value"], _object_ok))),
             "an object lacks a required field or has one of the wrong type",
         )
     )
-    return typed.select("source_file", "element_count", "days", error.alias("decode_error"))
+    return checked.select("source_file", "element_count", days.alias("days"), error.alias("decode_error"))
 
 
 def rejects(decoded: DataFrame) -> DataFrame:
@@ -215,10 +231,10 @@ def feed_objects(
     held = F.col("days")
     if keep_empty:
         kind = feeds.schema["days"].dataType.elementType
-        nothing = F.struct(F.lit(None).cast("string").alias("feed_date"),
-                           F.array(F.lit(None).cast(kind["objects"].dataType.elementType)).alias("objects"))
+        nothing = F.struct(F.lit(None).cast("string").alias("key"),
+                           F.array(F.lit(None).cast(kind["value"].dataType.elementType)).alias("value"))
         held = F.when(listed(held) == 0, F.array(nothing)).otherwise(held)
-    days = feeds.select("source_file", F.inline(held))
+    days = feeds.select("source_file", F.inline(held).alias("feed_date", "objects"))
     day = to_date_strict(F.col("feed_date"))
     if start is not None:
         days = days.filter(day >= F.lit(start))
@@ -231,8 +247,7 @@ def feed_objects(
 
 def listed(days: Column) -> Column:
     """Objects of a document, without unfolding it."""
-    sizes = F.transform(days, lambda day: F.size(day["objects"]))
-    return F.aggregate(sizes, F.lit(0), lambda total, size: total + size).cast("bigint")
+    return F.size(F.flatten(days["value"])).cast("bigint")
 
 
 def object_counts(feeds: DataFrame) -> DataFrame:
@@ -244,7 +259,40 @@ def object_counts(feeds: DataFrame) -> DataFrame:
     ).withColumn("consistent", F.col("declared_count") == F.col("actual_count"))
 
 
-def hazard_of(neo: Column | dict[str, Column], item: Column) -> Column:
+def object_values(neo: Column) -> dict[str, Column]:
+    """Fields of an asteroid, of an object of a usable document."""
+    km = neo["estimated_diameter"]["kilometers"]
+    return {
+        "neo_reference_id": neo["neo_reference_id"],
+        "name": neo["name"],
+        "absolute_magnitude": neo["absolute_magnitude_h"],
+        "estimated_diameter_min_km": km["estimated_diameter_min"],
+        "estimated_diameter_max_km": km["estimated_diameter_max"],
+        "is_potentially_hazardous": neo["is_potentially_hazardous_asteroid"],
+        "is_sentry_object": neo["is_sentry_object"],
+        "nasa_jpl_url": neo["nasa_jpl_url"],
+    }
+
+
+def item_values(item: Column) -> dict[str, Column]:
+    """Fields of an approach, of one in a usable document: there a cast that finds a number or a
+    date is right, and only the spellings that it does not know are left."""
+    number = lambda text: F.coalesce(text.try_cast("double"), lenient_double(text))
+    per_second, per_hour, _ = _velocities(item)
+    astronomical, lunar, kilometers, _ = _distances(item)
+    return {
+        "close_approach_date": item["close_approach_date"].try_cast("date"),
+        "epoch_date_close_approach": item["epoch_date_close_approach"],
+        "velocity_km_per_s": number(per_second),
+        "velocity_km_per_h": number(per_hour),
+        "miss_distance_km": number(kilometers),
+        "miss_distance_astronomical": number(astronomical),
+        "miss_distance_lunar": number(lunar),
+        "orbiting_body": item["orbiting_body"],
+    }
+
+
+def hazard_of(neo: dict[str, Column], item: dict[str, Column]) -> Column:
     return classify_hazard(
         neo["estimated_diameter_max_km"],
         item["velocity_km_per_s"],
@@ -261,8 +309,7 @@ def merge_keys(objects: DataFrame) -> DataFrame:
         objects.select("source_file", "neo"), digest=name_digest(ASTEROID_NAMESPACE, neo["neo_reference_id"])
     )
     epochs = F.concat(
-        F.array(F.lit(None).cast("bigint")),
-        F.transform(neo["approaches"], lambda item: item["epoch_date_close_approach"]),
+        F.array(F.lit(None).cast("bigint")), neo["close_approach_data"]["epoch_date_close_approach"]
     )
     return hashed.select(
         "source_file",
@@ -272,13 +319,13 @@ def merge_keys(objects: DataFrame) -> DataFrame:
     )
 
 
-def _asteroid_fields(neo: Column | dict[str, Column], now: Column, identifier: Column) -> list[Column]:
-    kept = [neo[name].alias(name) for name in _OBJECT_FIELDS if name != "rest"]
+def _asteroid_fields(neo: dict[str, Column], now: Column, identifier: Column) -> list[Column]:
+    kept = [value.alias(name) for name, value in neo.items()]
     return [identifier.alias("id"), *kept, now.alias("created_at"), now.alias("updated_at")]
 
 
-def _approach_fields(item: Column, hazard: Column, now: Column, identifier: Column, parent: Column) -> list[Column]:
-    kept = [item[name].alias(name) for name in _ITEM_FIELDS if name != "rest"]
+def _approach_fields(item: dict[str, Column], hazard: Column, now: Column, identifier: Column, parent: Column) -> list[Column]:
+    kept = [value.alias(name) for name, value in item.items()]
     return [
         identifier.alias("id"),
         parent.alias("asteroid_id"),
@@ -294,18 +341,23 @@ def average_diameter() -> Column:
     return ((low + high) / F.lit(2.0)).alias("estimated_diameter_avg_km")
 
 
+def _flat_objects(objects: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Objects with their fields as columns, and these columns."""
+    values = object_values(F.col("neo"))
+    flat = objects.select(
+        "source_file", "feed_date", "position", *[value.alias(name) for name, value in (values | more).items()]
+    )
+    return flat, {name: F.col(name) for name in values}
+
+
 def asteroid_rows(objects: DataFrame, now: Column) -> DataFrame:
     """One asteroid row per listed object, duplicates included."""
-    neo = F.col("neo")
-    own = {name: F.col(name) for name in _OBJECT_FIELDS if name != "rest"}
-    hashed = evaluate_once(
-        objects.select("source_file", "feed_date", "position", *[neo[name].alias(name) for name in own]),
-        digest=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")),
-    )
-    flat = hashed.select(
+    flat, own = _flat_objects(objects)
+    hashed = evaluate_once(flat, digest=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")))
+    rows = hashed.select(
         "source_file", "feed_date", "position", *_asteroid_fields(own, now, digest_uuid(F.col("digest")))
     )
-    return flat.select("*", average_diameter())
+    return rows.select("*", average_diameter())
 
 
 def approach_rows(objects: DataFrame, now: Column) -> DataFrame:
@@ -314,23 +366,20 @@ def approach_rows(objects: DataFrame, now: Column) -> DataFrame:
     Both hashes are made once: an identifier is cut from six parts of its own, and without
     this each would hash again. That of the object is made before its approaches are listed.
     """
-    neo = F.col("neo")
-    needed = {
-        "neo_reference_id": neo["neo_reference_id"],
-        "estimated_diameter_max_km": neo["estimated_diameter_max_km"],
-        "is_potentially_hazardous": neo["is_potentially_hazardous"],
-    }
+    flat, own = _flat_objects(objects, approaches=F.col("neo")["close_approach_data"])
+    listed = evaluate_once(flat, parent=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")))
+    needed = ["neo_reference_id", "estimated_diameter_max_km", "is_potentially_hazardous"]
     place = ["source_file", "feed_date", "position"]
-    listed = evaluate_once(
-        objects.select(*place, *[value.alias(name) for name, value in needed.items()], neo["approaches"].alias("approaches")),
-        parent=name_digest(ASTEROID_NAMESPACE, F.col("neo_reference_id")),
-    )
     each = listed.select(
         *place, *needed, "parent", F.posexplode("approaches").alias("approach_position", "item")
     )
-    item, own = F.col("item"), {name: F.col(name) for name in needed}
+    item = item_values(F.col("item"))
     name = approach_name(F.col("neo_reference_id"), item["epoch_date_close_approach"])
-    hashed = evaluate_once(each, digest=name_digest(APPROACH_NAMESPACE, name))
+    hashed = evaluate_once(
+        each, digest=name_digest(APPROACH_NAMESPACE, name),
+        **{name: item[name] for name in ("velocity_km_per_s", "miss_distance_astronomical")},
+    )
+    item = {name: F.col(name) if name in hashed.columns else value for name, value in item.items()}
     ids = digest_uuid(F.col("digest")), digest_uuid(F.col("parent"))
     return hashed.select(*place, "approach_position", *_approach_fields(item, hazard_of(own, item), now, *ids))
 
@@ -341,32 +390,29 @@ def records(objects: DataFrame, now: Column) -> DataFrame:
     Identifiers are cut from hashes made before: inside a lambda nothing would keep the hash
     from being made again for every part of the identifier.
     """
-    neo = F.col("neo")
-    kept = [name for name in _OBJECT_FIELDS if name != "rest"]
-    flat = objects.select("source_file", "feed_date", "position", *[neo[name].alias(name) for name in kept],
-                          neo["approaches"].alias("listed"))
+    flat, own = _flat_objects(objects, listed=F.col("neo")["close_approach_data"])
     reference = F.col("neo_reference_id")
     digest = lambda item: name_digest(
         APPROACH_NAMESPACE, approach_name(reference, item["epoch_date_close_approach"])
     )
-    own = {name: F.col(name) for name in kept}
     hashed = evaluate_once(
         flat,
         digest=name_digest(ASTEROID_NAMESPACE, reference),
         items=F.transform(
             "listed",
-            lambda item: F.struct(item.alias("item"), hazard_of(own, item).alias("hazard"), digest(item).alias("digest")),
+            lambda item: F.struct(*[value.alias(name) for name, value in item_values(item).items()], digest(item).alias("digest")),
         ),
     )
     parent = digest_uuid(F.col("digest"))
-    nested = F.transform(
-        "items",
-        lambda held: F.struct(*_approach_fields(held["item"], held["hazard"], now, digest_uuid(held["digest"]), parent)),
-    )
+
+    def approach(held: Column) -> Column:
+        item = {name: held[name] for name in item_values(held)}
+        return F.struct(*_approach_fields(item, hazard_of(own, item), now, digest_uuid(held["digest"]), parent))
+
     return hashed.select(
         "source_file",
         "feed_date",
         "position",
         F.struct(*_asteroid_fields(own, now, parent)).alias("asteroid"),
-        nested.alias("approaches"),
+        F.transform("items", approach).alias("approaches"),
     )
