@@ -305,6 +305,43 @@ def _json_object(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *given), F.lit("}"))
 
 
+def _parts(**fields: Column | str | list) -> list[Column | str]:
+    """The parts of the same object if no field is NULL. Those of objects within are put in line, so
+    that all text is copied once, not again at every level."""
+    parts: list[Column | str] = []
+    for number, (name, value) in enumerate(fields.items()):
+        parts += [f'{"," if number else "{"}"{name}":', *(value if isinstance(value, list) else [value])]
+    return [*parts, "}"]
+
+
+def _joined(parts: list[Column | str]) -> Column:
+    """The text of parts, NULL if one is."""
+    merged: list[Column | str] = []
+    for part in parts:
+        if isinstance(part, str) and merged and isinstance(merged[-1], str):
+            merged[-1] += part
+        else:
+            merged.append(part)
+    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in merged])
+
+
+def _common_year(date: Column) -> Column:
+    return F.year(date).between(1000, 9999)
+
+
+def _digits(date: Column, text: Column) -> Column:
+    """`yyyyMMdd` of a date, cut from its text where that has four digits of a year."""
+    return F.when(_common_year(date), F.replace(text, F.lit("-"), F.lit(""))).otherwise(F.date_format(date, "yyyyMMdd"))
+
+
+def _full(date: Column, text: Column) -> Column:
+    """`yyyy-MMM-dd HH:mm` of a date, in the same way."""
+    names = "JanFebMarAprMayJunJulAugSepOctNovDec"
+    name = F.substr(F.lit(names), F.month(date) * 3 - 2, F.lit(3))
+    cut = F.concat(F.substring(text, 1, 5), name, F.substring(text, 8, 3), F.lit(" 00:00"))
+    return F.when(_common_year(date), cut).otherwise(F.date_format(date, "yyyy-MMM-dd HH:mm"))
+
+
 def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> DataFrame:
     """One feed document per line item, in the file of its week. A lean one lists nothing but the
     object of the line item with its first approach.
@@ -327,34 +364,97 @@ def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> Data
     # is longer than what the JVM compiles.
     mark = F.when(F.col("l_orderkey") % 2 == 0, F.lit("")).otherwise(F.lit('"'))
     speed = lambda factor: F.concat(mark, text(F.col("l_quantity") * F.lit(factor)), mark)
-    span = lambda low, high: _json_object(
-        estimated_diameter_min=_json_number(low), estimated_diameter_max=_json_number(high)
-    )
-    dated = F.coalesce(text(F.col("close_date")), F.raise_error(F.lit("a line item has no ship date")).cast("string"))
+    days = range(1 if lean else 2)
+    date = lambda day: F.date_add("close_date", day)
     rows = evaluate_once(
         rows,
         ref=ref,
-        span=span(_diameter(160.0), _diameter(80.0)),
+        supplier=text(F.col("l_suppkey")),
+        low=_json_number(_diameter(160.0)),
+        high=_json_number(_diameter(80.0)),
         magnitude=_json_number(F.col("p_retailprice") / F.lit(50.0)),
         sentry=text(F.col("p_partkey") % 17 == 0),
-        velocity=_json_object(
-            kilometers_per_second=speed(0.5), kilometers_per_hour=speed(1800.0), miles_per_hour=speed(1118.0)
-        ),
-        distance=_json_object(
-            astronomical=_quoted(text(miss_au)),
-            lunar=_quoted(text(miss_au * F.lit(LD_PER_AU))),
-            kilometers=_quoted(text(miss_au * F.lit(KM_PER_AU))),
-            miles=_quoted(text(miss_au * F.lit(92955807.0))),
-        ),
+        title=_json_text(F.concat("p_name", F.lit(" "), ref)),
+    )
+    rows = evaluate_once(
+        rows,
+        per_second=speed(0.5), per_hour=speed(1800.0), miles_per_hour=speed(1118.0),
+        au=_quoted(text(miss_au)),
+        lunar=_quoted(text(miss_au * F.lit(LD_PER_AU))),
+        km=_quoted(text(miss_au * F.lit(KM_PER_AU))),
+        miles=_quoted(text(miss_au * F.lit(92955807.0))),
+    )
+    begin = week_start(F.col("close_date"))
+    rows = evaluate_once(
+        rows, day0=text(date(0)), day1=text(date(1)), first_day=text(begin), last_day=text(F.date_add(begin, 6))
+    )
+    rows = evaluate_once(rows, **{f"full{day}": _full(date(day), F.col(f"day{day}")) for day in days})
+    ref, supplier = F.col("ref"), F.col("supplier")
+    velocity = dict(kilometers_per_second=F.col("per_second"), kilometers_per_hour=F.col("per_hour"), miles_per_hour=F.col("miles_per_hour"))
+    distance = dict(astronomical=F.col("au"), lunar=F.col("lunar"), kilometers=F.col("km"), miles=F.col("miles"))
+    units = ("kilometers", "meters", "miles", "feet")
+    quiet = '{"estimated_diameter_min":0.25,"estimated_diameter_max":0.5}'
+
+    # a document of which nothing is NULL is joined in one go
+    quote = lambda *values: ['"', *values, '"']
+    rows = evaluate_once(
+        rows,
+        span=_joined(_parts(estimated_diameter_min=F.col("low"), estimated_diameter_max=F.col("high"))),
+        measured=_joined(["relative_velocity\":", *_parts(**velocity), ',"miss_distance":', *_parts(**distance), ',"orbiting_body":"Earth"}']),
     )
-    ref, supplier = F.col("ref"), text(F.col("l_suppkey"))
 
-    def approach(days: int) -> Column:
-        date = F.date_add("close_date", days)
+    def approach_parts(day: int) -> list[Column | str]:
+        held = _parts(
+            close_approach_date=quote(F.col(f"day{day}")),
+            close_approach_date_full=quote(F.col(f"full{day}")),
+            epoch_date_close_approach=text(F.col("epoch_ms") + F.lit(day * 86400000)),
+        )
+        return [*held[:-1], ',"', F.col("measured")]
+
+    def neo_parts(key: list, name: Column | list, diameter: Column | str, pha: Column | str, items: list) -> list[Column | str]:
+        return _parts(
+            links=_parts(self=quote("neo/", *key)),
+            id=quote(*key),
+            neo_reference_id=quote(*key),
+            name=name,
+            nasa_jpl_url=quote("sbdb/", *key),
+            absolute_magnitude_h=F.col("magnitude"),
+            estimated_diameter=_parts(**{unit: diameter for unit in units}),
+            is_potentially_hazardous_asteroid=pha,
+            close_approach_data=["[", *items, "]"],
+            is_sentry_object=F.col("sentry"),
+        )
+
+    items = approach_parts(0) if lean else [*approach_parts(0), ",", *approach_parts(1)]
+    rows = evaluate_once(
+        rows, listed=_joined(neo_parts([ref], F.col("title"), F.col("span"), text(F.col("p_partkey") % 5 == 0), items))
+    )
+    near = ['{"', F.col("day0"), '":[', F.col("listed"), "]"]
+    if not lean:
+        rows = evaluate_once(
+            rows, unlisted=_joined(neo_parts(["S", supplier], quote("quiet ", supplier), quiet, "false", []))
+        )
+        near += [',"', F.col("day1"), '":[', F.col("unlisted"), "]"]
+    document = _parts(
+        links=_parts(self=quote("feed/", ref)), element_count="1" if lean else "2", near_earth_objects=[*near, "}"]
+    )
+    rows = evaluate_once(rows, whole=_joined(document))
+
+    # of one that has a NULL what is there is put together level by level
+    rest = lambda value: F.when(F.col("whole").isNull(), value)
+    dated = F.coalesce(F.col("day0"), F.raise_error(F.lit("a line item has no ship date")).cast("string"))
+    rows = evaluate_once(
+        rows,
+        range=rest(_json_object(estimated_diameter_min=F.col("low"), estimated_diameter_max=F.col("high"))),
+        velocity=rest(_json_object(**velocity)),
+        distance=rest(_json_object(**distance)),
+    )
+
+    def approach(day: int) -> Column:
         return _json_object(
-            close_approach_date=_quoted(text(date)),
-            close_approach_date_full=_quoted(F.date_format(date, "yyyy-MMM-dd HH:mm")),
-            epoch_date_close_approach=text(F.col("epoch_ms") + F.lit(days * 86400000)),
+            close_approach_date=_quoted(F.col(f"day{day}")),
+            close_approach_date_full=_quoted(F.col(f"full{day}")),
+            epoch_date_close_approach=text(F.col("epoch_ms") + F.lit(day * 86400000)),
             relative_velocity=F.col("velocity"),
             miss_distance=F.col("distance"),
             orbiting_body=F.lit('"Earth"'),
@@ -374,39 +474,32 @@ def feed_documents(spark: SparkSession, folder: str, lean: bool = False) -> Data
             is_sentry_object=F.col("sentry"),
         )
 
-    wide = lambda size: _json_object(**{unit: size for unit in ("kilometers", "meters", "miles", "feet")})
-    rows = evaluate_once(
-        rows,
-        first=approach(0),
-        wide=wide(F.col("span")),
-        title=_json_text(F.concat("p_name", F.lit(" "), ref)),
-    )
+    wide = lambda size: _json_object(**{unit: size for unit in units})
+    rows = evaluate_once(rows, first=rest(approach(0)), wide=rest(wide(F.col("range"))))
     items = ["first"]
     if not lean:
-        rows = evaluate_once(rows, second=approach(1))
+        rows = evaluate_once(rows, second=rest(approach(1)))
         items.append("second")
-    rows = evaluate_once(rows, seen=neo(ref, F.col("title"), F.col("wide"), F.col("p_partkey") % 5 == 0, items))
+    rows = evaluate_once(rows, seen=rest(neo(ref, F.col("title"), F.col("wide"), F.col("p_partkey") % 5 == 0, items)))
     if not lean:
-        quiet = wide(F.lit('{"estimated_diameter_min":0.25,"estimated_diameter_max":0.5}'))
         unseen = neo(
-            F.concat(F.lit("S"), supplier), _quoted(F.concat(F.lit("quiet "), supplier)), quiet, F.lit(False), []
+            F.concat(F.lit("S"), supplier), _quoted(F.concat(F.lit("quiet "), supplier)), wide(F.lit(quiet)), F.lit(False), []
         )
-        rows = evaluate_once(rows, unseen=unseen)
+        rows = evaluate_once(rows, unseen=rest(unseen))
     listed = lambda day, item: F.concat(_quoted(day), F.lit(":["), item, F.lit("]"))
-    days = [listed(dated, F.col("seen"))]
+    near = [listed(dated, F.col("seen"))]
     if not lean:
-        days.append(listed(text(F.date_add("close_date", 1)), F.col("unseen")))
-    document = _json_object(
+        near.append(listed(F.col("day1"), F.col("unseen")))
+    loose = _json_object(
         links=_json_object(self=_quoted(F.concat(F.lit("feed/"), ref))),
         element_count=F.lit("1" if lean else "2"),
-        near_earth_objects=F.concat(F.lit("{"), F.concat_ws(",", *days), F.lit("}")),
+        near_earth_objects=F.concat(F.lit("{"), F.concat_ws(",", *near), F.lit("}")),
     )
-    begin = week_start(F.col("close_date"))
     name = F.concat(
         F.lit("asteroids_"),
-        F.date_format(begin, "yyyyMMdd"),
+        _digits(begin, F.col("first_day")),
         F.lit("_"),
-        F.date_format(F.date_add(begin, 6), "yyyyMMdd"),
+        _digits(F.date_add(begin, 6), F.col("last_day")),
         F.lit(".json"),
     )
-    return rows.select(name.alias("source_file"), document.alias("document"))
+    return rows.select(name.alias("source_file"), F.coalesce("whole", loose).alias("document"))
